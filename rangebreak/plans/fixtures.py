@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangebreak.functions.frames import write_stage
+from rangebreak.operators.features import breakout_context, feature_table
+from rangebreak.operators.trades import build_trades, failed_orb_signals, orb_signals
 from rangebreak.params import Params
 from rangebreak.sources.ticks import daily_rows, pooled_index, ticks_to_bars
 
@@ -155,3 +158,31 @@ class Fixture:
         sessions = self.bars.select(F.col("session_date").alias("date")).distinct()
         rule = F.month("date") % 3 == 0 if self.grid in ("m", "s") else F.dayofyear("date") % 4 == 0
         return sessions.where(rule)
+
+    # ---- shared stages ------------------------------------------------------------------
+
+    @cached_property
+    def context(self) -> DataFrame:
+        """Labelled breakouts with their session facts, not yet written."""
+        return breakout_context(self.bars, self.daily, self.calendar, self.params)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """The breakout table as a written stage, for plans that read it more than once."""
+        return write_stage(self.context, f"breakouts-{self.grid}")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return feature_table(self.events, self.bars, self.index_bars, self.expiries, self.params)
+
+    @cached_property
+    def feature_stage(self) -> DataFrame:
+        return write_stage(self.features, f"features-{self.grid}")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return orb_signals(self.events, self.bars).unionByName(failed_orb_signals(self.events))
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return build_trades(self.signals, self.bars, self.params)

@@ -1,6 +1,6 @@
 """Every registered query, imported for its side effect of registration."""
 
-from rangebreak.plans import market  # noqa: F401
+from rangebreak.plans import market, trading  # noqa: F401
 from rangebreak.plans.catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
