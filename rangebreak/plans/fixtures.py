@@ -14,7 +14,22 @@ from pyspark.sql import functions as F
 
 from rangebreak.functions.frames import write_stage
 from rangebreak.operators.features import breakout_context, feature_table
-from rangebreak.operators.trades import build_trades, failed_orb_signals, orb_signals
+from rangebreak.operators.control import (
+    LEVEL,
+    edge_vs_random,
+    eligible_sessions,
+    matched_random,
+    with_trade_id,
+)
+from rangebreak.operators.forecast import compare_combinations
+from rangebreak.operators.summary import expectancy, segment_keys
+from rangebreak.operators.trades import (
+    build_trades,
+    evaluate_trades,
+    failed_orb_signals,
+    flat_results,
+    orb_signals,
+)
 from rangebreak.params import Params
 from rangebreak.sources.ticks import daily_rows, pooled_index, ticks_to_bars
 
@@ -186,3 +201,54 @@ class Fixture:
     @cached_property
     def trades(self) -> DataFrame:
         return build_trades(self.signals, self.bars, self.params)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Walk-forward predictions with both combinations, as a written stage."""
+        return write_stage(
+            compare_combinations(self.feature_stage, self.params), f"predictions-{self.grid}"
+        )
+
+    @cached_property
+    def trade_stage(self) -> DataFrame:
+        return write_stage(with_trade_id(self.trades), f"trades-{self.grid}")
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        return eligible_sessions(self.bars, self.daily, self.calendar, self.params)
+
+    @cached_property
+    def twins(self) -> DataFrame:
+        return write_stage(
+            matched_random(self.trade_stage, self.eligible, self.bars, self.params), f"twins-{self.grid}"
+        )
+
+    @cached_property
+    def strategy_results(self) -> DataFrame:
+        return flat_results(evaluate_trades(self.trade_stage, self.params))
+
+    @cached_property
+    def random_results(self) -> DataFrame:
+        return flat_results(evaluate_trades(self.twins, self.params))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return edge_vs_random(self.strategy_results, self.random_results, self.params)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return expectancy(self.strategy_results, LEVEL, self.params)
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        widths = self.features.select(
+            "symbol",
+            "session_date",
+            F.col("direction").alias("feature_direction"),
+            "rvol_breakout_bar",
+            "or_width_atr",
+        )
+        keyed = self.strategy_results.join(
+            widths, ["symbol", "session_date", "feature_direction"], "left"
+        )
+        return segment_keys(keyed, self.params)
