@@ -12,7 +12,7 @@ from rangebreak.plans.sql.compose import statement
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+_SQL: dict[str, tuple[str, str]] = {}
 
 
 def query(key: str, grid: str, sql: str | None = None, digits: int = 6):
@@ -25,7 +25,12 @@ def query(key: str, grid: str, sql: str | None = None, digits: int = 6):
         run.__name__ = key
         QUERIES[key] = run
         if sql is not None:
-            SQL[key] = statement(sql, grid)
+            _SQL[key] = (sql, grid)
         return build
 
     return register
+
+
+def sql_statements() -> dict[str, str]:
+    """Every registered SQL text as a standalone statement."""
+    return {key: statement(sql, grid) for key, (sql, grid) in _SQL.items()}

@@ -6,13 +6,17 @@ months of days by supplier, whose number of symbols grows with the data.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import write_stage
+from rangebreak.functions.frames import stage_root, write_stage
+from rangebreak.operators.calendar import calendar_table
+from rangebreak.operators.quality import drop_settling_tail, grid_slot, session_verdicts
 from rangebreak.operators.features import breakout_context, feature_table
 from rangebreak.operators.control import (
     LEVEL,
@@ -31,9 +35,11 @@ from rangebreak.operators.trades import (
     orb_signals,
 )
 from rangebreak.params import Params
+from rangebreak.sources import store
 from rangebreak.sources.ticks import daily_rows, pooled_index, ticks_to_bars
 
 INDEX = "INDEX"
+ZONE = "Asia/Kolkata"
 # A large position, because some derived prices exceed the default one.
 POSITION = 10_000_000.0
 
@@ -252,3 +258,104 @@ class Fixture:
             widths, ["symbol", "session_date", "feature_direction"], "left"
         )
         return segment_keys(keyed, self.params)
+
+    # ---- delivered bars with faults ------------------------------------------------------
+
+    @cached_property
+    def fetched_at(self) -> DataFrame:
+        """Evening of the last date, in one row."""
+        return self.dates.agg(
+            (F.max("session_date").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("fetched_at")
+        )
+
+    @cached_property
+    def delivered(self) -> DataFrame:
+        """Hourly bars as delivered, with faults chosen by the first event of the bar or session."""
+        session = W.partitionBy("symbol", "session_date")
+        bar, slot = F.col("first_seq"), F.col("slot")
+        marked = self.traded.withColumn("sid", F.min("first_seq").over(session))
+        sid = F.col("sid")
+        start = F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(hours=slot)
+        kept = marked.where(~((sid % 7 == 0) & (slot >= 22)) & ~((sid % 7 == 1) & (slot == 10)))
+        swapped = bar % 97 == 1
+        faulty = kept.select(
+            "symbol",
+            "session_date",
+            F.when((sid % 11 == 3) & (slot == 12), start + F.expr("interval 30 minutes"))
+            .when((sid % 13 == 4) & (slot == 23), start + F.expr("interval 1 hour"))
+            .otherwise(start)
+            .alias("ts"),
+            "open",
+            F.when(swapped, F.col("low")).otherwise(F.col("high")).alias("high"),
+            F.when(swapped, F.col("high")).otherwise(F.col("low")).alias("low"),
+            F.when(bar % 79 != 4, F.col("close")).alias("close"),
+            F.when(bar % 89 == 2, -F.col("volume"))
+            .when((sid % 5 == 2) & (slot % 3 != 0), F.lit(0))
+            .otherwise(F.col("volume"))
+            .cast("bigint")
+            .alias("volume"),
+            F.when((sid % 17 == 5) & (slot == 5), F.lit(900)).otherwise(slot * 10).alias("place"),
+            (bar % 83 == 3).alias("repeat"),
+        )
+        copies = F.explode(F.when(F.col("repeat"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        return (
+            faulty.withColumn("copy", copies)
+            .withColumn("ingest_seq", (F.col("place") + F.col("copy")).cast("bigint"))
+            .drop("place", "repeat", "copy")
+            .join(F.broadcast(self.fetched_at))
+        )
+
+    @cached_property
+    def real_calendar(self) -> DataFrame:
+        """Weekdays that are not holidays, over the dates of the table."""
+        span = self.dates.agg(F.min("session_date").alias("start"), F.max("session_date").alias("end"))
+        return calendar_table(span, self.holidays)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return session_verdicts(self.delivered, self.real_calendar, self.params)
+
+    @cached_property
+    def verdict_stage(self) -> DataFrame:
+        return write_stage(self.verdicts, f"verdicts-{self.grid}")
+
+    @cached_property
+    def delivered_daily(self) -> DataFrame:
+        """Daily rows of the line items with faults chosen by the first row of the day."""
+        bar = F.col("first_seq")
+        swapped = bar % 97 == 1
+        return self.traded.select(
+            "symbol",
+            F.to_date("ts").alias("session_date"),
+            F.when(bar % 83 == 3, F.lit(0.0)).otherwise(F.col("open")).alias("open"),
+            F.when(swapped, F.col("low")).otherwise(F.col("high")).alias("high"),
+            F.when(swapped, F.col("high")).otherwise(F.col("low")).alias("low"),
+            F.when(bar % 79 != 4, F.col("close")).alias("close"),
+            F.when(bar % 89 == 2, -F.col("volume")).otherwise(F.col("volume")).alias("volume"),
+        ).join(F.broadcast(self.fetched_at))
+
+    @cached_property
+    def verdict_log(self) -> DataFrame:
+        """An append-only log: some sessions first judged partial, all judged, and another interval."""
+        final = self.verdict_stage.drop("fetched_at")
+        first = final.where(F.dayofyear("session_date") % 2 == 0)
+        return (
+            first.withColumn("verdict", F.lit("PARTIAL")).select(F.lit(1).alias("seq"), F.lit("60m").alias("interval"), "*")
+            .unionByName(final.select(F.lit(2).alias("seq"), F.lit("60m").alias("interval"), "*"))
+            .unionByName(
+                final.withColumn("verdict", F.lit("CLEAN")).select(F.lit(3).alias("seq"), F.lit("1d").alias("interval"), "*")
+            )
+        )
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        """Delivered bars, without the settling tail, under the tier of their verdict, as stored."""
+        kept = drop_settling_tail(self.delivered, self.params)
+        kept = kept.withColumn("slot", grid_slot(F.col("ts"), self.params))
+        return store.stored(store.route(kept, self.verdict_stage), "60m", ZONE)
+
+    @cached_property
+    def store_root(self) -> str:
+        root = f"{stage_root(self.spark)}/store-{uuid.uuid4().hex}"
+        store.write_store(self.routed, root)
+        return root
