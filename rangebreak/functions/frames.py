@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,6 +40,11 @@ def require_none(violations: DataFrame, message: str) -> None:
         raise InputError(f"{message}: {found[0].asDict()}")
 
 
+@cache
+def _local_stage_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for written stages: the one the cluster names, else a local one in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +52,7 @@ def stage_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return "/tmp/rangebreak-stages"
+    return _local_stage_root()
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from rangebreak.operators.indicators import (
     index_states,
     rvol_open_column,
 )
-from rangebreak.operators.labelling import events_of, session_outcomes, with_history
+from rangebreak.operators.labelling import breakout_events, session_table
 from rangebreak.params import ALL_FEATURES, Params
 
 EVENT_KEY = ["symbol", "session_date", "direction"]
@@ -27,26 +27,19 @@ EVENT_KEY = ["symbol", "session_date", "direction"]
 def breakout_context(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:
     """Labelled breakouts with the session-level facts that the features are made from."""
     traded = bars.where(F.col("symbol") != p.index_symbol)
-    sessions = with_history(session_outcomes(traded, daily, calendar, p)).join(
-        calendar.select("session_date", "prev_trading_day"), "session_date", "left"
-    )
+    sessions = session_table(traded, daily, calendar, p)
     trailing = by_session().rowsBetween(-p.rvol_lookback, -1)
-    known = sessions.withColumns(
-        {
-            "rvol_open_15m": rvol_open_column(p),
-            "gap_pct": gap_column(),
-            "earlier_sessions": F.collect_list("session_date").over(trailing),
-        }
-    )
-    keep = (
+    facts = sessions.select(
+        "symbol",
+        "session_date",
         "session_open",
         "prev_open",
         "prev_close",
-        "rvol_open_15m",
-        "gap_pct",
-        "earlier_sessions",
+        rvol_open_column(p).alias("rvol_open_15m"),
+        gap_column().alias("gap_pct"),
+        F.collect_list("session_date").over(trailing).alias("earlier_sessions"),
     )
-    return events_of(known, p, keep)
+    return breakout_events(traded, sessions, p).join(facts, ["symbol", "session_date"])
 
 
 def _same_slot_volume(events: DataFrame, bars: DataFrame, p: Params) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangebreak.functions.frames import unpivot_features
-from rangebreak.functions.scalars import count_when, expit, logit
+from rangebreak.functions.scalars import count_when, expit, logit, ratio
 from rangebreak.operators.stats import (
     block_number,
     cut_points,
@@ -474,6 +474,23 @@ def forecast_verdict(n: Column, low: Column, p: Params) -> Column:
     )
 
 
+def _skill(score: str, base: str) -> Column:
+    """One minus the ratio of scores; zero against a perfect base, NULL with nothing to score."""
+    gained = F.when(F.col(base) > 0, 1 - F.col(score) / F.col(base)).otherwise(F.lit(0.0))
+    return F.when(F.col("n") > 0, gained)
+
+
+def score_violations(predictions: DataFrame) -> DataFrame:
+    """A row when there is nothing to score, and outcomes that are not a known class."""
+    empty = predictions.agg(F.count("*").alias("n")).where("n = 0").select(
+        F.lit("no predictions to score").alias("violation")
+    )
+    unknown = predictions.where(~F.col("outcome").isin(*OUTCOMES)).select(
+        F.concat(F.lit("unknown outcome "), "outcome").alias("violation")
+    )
+    return empty.unionByName(unknown)
+
+
 def brier_score(predictions: DataFrame, p: Params, groups: list[str] | None = None) -> DataFrame:
     """Brier score against the base rate, with a session bootstrap of the skill."""
     groups = groups or []
@@ -499,9 +516,7 @@ def brier_score(predictions: DataFrame, p: Params, groups: list[str] | None = No
         "variance_share",
         "brier",
         "brier_base",
-        F.when(F.col("brier_base") > 0, 1 - F.col("brier") / F.col("brier_base"))
-        .otherwise(F.lit(0.0))
-        .alias("skill"),
+        _skill("brier", "brier_base").alias("skill"),
         "ci_low",
         "ci_high",
         forecast_verdict(F.col("failures"), F.col("ci_low"), p).alias("verdict"),
@@ -595,12 +610,10 @@ def three_way_score(predictions: DataFrame, p: Params) -> DataFrame:
         least.alias("rarest_count"),
         "rps",
         "rps_base",
-        F.when(F.col("rps_base") > 0, 1 - F.col("rps") / F.col("rps_base"))
-        .otherwise(F.lit(0.0))
-        .alias("skill"),
+        _skill("rps", "rps_base").alias("skill"),
         "ci_low",
         "ci_high",
         "accuracy",
-        (F.greatest(*CLASSES) / F.col("n")).alias("accuracy_baseline"),
+        ratio(F.greatest(*CLASSES), F.col("n")).alias("accuracy_baseline"),
         forecast_verdict(least, F.col("ci_low"), p).alias("verdict"),
     )

@@ -1,7 +1,8 @@
 """Breakout events and what became of them.
 
-The whole of labelling runs on one exchange of the bars by (symbol, session_date): the window
-functions and the aggregate to one row per session all share it. Only session rows move after that.
+The bars move once, to (symbol, session_date). The windows, the paths of both directions and the
+aggregate to one row per event all keep that distribution; everything else that moves has one row
+per session.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import by_session, in_session, whole_session
+from rangebreak.functions.frames import by_session, whole_session
 from rangebreak.functions.scalars import count_when, direction_sign
-from rangebreak.operators.indicators import atr_prior_day, in_range, prior_day
+from rangebreak.operators.indicators import atr_prior_day, in_range, session_facts
 from rangebreak.params import OUTCOMES, Params
 
+EVENT = ["symbol", "session_date", "direction"]
+
 
 def mark_first_breaks(bars: DataFrame, p: Params) -> DataFrame:
     """Add the opening range and the slot of the first close beyond it on each side."""
@@ -22,7 +25,6 @@ def mark_first_breaks(bars: DataFrame, p: Params) -> DataFrame:
     opening = in_range(p)
     ranged = bars.withColumns(
         {
-            "n_bars": F.count("*").over(whole),
             "pos": F.row_number().over(W.partitionBy("symbol", "session_date").orderBy("slot")) - 1,
             "or_bars": count_when(opening).over(whole),
             "or_high": F.max(F.when(opening, F.col("high"))).over(whole),
@@ -42,46 +44,6 @@ def mark_first_breaks(bars: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _side(direction: str, p: Params) -> dict[str, Column]:
-    """Session-level aggregates that settle one direction."""
-    long = direction == "long"
-    start = F.col(f"{direction}_slot")
-    extension = F.col(f"{direction}_ext")
-    live = F.col("slot") >= start
-    through = (F.col("close") < F.col("or_low")) if long else (F.col("close") > F.col("or_high"))
-    sustained = live & (extension >= p.sustain_atr * F.col("atr"))
-    busted = (
-        live
-        & through
-        & (F.col("slot") < p.bust_cutoff_slot)
-        & (extension < p.bust_atr * F.col("atr"))
-    )
-    here = F.col("slot") == start
-    out = {
-        "sustain_slot": F.min(F.when(sustained, F.col("slot"))),
-        "bust_slot": F.min(F.when(busted, F.col("slot"))),
-        "max_ext": F.max(extension),
-    }
-    for name in ("pos", "ts", "open", "high", "low", "close", "volume"):
-        out[f"bar_{name}"] = F.max(F.when(here, F.col(name)))
-    return {f"{direction}_{name}": column for name, column in out.items()}
-
-
-_EVENT_FIELDS = (
-    "slot",
-    "sustain_slot",
-    "bust_slot",
-    "max_ext",
-    "bar_pos",
-    "bar_ts",
-    "bar_open",
-    "bar_high",
-    "bar_low",
-    "bar_close",
-    "bar_volume",
-)
-
-
 def detect_breakouts(bars: DataFrame, p: Params) -> DataFrame:
     """First close beyond the opening range, per direction and session. A touch is not a break."""
     opening = in_range(p)
@@ -108,114 +70,115 @@ def detect_breakouts(bars: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def session_outcomes(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:
-    """One row per session with the breakout of each direction, if any, and how it resolved."""
-    marked = mark_first_breaks(bars, p)
-    # The prior-day ATR is one row per session; it joins on the key the bars are already spread by.
-    dates = calendar.select("session_date", "prev_trading_day")
-    prior = (
-        prior_day(daily, p)
-        .join(dates, "prev_trading_day")
-        .select("symbol", "session_date", "atr", "prev_open", "prev_close")
-    )
-    joined = marked.join(prior, ["symbol", "session_date"], "left")
-    running = in_session()
-
-    def extension(start: str, beyond: Column) -> Column:
-        live = F.col("slot") >= F.col(start)
-        return F.max(F.when(live, F.greatest(beyond, F.lit(0.0)))).over(running)
+def settle(path: DataFrame, p: Params, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Resolve events from their paths: one row per event and bar from the breakout bar on.
 
-    walked = joined.withColumns(
-        {
-            "long_ext": extension("long_slot", F.col("high") - F.col("or_high")),
-            "short_ext": extension("short_slot", F.col("or_low") - F.col("low")),
-        }
+    A path holds ``slot, high, low, close`` next to the event's ``direction, breakout_slot, or_high,
+    or_low, atr`` and the columns to carry. The bar of the breakout itself gives the bar columns.
+    """
+    long = F.col("direction") == "long"
+    sign = direction_sign(F.col("direction"))
+    boundary = F.when(long, F.col("or_high")).otherwise(F.col("or_low"))
+    far_side = F.when(long, F.col("or_low")).otherwise(F.col("or_high"))
+    extreme = F.when(long, F.col("high")).otherwise(F.col("low"))
+    running = W.partitionBy(*EVENT).orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    walked = path.withColumn(
+        "ext", F.max(F.greatest(sign * (extreme - boundary), F.lit(0.0))).over(running)
     )
-    aggregates = {
-        "n_bars": F.max("n_bars"),
-        "session_open": F.min_by("open", "slot"),
-        "session_close": F.max_by("close", "slot"),
-        "or_bars": F.max("or_bars"),
-        "or_high": F.max("or_high"),
-        "or_low": F.max("or_low"),
-        "or_volume": F.coalesce(F.sum(F.when(in_range(p), F.col("volume"))), F.lit(0)),
-        "atr": F.max("atr"),
-        "prev_open": F.max("prev_open"),
-        "prev_close": F.max("prev_close"),
-        "long_slot": F.max("long_slot"),
-        "short_slot": F.max("short_slot"),
-        **_side("long", p),
-        **_side("short", p),
-    }
-    return walked.groupBy("symbol", "session_date").agg(
-        *[column.alias(name) for name, column in aggregates.items()]
+    sustained = F.col("ext") >= p.sustain_atr * F.col("atr")
+    busted = (
+        (sign * (F.col("close") - far_side) < 0)
+        & (F.col("slot") < p.bust_cutoff_slot)
+        & (F.col("ext") < p.bust_atr * F.col("atr"))
+    )
+    here = F.col("slot") == F.col("breakout_slot")
+    settled = walked.groupBy(*EVENT).agg(
+        *[F.max(c).alias(c) for c in ("breakout_slot", "or_high", "or_low", "atr")],
+        F.min(F.when(sustained, F.col("slot"))).alias("sustain_slot"),
+        F.min(F.when(busted, F.col("slot"))).alias("bust_slot"),
+        F.max("ext").alias("max_ext"),
+        *[F.max(F.when(here, F.col(c))).alias(c) for c in carry],
     )
+    # The extension is looked at before the close of the same bar.
+    first = F.col("sustain_slot").isNotNull() & (
+        F.col("bust_slot").isNull() | (F.col("sustain_slot") <= F.col("bust_slot"))
+    )
+    return settled.withColumns(
+        {
+            "label": F.when(first, F.lit("SUSTAINED"))
+            .when(F.col("bust_slot").isNotNull(), F.lit("BUSTED"))
+            .otherwise(F.lit("NEITHER")),
+            "resolved_slot": F.when(first, F.col("sustain_slot")).otherwise(F.col("bust_slot")),
+            "max_extension_atr": F.col("max_ext") / F.col("atr"),
+        }
+    ).drop("sustain_slot", "bust_slot", "max_ext")
+
 
+def session_table(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:
+    """One row per session: its facts, the day before, and where it starts in its symbol's history.
 
-def with_history(sessions: DataFrame) -> DataFrame:
-    """Add where each session starts in its symbol's history (one row per session per symbol)."""
+    Partial aggregation shrinks the bars to sessions before anything is shuffled; the windows over a
+    symbol then run on one row per session.
+    """
+    facts = atr_prior_day(session_facts(bars, p), daily, calendar, p)
     earlier = by_session().rowsBetween(W.unboundedPreceding, -1)
-    return sessions.withColumn(
+    return facts.withColumn(
         "session_start", F.coalesce(F.sum("n_bars").over(earlier), F.lit(0)).cast("bigint")
     )
 
 
-def events_of(sessions: DataFrame, p: Params, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Turn session rows into one row per breakout, labelled. Sessions without an ATR are left out."""
-    sides = F.array(
-        *[
-            F.struct(
-                F.lit(d).alias("direction"),
-                *[F.col(f"{d}_{name}").alias(name) for name in _EVENT_FIELDS],
-            )
-            for d in ("long", "short")
-        ]
-    )
-    rows = (
-        sessions.where("atr is not null")
-        .select(
-            "symbol",
-            "session_date",
-            "session_start",
-            "or_high",
-            "or_low",
-            "atr",
-            *keep,
-            F.inline(sides),
+_BAR = ("pos", "ts", "open", "high", "low", "close", "volume", "session_start")
+
+
+def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFrame:
+    """One labelled row per breakout. Sessions without a prior-day ATR are left out."""
+    sides = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col("slot") >= F.col(f"{d}_slot"),
+                    F.struct(F.lit(d).alias("direction"), F.col(f"{d}_slot").alias("breakout_slot")),
+                )
+                for d in ("long", "short")
+            ]
         )
-        .where("slot is not null")
-    )
-    sustained = F.col("sustain_slot").isNotNull() & (
-        F.col("bust_slot").isNull() | (F.col("sustain_slot") <= F.col("bust_slot"))
     )
-    label = (
-        F.when(sustained, F.lit("SUSTAINED"))
-        .when(F.col("bust_slot").isNotNull(), F.lit("BUSTED"))
-        .otherwise(F.lit("NEITHER"))
-    )
-    return rows.withColumn("label", label).select(
+    # Bars before a session's first breakout, and whole sessions without one, end here.
+    path = mark_first_breaks(bars, p).select(
         "symbol",
         "session_date",
-        "direction",
-        F.col("slot").alias("breakout_slot"),
-        (F.col("session_start") + F.col("bar_pos")).alias("breakout_index"),
-        F.col("bar_ts").alias("breakout_time"),
-        (F.col("slot") * p.slot_minutes).alias("minutes_since_open"),
+        "slot",
+        "pos",
+        "ts",
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+        "or_high",
+        "or_low",
+        F.inline(sides),
+    )
+    known = sessions.where("atr is not null").select("symbol", "session_date", "atr", "session_start")
+    settled = settle(path.join(known, ["symbol", "session_date"]), p, _BAR)
+    return settled.select(
+        *EVENT,
+        "breakout_slot",
+        (F.col("session_start") + F.col("pos")).alias("breakout_index"),
+        F.col("ts").alias("breakout_time"),
+        (F.col("breakout_slot") * p.slot_minutes).alias("minutes_since_open"),
         "or_high",
         "or_low",
         (F.col("or_high") - F.col("or_low")).alias("or_width"),
-        F.col("bar_close").alias("breakout_close"),
+        F.col("close").alias("breakout_close"),
         "atr",
         "label",
-        F.when(F.col("label") == "SUSTAINED", F.col("sustain_slot"))
-        .when(F.col("label") == "BUSTED", F.col("bust_slot"))
-        .alias("resolved_slot"),
-        (F.col("max_ext") / F.col("atr")).alias("max_extension_atr"),
-        F.col("bar_open").alias("breakout_open"),
-        F.col("bar_high").alias("breakout_high"),
-        F.col("bar_low").alias("breakout_low"),
-        F.col("bar_volume").alias("breakout_volume"),
-        *keep,
+        "resolved_slot",
+        "max_extension_atr",
+        F.col("open").alias("breakout_open"),
+        F.col("high").alias("breakout_high"),
+        F.col("low").alias("breakout_low"),
+        F.col("volume").alias("breakout_volume"),
     )
 
 
@@ -241,8 +204,8 @@ EVENT_COLUMNS = (
 def label_sessions(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:
     """The breakout event table. The index is looked at but never traded."""
     traded = bars.where(F.col("symbol") != p.index_symbol)
-    sessions = with_history(session_outcomes(traded, daily, calendar, p))
-    return events_of(sessions, p).select(*EVENT_COLUMNS)
+    sessions = session_table(traded, daily, calendar, p)
+    return breakout_events(traded, sessions, p).select(*EVENT_COLUMNS)
 
 
 def label_violations(events: DataFrame) -> DataFrame:
@@ -264,41 +227,11 @@ def resolve_breakouts(events: DataFrame, bars: DataFrame, p: Params) -> DataFram
         (F.col("e.symbol") == F.col("b.symbol"))
         & (F.col("e.session_date") == F.col("b.session_date"))
         & (F.col("b.slot") >= F.col("e.breakout_slot")),
-    ).select("e.*", "b.slot", "b.high", "b.low", "b.close")
-    sign = direction_sign(F.col("direction"))
-    long = F.col("direction") == "long"
-    boundary = F.when(long, F.col("or_high")).otherwise(F.col("or_low"))
-    far_side = F.when(long, F.col("or_low")).otherwise(F.col("or_high"))
-    extreme = F.when(long, F.col("high")).otherwise(F.col("low"))
-    event = ["symbol", "session_date", "direction"]
-    running = W.partitionBy(*event).orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    walked = path.withColumn(
-        "ext", F.max(F.greatest(sign * (extreme - boundary), F.lit(0.0))).over(running)
-    )
-    sustained = F.col("ext") >= p.sustain_atr * F.col("atr")
-    busted = (
-        (sign * (F.col("close") - far_side) < 0)
-        & (F.col("slot") < p.bust_cutoff_slot)
-        & (F.col("ext") < p.bust_atr * F.col("atr"))
-    )
-    settled = walked.groupBy(*event, "breakout_slot").agg(
-        F.min(F.when(sustained, F.col("slot"))).alias("sustain_slot"),
-        F.min(F.when(busted, F.col("slot"))).alias("bust_slot"),
-        F.max(F.col("ext") / F.col("atr")).alias("max_extension_atr"),
-    )
-    first = F.col("sustain_slot").isNotNull() & (
-        F.col("bust_slot").isNull() | (F.col("sustain_slot") <= F.col("bust_slot"))
-    )
-    return settled.select(
-        *event,
-        "breakout_slot",
-        F.when(first, F.lit("SUSTAINED"))
-        .when(F.col("bust_slot").isNotNull(), F.lit("BUSTED"))
-        .otherwise(F.lit("NEITHER"))
-        .alias("label"),
-        F.when(first, F.col("sustain_slot")).otherwise(F.col("bust_slot")).alias("resolved_slot"),
-        "max_extension_atr",
+    ).select(
+        *[f"e.{c}" for c in (*EVENT, "breakout_slot", "or_high", "or_low", "atr")],
+        *[f"b.{c}" for c in ("slot", "high", "low", "close")],
     )
+    return settle(path, p).select(*EVENT, "breakout_slot", "label", "resolved_slot", "max_extension_atr")
 
 
 def skipped_sessions(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:

@@ -15,12 +15,15 @@ QUERIES: dict[str, Query] = {}
 _SQL: dict[str, tuple[str, str]] = {}
 
 
-def query(key: str, grid: str, sql: str | None = None, digits: int = 6):
-    """Register a function of a fixture under ``key``, with the SQL that must agree with it."""
+def query(key: str, grid: str, sql: str | None = None, digits: int = 6, stage: bool = False):
+    """Register a function of a fixture under ``key``, with the SQL that must agree with it.
+
+    ``stage`` writes the bars first, for plans that read them on more than one branch.
+    """
 
     def register(build: Callable[[Fixture], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(build(Fixture(spark, sf_dir, grid)), digits)
+            return present(build(Fixture(spark, sf_dir, grid, stage)), digits)
 
         run.__name__ = key
         QUERIES[key] = run

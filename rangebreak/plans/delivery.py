@@ -86,8 +86,8 @@ def outcomes(fx):
 
 
 _DAYH = """(SELECT symbol, count(*) AS daily_rows, count(*) FILTER (v = 'CORRUPT') AS daily_corrupt, count(*) FILTER (v = 'SUSPECT') AS daily_suspect FROM (
- SELECT symbol, CASE WHEN NOT is_trading_day THEN 'CORRUPT' WHEN open / pc < 0.6 OR open / pc > 1.6 THEN 'SUSPECT' ELSE 'CLEAN' END AS v FROM (
-  SELECT d.*, lag(close) OVER (PARTITION BY symbol ORDER BY session_date) AS pc, c.is_trading_day FROM daily_h d JOIN caldays_h c USING (session_date)
+ SELECT symbol, CASE WHEN NOT is_trading_day OR least(open, high, low, close) <= 0 THEN 'CORRUPT' WHEN open / pc < 0.6 OR open / pc > 1.6 THEN 'SUSPECT' ELSE 'CLEAN' END AS v FROM (
+  SELECT d.*, nullif(lag(close) OVER (PARTITION BY symbol ORDER BY session_date), 0) AS pc, c.is_trading_day FROM daily_h d JOIN caldays_h c USING (session_date)
   WHERE session_date <> (SELECT max(session_date) FROM dates_h))) GROUP BY symbol)"""
 
 

@@ -77,6 +77,7 @@ class Fixture:
     spark: SparkSession
     sf_dir: str
     grid: str
+    stage_bars: bool = False
 
     @property
     def params(self) -> Params:
@@ -129,7 +130,13 @@ class Fixture:
 
     @cached_property
     def traded(self) -> DataFrame:
-        return ticks_to_bars(self.ticks)
+        """Bars with the span of their trades.
+
+        A plan that reads bars on several branches takes them from a written stage, as it would take
+        them from the bar store: the raw table is then read once, and each branch reads its columns.
+        """
+        bars = ticks_to_bars(self.ticks)
+        return write_stage(bars, f"bars-{self.grid}") if self.stage_bars else bars
 
     @cached_property
     def bars(self) -> DataFrame:

@@ -152,7 +152,7 @@ def detect_breakouts(fx):
 
 
 @query("resolve_breakouts", "m", f"""SELECT symbol, session_date::VARCHAR AS session_date, direction, breakout_slot, label,
- resolved_slot, {num('max_extension_atr')} FROM events_$""")
+ resolved_slot, {num('max_extension_atr')} FROM events_$""", stage=True)
 def resolve_breakouts(fx):
     detected = lab.detect_breakouts(fx.bars, fx.params)
     prior = ind.atr_prior_day(detected, fx.daily, fx.calendar, fx.params).where("atr is not null")
@@ -164,12 +164,12 @@ EVENT_SQL = f"""SELECT symbol, session_date::VARCHAR AS session_date, direction,
  label, resolved_slot, {num('max_extension_atr')} FROM events_$"""
 
 
-@query("label_sessions", "m", EVENT_SQL)
+@query("label_sessions", "m", EVENT_SQL, stage=True)
 def label_sessions(fx):
     return lab.label_sessions(fx.all_bars, fx.daily, fx.calendar, fx.params)
 
 
-@query("label_sessions_by_supplier", "s", EVENT_SQL)
+@query("label_sessions_by_supplier", "s", EVENT_SQL, stage=True)
 def label_sessions_by_supplier(fx):
     return lab.label_sessions(fx.bars, fx.daily, fx.calendar, fx.params)
 
@@ -188,11 +188,11 @@ RATES_SQL = """SELECT coalesce(month, 'all') AS month, busted, neither, sustaine
  GROUP BY GROUPING SETS ((strftime(session_date, '%Y-%m')), ())) WHERE n > 0"""
 
 
-@query("base_rates", "m", RATES_SQL)
+@query("base_rates", "m", RATES_SQL, stage=True)
 def base_rates(fx):
     return lab.base_rates(lab.label_sessions(fx.bars, fx.daily, fx.calendar, fx.params))
 
 
-@query("base_rates_by_supplier", "s", RATES_SQL)
+@query("base_rates_by_supplier", "s", RATES_SQL, stage=True)
 def base_rates_by_supplier(fx):
     return lab.base_rates(lab.label_sessions(fx.bars, fx.daily, fx.calendar, fx.params))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from rangebreak.operators import summary as sm
 from rangebreak.operators import study
 from rangebreak.operators.control import LEVEL
-from rangebreak.plans.catalogue import query
+from rangebreak.plans import catalogue
 from rangebreak.plans.research import FIND  # noqa: F401
 from rangebreak.plans.sql import research  # noqa: F401  (registers the SQL steps)
 from rangebreak.plans.sql.base import num
 
+# These plans read bars on several branches.
+query = partial(catalogue.query, stage=True)
+
 L = "setup, variant, slippage_bps"
 
 

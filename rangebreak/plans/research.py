@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from rangebreak.operators import forecast as fc
 from rangebreak.operators import stats, study, trades
 from rangebreak.params import DIRECTIONAL_FEATURES
 from rangebreak.functions.frames import unpivot_features
-from rangebreak.plans.catalogue import query
+from rangebreak.plans import catalogue
 from rangebreak.plans.sql import research as sql
 from rangebreak.plans.sql.base import num
 
+# These plans read bars on several branches.
+query = partial(catalogue.query, stage=True)
+
 FIND = f"""feature, two_sided, measurable, {num('gap_all', 'gap_first', 'gap_second', digits=4)},
  failures_first, failures_second, testable, holds"""
 
@@ -150,9 +155,14 @@ def walk_forward(fx):
     return fc.walk_forward(fx.feature_stage, fx.params)
 
 
+@query("walk_forward_by_supplier", "s", f"SELECT {_ROW}, {_TAIL} FROM pred_$")
+def walk_forward_by_supplier(fx):
+    return fc.walk_forward(fx.feature_stage, fx.params)
+
+
 @query("compare_combinations", "w", f"""SELECT 'logodds' AS combination, count(*) AS n, round(avg(err), 6) AS brier, round(avg(base_err), 6) AS brier_base,
- round(1 - avg(err) / avg(base_err), 6) AS skill FROM rps_$ UNION ALL SELECT 'average', count(*), round(avg(err_average), 6), round(avg(base_err), 6),
- round(1 - avg(err_average) / avg(base_err), 6) FROM rps_$""")
+ round(1 - avg(err) / avg(base_err), 6) AS skill FROM rps_$ HAVING count(*) > 0 UNION ALL SELECT 'average', count(*), round(avg(err_average), 6), round(avg(base_err), 6),
+ round(1 - avg(err_average) / avg(base_err), 6) FROM rps_$ HAVING count(*) > 0""")
 def compare_combinations(fx):
     parts = [
         fc.brier_score(fc.as_combination(fx.predictions, c).withColumn("combination", F.lit(c)), fx.params, ["combination"])
@@ -193,7 +203,7 @@ def ranked_probability_score(fx):
 @query("three_way_score", "w", f"""SELECT n, n_sessions, busted, neither, sustained, CASE WHEN busted = least(busted, neither, sustained) THEN 'BUSTED'
  WHEN neither = least(busted, neither, sustained) THEN 'NEITHER' ELSE 'SUSTAINED' END AS rarest_class, least(busted, neither, sustained) AS rarest_count,
  {num('rps', 'rps_base')}, round(1 - rps / rps_base, 6) AS skill, {num('ci_low', 'ci_high', 'accuracy')},
- round(greatest(busted, neither, sustained) / n, 6) AS accuracy_baseline, {_VERDICT.format(n='least(busted, neither, sustained)')}
+ round(greatest(busted, neither, sustained) / nullif(n, 0), 6) AS accuracy_baseline, {_VERDICT.format(n='least(busted, neither, sustained)')}
  FROM (SELECT count(*) AS n, count(DISTINCT session_date) AS n_sessions, count(*) FILTER (outcome = 'BUSTED') AS busted,
  count(*) FILTER (outcome = 'NEITHER') AS neither, count(*) FILTER (outcome = 'SUSTAINED') AS sustained, avg(rps) AS rps, avg(rps_base) AS rps_base,
  avg(CASE WHEN outcome = CASE WHEN p_busted >= p_neither AND p_busted >= p_sustained THEN 'BUSTED'

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from rangebreak.operators import features as feat
 from rangebreak.operators import trades as tr
 from rangebreak.operators.indicators import atr_prior_day
 from rangebreak.params import ALL_FEATURES
-from rangebreak.plans.catalogue import query
+from rangebreak.plans import catalogue
 from rangebreak.plans.sql import base, trading  # noqa: F401  (registers the SQL steps)
 from rangebreak.plans.sql.base import num
 
+# These plans read bars on several branches.
+query = partial(catalogue.query, stage=True)
 KEYS = "symbol, session_date::VARCHAR AS session_date, direction"
 TRADE_KEYS = "setup, symbol, session_date::VARCHAR AS session_date, direction"
 
@@ -128,7 +132,7 @@ def trade_costs(fx):
     )
 
 
-@query("participation_slippage", "m", f"""SELECT symbol, session_date::VARCHAR AS session_date, slot, {num('order_value', 'bar_value', digits=4)}, 5 AS base_bps,
+@catalogue.query("participation_slippage", "m", f"""SELECT symbol, session_date::VARCHAR AS session_date, slot, {num('order_value', 'bar_value', digits=4)}, 5 AS base_bps,
  round(CASE WHEN bar_value > 0 THEN 5 + 10.0::DOUBLE * sqrt(least(order_value / bar_value, 1.0::DOUBLE)) ELSE 5 END, 4) AS slippage_bps
  FROM (SELECT symbol, session_date, slot, 50000.0::DOUBLE AS order_value, close * volume AS bar_value FROM bars_$)""", digits=4)
 def participation_slippage(fx):
@@ -141,11 +145,11 @@ def participation_slippage(fx):
     return tr.participation_slippage(orders)
 
 
-_EVALUATED = f"""SELECT {TRADE_KEYS}, variant, slippage_bps, quantity, {num('risk', 'gross_pnl', 'net_pnl', digits=4)},
- {num('r_gross', 'r_net', 'mfe_r', digits=4)}, duration_bars FROM results_$"""
+_EVALUATED = f"""SELECT {TRADE_KEYS}, variant, slippage_bps, quantity, {num('risk', 'gross_pnl', 'net_pnl', digits=2)},
+ {num('r_gross', 'r_net', 'mfe_r', digits=2)}, duration_bars FROM results_$"""
 
 
-@query("evaluate_trades", "m", _EVALUATED, digits=4)
+@query("evaluate_trades", "m", _EVALUATED, digits=2)
 def evaluate_trades(fx):
     rows = tr.evaluate_trades(fx.trades, fx.params)
     return rows.select(
@@ -157,7 +161,7 @@ def evaluate_trades(fx):
 @query("results_table", "m", f"""SELECT r.setup, r.variant, r.symbol, r.session_date::VARCHAR AS session_date, r.direction, r.entry_slot,
  r.entry_time::VARCHAR AS entry_time, r.exit_slot, r.exit_time::VARCHAR AS exit_time, r.exit_reason, r.slippage_bps, r.quantity, r.duration_bars,
  {num('r.entry_price', 'r.exit_price', 'r.stop_price', 'r.atr', 'r.stop_atr_multiple', 'r.risk', 'r.gross_pnl', 'r.cost_total', 'r.cost_slippage',
-      'r.net_pnl', 'r.r_gross', 'r.r_net', 'r.mfe_r', *['f.' + c for c in ALL_FEATURES], digits=4)}
- FROM results_$ r LEFT JOIN feat_$ f ON f.symbol = r.symbol AND f.session_date = r.session_date AND f.direction = r.feature_direction""", digits=4)
+      'r.net_pnl', 'r.r_gross', 'r.r_net', 'r.mfe_r', *['f.' + c for c in ALL_FEATURES], digits=2)}
+ FROM results_$ r LEFT JOIN feat_$ f ON f.symbol = r.symbol AND f.session_date = r.session_date AND f.direction = r.feature_direction""", digits=2)
 def results_table(fx):
     return tr.results_table(tr.evaluate_trades(fx.trades, fx.params), fx.features)

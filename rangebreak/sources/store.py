@@ -63,11 +63,16 @@ def stored(bars: DataFrame, interval: str, zone: str) -> DataFrame:
     )
 
 
-def write_store(rows: DataFrame, root: str) -> None:
-    """Replace exactly the months present in ``rows``. Rows are spread by month and symbol, so no
-    month is written by a single task, and sorted so that row groups can be skipped by symbol."""
+def write_store(rows: DataFrame, root: str, files_per_month: int = 16) -> None:
+    """Replace exactly the months present in ``rows``.
+
+    A month is written by a fixed number of tasks, one file each, so neither a large month nor a
+    long history makes one huge file or very many small ones. Rows are sorted within files, which
+    lets a scan skip row groups by tier and symbol.
+    """
+    part = F.pmod(F.xxhash64("symbol", "session_date"), F.lit(files_per_month))
     (
-        rows.repartition("interval", "month", "symbol")
+        rows.repartition("interval", "month", part)
         .sortWithinPartitions("interval", "month", "tier", "symbol", "session_date", "slot")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
