@@ -43,18 +43,19 @@ def block_number(value: Column) -> Column:
 
 
 def exact_quantiles(
-    values: DataFrame, keys: list[str], shares: tuple[float, ...], blocks: int = 256
+    values: DataFrame, keys: list[str], shares: tuple[float, ...], blocks: int = 256, levels: int = 1
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key: ``keys, n, lowest, highest, q0, q1, ...``.
 
     Equal values are merged first; counts per block locate the block that holds each wanted rank,
-    and only those blocks are put in order.
+    and only those blocks are put in order. One level leaves about N/blocks distinct values to
+    order per rank, two levels N/blocks^2, and so on.
     """
     counted = values.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
     placed = counted.join(cut_points(values, keys, blocks), keys).select(
         *keys, "value", "copies", block_number(F.col("value")).alias("block")
     )
-    by_key = W.partitionBy(*keys)
+    by_key = W.partitionBy(*keys)  # one row per block
     below = by_key.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     per_block = (
         placed.groupBy(*keys, "block")
@@ -83,16 +84,20 @@ def exact_quantiles(
             for side, rounding in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    located = per_block.select(
-        *keys, "block", "n", "lowest", "highest", "below", "size", F.inline(wanted)
-    ).where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("size")))
-    request = [*keys, "block", "q", "side"]
+    request = [*keys, "q", "side", "n", "lowest", "highest"]
+    located = (
+        per_block.select(*keys, "block", "n", "lowest", "highest", "below", "size", F.inline(wanted))
+        .where(_holds_rank())
+        .select(*request, "block", (F.col("rank") - F.col("below")).alias("rank"))
+    )
+    rows = located.join(placed, [*keys, "block"]).select(*request, "rank", "value", "copies")
+    for _ in range(levels - 1):
+        rows = _narrow(rows, request, blocks)
     running = W.partitionBy(*request).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = (
-        located.join(placed, [*keys, "block"])
-        .withColumn("reached", F.col("below") + F.sum("copies").over(running))
+        rows.withColumn("reached", F.sum("copies").over(running))
         .where(F.col("reached") > F.col("rank"))
-        .groupBy(*keys, "q", "side", "n", "lowest", "highest")
+        .groupBy(*request)
         .agg(F.min("value").alias("value"))
     )
     return found.groupBy(*keys, "n", "lowest", "highest").agg(
@@ -100,6 +105,28 @@ def exact_quantiles(
     )
 
 
+def _holds_rank() -> Column:
+    return (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("size"))
+
+
+def _narrow(rows: DataFrame, request: list[str], blocks: int) -> DataFrame:
+    """Cut the rows of each request into blocks again and keep the one that holds its rank."""
+    placed = rows.join(cut_points(rows, request, blocks), request).select(
+        *request, "rank", "value", "copies", block_number(F.col("value")).alias("block")
+    )
+    below = W.partitionBy(*request).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    holding = (
+        placed.groupBy(*request, "rank", "block")
+        .agg(F.sum("copies").alias("size"))
+        .withColumn("below", F.coalesce(F.sum("size").over(below), F.lit(0)))
+        .where(_holds_rank())
+        .select(*request, "block", "below")
+    )
+    return placed.join(holding, [*request, "block"]).select(
+        *request, (F.col("rank") - F.col("below")).alias("rank"), "value", "copies"
+    )
+
+
 def _interpolate(i: int, share: float) -> Column:
     def pick(side: str) -> Column:
         return F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("value")))

@@ -14,7 +14,8 @@ P = Params()
 FIRST = datetime.date(2025, 1, 1)
 
 
-def test_exact_quantiles_match_numpy_with_ties_and_skew(spark):
+@pytest.mark.parametrize("blocks,levels", [(64, 1), (8, 1), (8, 2), (4, 3)])
+def test_exact_quantiles_match_numpy_with_ties_and_skew(spark, blocks, levels):
     rng = random.Random(1)
     groups = {
         "uniform": [rng.random() for _ in range(997)],
@@ -26,7 +27,7 @@ def test_exact_quantiles_match_numpy_with_ties_and_skew(spark):
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     table = spark.createDataFrame(rows, "k string, value double")
     shares = (0.0, 1 / 3, 0.5, 2 / 3, 0.975, 1.0)
-    for r in stats.exact_quantiles(table, ["k"], shares, blocks=64).collect():
+    for r in stats.exact_quantiles(table, ["k"], shares, blocks, levels).collect():
         want = np.quantile(groups[r.k], shares)
         assert [r[f"q{i}"] for i in range(6)] == pytest.approx(list(want), rel=1e-12)
         assert (r.n, r.lowest, r.highest) == (len(groups[r.k]), min(groups[r.k]), max(groups[r.k]))
