@@ -20,9 +20,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,54 +32,14 @@ from pyspark.sql import functions as F
 from rangebreak.llm.text import plain_strings
 
 #: Encoded matches kept per Python worker; beyond that the dictionary starts anew.
-KEPT_MATCHES = 400_000
+KEPT_MATCHES = 1_000_000
 #: Characters of text whose matches are encoded together.
 GROUP_CHARS = 1_500_000
+#: Matches that share one queue.
+MATCHES_AT_ONCE = 1_000
 _WORD = 64
 
 
-class RankQueue:
-    """Positions by rank: pop gives the lowest rank and, within it, the lowest position."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def fill(self, entries: dict[int, list[int]]) -> None:
-        for rank, positions in entries.items():
-            heapify(positions)
-            self.buckets[rank] = positions
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
-        word = rank // _WORD
-        self.words[word] = self.words.get(word, 0) | (1 << (rank % _WORD))
-        self.top |= 1 << word
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-        else:
-            self.buckets[rank] = [position]
-            self._mark(rank)
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word * _WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.words[word] = bits
-            if not bits:
-                self.top &= ~(1 << word)
-        return rank, position
-
-
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -88,72 +49,96 @@ class ByteBPE:
         self.names = {rank: str(rank) for rank in self.tokens}
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
-        # Rank of the merge of two neighbouring tokens, for every cut of every token.
-        self.pairs: dict[tuple[int, int], int] = {}
+        # merges[left].get(right): rank of the token that two neighbours make, for every cut of every token.
+        none: dict[int, int] = {}
+        self.merges = [none] * (max(self.tokens) + 1)
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
+                    if self.merges[left] is none:
+                        self.merges[left] = {}
+                    self.merges[left][right] = rank
+        self.byte_tokens = np.array(self.byte, dtype=np.int32)
+        self.byte_pairs = np.array([self.merges[x].get(y, -1) for x in self.byte for y in self.byte], dtype=np.int32)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def encode_matches(self, matches: list[bytes]) -> list[tuple[int, ...]]:
         """Tokens of each of several matches, by one queue over all their bytes."""
-        token: list[int] = []
-        bounds = [0]
-        for m in matches:
-            token.extend(map(self.byte.__getitem__, m))
-            bounds.append(len(token))
-        size = len(token)
-        after = list(range(1, size + 1))
-        before = list(range(-1, size - 1))
-        for b in bounds[1:]:
-            if b:
-                after[b - 1] = -1
-            if b < size:
-                before[b] = -1
-        pairs = self.pairs.get
-        rank_at: list[int] = [-1] * size
-        entries: dict[int, list[int]] = {}
-        for i in range(size - 1):
-            if after[i] >= 0:
-                rank = pairs((token[i], token[i + 1]))
-                if rank is not None:
-                    rank_at[i] = rank
-                    if rank in entries:
-                        entries[rank].append(i)
+        if not matches:
+            return []
+        data = np.frombuffer(b"".join(matches), dtype=np.uint8)
+        ends = np.cumsum([len(m) for m in matches])
+        first = np.full(len(data), -1, dtype=np.int32)
+        first[:-1] = self.byte_pairs[data[:-1].astype(np.int32) * 256 + data[1:]]
+        first[ends - 1] = -1
+        links = np.arange(1, len(data) + 1)
+        links[ends - 1] = -1
+        after = links.tolist()
+        links = np.arange(-1, len(data) - 1)
+        links[ends[:-1]] = -1
+        before = links.tolist()
+        token, rank_at, merges = self.byte_tokens[data].tolist(), first.tolist(), self.merges
+
+        # The queue: positions by rank, each bucket a heap; bits of filled buckets; bits of filled words.
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        filled, starts = np.unique(first[order], return_index=True)
+        positions = order.tolist()
+        bounds = [*starts.tolist(), len(positions)]
+        buckets = {r: positions[a:b] for r, a, b in zip(filled.tolist(), bounds, bounds[1:], strict=False)}
+        words = [0] * (len(merges) // _WORD + 1)
+        top = 0
+        for r in buckets:
+            words[r // _WORD] |= 1 << (r % _WORD)
+            top |= 1 << (r // _WORD)
+
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word * _WORD + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            lower = False
+            while bucket and not lower:
+                i = heappop(bucket)
+                if rank_at[i] != rank:
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                token[i] = rank
+                token[j] = rank_at[j] = -1
+                found = -1
+                if k >= 0:
+                    before[k] = i
+                    found = merges[rank].get(token[k], -1)
+                rank_at[i] = found
+                h = before[i]
+                behind = -1
+                if h >= 0:
+                    behind = merges[token[h]].get(rank, -1)
+                    if behind == rank_at[h]:
+                        behind = -1
                     else:
-                        entries[rank] = [i]
-        queue = RankQueue()
-        queue.fill(entries)
-        pop, push = queue.pop, queue.push
-        while queue.top:
-            rank, i = pop()
-            if rank_at[i] != rank:
-                continue
-            j = after[i]
-            token[i] = rank
-            k = after[i] = after[j]
-            token[j] = rank_at[j] = -1
-            if k >= 0:
-                before[k] = i
-                found = pairs((rank, token[k]))
-                if found is None:
-                    rank_at[i] = -1
-                else:
-                    rank_at[i] = found
-                    push(found, i)
-            else:
-                rank_at[i] = -1
-            h = before[i]
-            if h >= 0:
-                found = pairs((token[h], rank))
-                if found is None:
-                    rank_at[h] = -1
-                elif found != rank_at[h]:
-                    rank_at[h] = found
-                    push(found, h)
-        return [tuple(t for t in token[a:b] if t >= 0) for a, b in zip(bounds, bounds[1:], strict=False)]
+                        rank_at[h] = behind
+                for r, at in ((found, i), (behind, h)):
+                    if r >= 0:
+                        if r in buckets:
+                            heappush(buckets[r], at)
+                        else:
+                            buckets[r] = [at]
+                        word_of = r // _WORD
+                        words[word_of] |= 1 << (r % _WORD)
+                        top |= 1 << word_of
+                        lower = lower or r < rank
+            if not bucket:
+                words[word] &= ~(1 << (rank % _WORD))
+                if not words[word]:
+                    top &= ~(1 << word)
+        out, at = [], 0
+        for end in ends.tolist():
+            out.append(tuple([t for t in token[at:end] if t >= 0]))
+            at = end
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
@@ -162,13 +147,14 @@ class ByteBPE:
         known = self.known
         fresh = []
         for match in set(chain.from_iterable(split)).difference(known):
-            data = match.encode()
-            whole = self.ranks.get(data)
+            whole = self.ranks.get(match.encode())
             if whole is None:
-                fresh.append((match, data))
+                fresh.append(match)
             else:
                 known[match] = (whole,)
-        known.update(zip((m for m, _ in fresh), self.encode_matches([d for _, d in fresh]), strict=True))
+        for at in range(0, len(fresh), MATCHES_AT_ONCE):
+            some = fresh[at : at + MATCHES_AT_ONCE]
+            known.update(zip(some, self.encode_matches([m.encode() for m in some]), strict=True))
         return [list(chain.from_iterable(map(known.__getitem__, matches))) for matches in split]
 
     def decode(self, ids: list[int]) -> bytes:
