@@ -32,10 +32,12 @@ from rangebreak.llm.text import plain_strings
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 17
 NGRAMS = (3, 4, 5)
-WIDTH = 8
-STEPS = 120
-RATE = 0.08
+WIDTH = 4
+STEPS = 80
+RATE = 0.1
 DECAY = 1e-6
+#: Texts of the sample that a word must stand in to be fitted.
+FEWEST_TEXTS = 5
 #: Words whose value is kept per Python worker; beyond that the dictionary starts anew.
 KEPT_WORDS = 400_000
 
@@ -91,12 +93,18 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
             cols.append(place.setdefault(w, len(place)))
             counts.append(c / len(words))
     random = np.random.default_rng(7)
-    slots = [subwords(w) for w in place]
+    rows, cols, counts = np.array(rows), np.array(cols), np.array(counts, np.float32)
+    # A word of one or two texts teaches their topic; it counts in a text's length alone.
+    common = np.bincount(cols, minlength=len(place)) >= FEWEST_TEXTS
+    slots = [subwords(w) for w, fit in zip(place, common, strict=True) if fit]
+    if not slots:
+        return np.zeros(SLOTS, np.float32), float(np.log(weights[toxic == 1].sum() / weights[toxic == 0].sum()))
+    renamed, fit = np.cumsum(common) - 1, common[cols]
     word_of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     slot_of = np.array([s for own in slots for s in own], dtype=np.int64)
     used, slot_of = np.unique(slot_of, return_inverse=True)
     per_word = np.bincount(word_of, minlength=len(slots))
-    in_text = _Sparse(np.array(rows), np.array(cols), np.array(counts, np.float32))
+    in_text = _Sparse(rows[fit], renamed[cols[fit]], counts[fit])
     in_word = _Sparse(word_of, slot_of, (1 / per_word[word_of]).astype(np.float32))
     y = np.stack([1 - toxic, toxic], axis=1).astype(np.float32)
     share = (weights / weights.sum()).astype(np.float32)[:, None]
@@ -191,7 +199,7 @@ def _scores(batches, model):
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 50_000, keep: tuple[str, ...] = ("doc_id", "text")
+    docs: DataFrame, labels: DataFrame, per_class: int = 4000, longest: int = 50_000, keep: tuple[str, ...] = ("doc_id", "text")
 ) -> DataFrame:
     """The ``keep`` columns (``text`` among them) and ``score``, for every row of ``docs``."""
     spark = docs.sparkSession
