@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, jaccard_join, mixing, secrets, toxicity
+from rangebreak.llm import byte_bpe, jaccard_join, mixing, quality, secrets, toxicity
 from rangebreak.llm.ship import ship_code
 
 
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mix_sources,
         op3_byte_bpe,
         op4_toxicity,
+        op8_quality_rules,
         op10_secret_scans,
     )
 }
