@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the two star operations until nothing moves. Each round is a written table, so a lost
     executor costs one round. A hub's links are an equi-join side, which Spark can split.
     """
-    edges = links.select("u", "v").where("u <> v").distinct()
+    edges = write_stage(links.select("u", "v").where("u <> v").distinct(), "components")
     seen = None
     while True:
         edges = write_stage(_small_star(_large_star(edges)), "components")

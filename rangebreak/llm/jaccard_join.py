@@ -9,14 +9,14 @@ documents that links connect.
 * *Light* nodes, smaller than a boundary, write every subset of the size that a link with a partner of
   a given size needs; partners meet in an equal subset. The boundary is the size at which the rows that
   this writes, summed over the sizes present, together with the rows of the other way cost least.
-* *Heavy* nodes are scanned through inverted lists from shingle to nodes. A node enters the lists of a
-  prefix of its shingles in hash order; partners share several of these, and a node that does not share
-  so many of its prefix with others at all is out. Of the shared ones the most frequent are left out, as
-  many as a pair can spare.
-* Within a list the smallest node is compared with all others, never all with all. Lists whose nodes are
-  then in one class are done. Nodes of the others get new lists under the exact frequency order of all
-  their shingles, where a frequent passage falls out of the prefix; again one node is compared with all,
-  and last the pairs of a list that are still in two classes.
+* *Heavy* nodes are scanned through inverted lists from shingle to nodes. First nodes without a partner go:
+  a node stays if enough of a prefix of its shingles in hash order stands in other nodes' prefixes.
+  Those that stay enter the lists of their rarest shingles, by exact frequency among them, as many as a
+  partner may lack and one; each entry tells its place in that order. A frequent passage falls out of
+  these prefixes, and two places bound what two sets can share.
+* Within a list one node, the one with the fewest shingles of its own, is compared with all others. Then the
+  pairs of a list follow whose places allow a link and which are not yet in one class; a group of
+  near copies is one class by then.
 * Every pair that meets is verified on its whole sets, so links are exact up to equal 64-bit hashes.
 
 Texts without words (and null texts) have an empty set and link with nothing. A row whose document id is
@@ -168,53 +168,57 @@ def light_lists(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
     )
 
 
-def heavy_lists(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """``(key, node, n)`` for the prefix elements of nodes that may link with one above the boundary."""
+def with_partners(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """``node`` of the heavy nodes whose hash-order prefix shares as many elements as any link shows."""
     n = F.col("n")
     length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SPARE_EVERY)).cast("int")
-    entries = nodes.where(n >= smallest_partner(boundary, percent)).select(
-        "node", "n", F.explode(F.slice("elements", 1, length)).alias("key")
-    )
-    shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    heavy = nodes.where(n >= smallest_partner(boundary, percent))
+    entries = heavy.select("node", F.explode(F.slice("elements", F.lit(1), length)).alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    hits = entries.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
     least = 1 + F.floor(F.ceil(n * percent / 100) / SPARE_EVERY)
-    return (
-        entries.join(shared, "key")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("found"))
-        .where(F.size("found") >= least)
-        .select("node", "n", F.explode(F.slice("found", F.lit(1), (F.size("found") - least + 1).cast("int"))).alias("e"))
-        .select("e.key", "node", "n")
-    )
+    return heavy.select("node", "n").join(hits, "node").where(F.col("hits") >= least).select("node")
+
 
+def heavy_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, node, n, place, own)``: each node's prefix under the exact frequency order of all elements.
 
-def rare_first_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """``(key, node, n)`` for each node's prefix under the exact frequency order of all elements."""
-    entries = sets.select("node", "n", F.explode("elements").alias("key"))
+    ``own`` elements stand in no other node; they come first in the order, so an entry's ``place``
+    (from 0) is at least ``own``, and the prefix ends where no partner is possible any more.
+    """
+    entries = sets.select("node", F.explode("elements").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    n = F.col("n")
-    # Elements of one node alone come first in the order and fill the prefix as far as they go.
-    room = (F.size("found") - F.ceil(n * percent / 100) + 1).cast("int")
+    found = entries.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("found"))
+    own = F.col("n") - F.size("found")
+    room = (own * -1 + F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     return (
-        entries.join(shared, "key")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("found"))
+        found.join(sets.select("node", "n"), "node")
+        .withColumn("own", own)
         .where(room > 0)
-        .select("node", "n", F.explode(F.slice("found", F.lit(1), room)).alias("e"))
-        .select("e.key", "node", "n")
+        .select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), room)).alias("at", "e"))
+        .select("e.key", "node", "n", (F.col("own") + F.col("at")).alias("place"), "own")
     )
 
 
-def _sizes_fit(a, b, percent: int):
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def _may_link(a: str, b: str, percent: int):
+    """Whether two entries of a list, as far as their sizes and places tell, belong to a pair that links.
+
+    If the list's element is the first that both share, each side has only what follows it to share.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
+    return most * (100 + percent) >= (n + m) * percent
 
 
 def _first_against_all(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each list's smallest node with its others, as far as the sizes allow a link."""
-    first = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c"))
+    """Pairs of each list's node with the fewest elements of its own with the others of the list."""
+    entry = F.struct("own", "node", "n", "place")
+    first = lists.groupBy("key").agg(F.min(entry).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p.*")
+    a, b = lists.alias("a"), first.alias("b")
     return (
-        lists.join(first.where("c > 1").select("key", "p"), "key")
-        .where((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
-        .select(F.col("p.node").alias("u"), F.col("node").alias("v"))
+        a.join(b, "key")
+        .where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", percent))
+        .select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
         .distinct()
     )
 
@@ -232,15 +236,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    return lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
+    return frame.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries, with their class, of lists whose nodes are not all in one class."""
+def _pairs_between_classes(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list in two classes whose places allow a link."""
     entries = _labelled(lists, labels)
     mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return entries.join(mixed.select("key"), "key")
+    rest = entries.join(mixed.select("key"), "key", "left_semi")
+    a, b = rest.alias("a"), rest.alias("b")
+    return (
+        a.join(b, "key")
+        .where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", percent))
+        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        .distinct()
+    )
 
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -249,46 +260,25 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     rows = sets.select("doc_id", "node", "n")
     # One row for each different set; texts of equal sets carry equal elements.
     nodes = sets.where("node is not null").groupBy("node", "n").agg(F.first("elements").alias("elements"))
-    sizes = {
-        r["n"]: r["c"]
-        for r in rows.where(f"node is not null and n <= {LIGHT_LIMIT}").groupBy("n").agg(F.countDistinct("node").alias("c")).collect()
-    }
-    boundary = light_boundary(sizes, percent)
-    lists = write_stage(
-        heavy_lists(nodes, boundary, percent).unionByName(light_lists(nodes, boundary, percent)), "jaccard-lists"
-    )
-    met = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = lists.join(met, "key", "left_semi").select("node").distinct()
-    # The whole sets of nodes that met another: from one text of each.
+    counted = rows.where(f"node is not null and n <= {LIGHT_LIMIT}").groupBy("n").agg(F.countDistinct("node").alias("c"))
+    boundary = light_boundary({r["n"]: r["c"] for r in counted.collect()}, percent)
+    light = write_stage(light_lists(nodes, boundary, percent), "jaccard-light")
+    met = light.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    wanted = light.join(met, "key", "left_semi").select("node").unionByName(with_partners(nodes, boundary, percent)).distinct()
+    # The whole sets of these nodes: from one text of each.
     texts = rows.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = texts.select(F.col("doc_id").alias("chosen_id")).distinct()
     read = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = read.join(ids, read.doc_id.eqNullSafe(ids.chosen_id), "left_semi")
-    whole = (
-        shingle_sets(chosen, width, percent, whole=True)
-        .where("node is not null")
-        .dropDuplicates(["node"])
-        .select("node", "n", "elements")
-    )
-    whole = write_stage(whole, "jaccard-whole")
+    whole = shingle_sets(chosen, width, percent, whole=True).where("node is not null").dropDuplicates(["node"])
+    whole = write_stage(whole.select("node", "n", "elements"), "jaccard-whole")
 
+    heavy = whole.where(F.col("n") >= smallest_partner(boundary, percent))
+    subsets = light.join(met, "key", "left_semi").select("key", "node", "n", F.lit(0).alias("place"), F.lit(0).alias("own"))
+    lists = write_stage(heavy_lists(heavy, percent).unionByName(subsets), "jaccard-lists")
     links = write_stage(_links(_first_against_all(lists, percent), whole, percent), "jaccard-links")
-    labels = components(links)
-    left = _open(lists, labels).select("node").distinct()
-    again = write_stage(rare_first_lists(whole.join(left, "node", "left_semi"), percent), "jaccard-again")
-    more = _links(_first_against_all(_open(again, labels).select("key", "node", "n"), percent), whole, percent)
-    links = write_stage(links.unionByName(more), "jaccard-links")
-    labels = components(links)
-    rest = _open(again, labels).select("key", "node", "n", "root")
-    other = rest.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
-    pairs = (
-        rest.join(other, "key")
-        .where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("n2"), percent))
-        .select(F.col("node").alias("u"), F.col("node2").alias("v"))
-        .distinct()
-    )
-    links = write_stage(links.unionByName(_links(pairs, whole, percent)), "jaccard-links")
-    labels = components(links)
+    more = _links(_pairs_between_classes(lists, components(links), percent), whole, percent)
+    labels = components(links.unionByName(more))
 
     named = _labelled(rows.where("node is not null"), labels)
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
