@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, jaccard_join, mixing, quality, secrets, toxicity
+from rangebreak.llm import byte_bpe, jaccard_join, mixing, quality, secrets, toxicity, warc
 from rangebreak.llm.ship import ship_code
 
 
@@ -39,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), trusted)
@@ -55,9 +59,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mix_sources,
         op3_byte_bpe,
         op4_toxicity,
+        op5_warc,
         op8_quality_rules,
         op10_secret_scans,
     )
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op5_warc"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by 1)
+select p.page_id, p.payload_bytes, p.payload_digest,
+       case when p.payload_bytes >= 100 and p.page_id <> f.first_id then 'revisit' else 'response' end as record_type,
+       case when p.payload_bytes >= 100 and p.page_id <> f.first_id then f.first_id end as refers_to
+from p left join f using (payload_digest)"""
