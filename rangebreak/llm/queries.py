@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, jaccard_join, mixing, quality, secrets, toxicity, warc
+from rangebreak.llm import byte_bpe, context_tree, jaccard_join, mixing, quality, secrets, toxicity, warc
 from rangebreak.llm.ship import ship_code
 
 
@@ -48,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), trusted)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_toxicity,
         op5_warc,
         op8_quality_rules,
+        op9_lm_scoring,
         op10_secret_scans,
     )
 }
