@@ -11,12 +11,13 @@ documents that links connect.
   this writes, summed over the sizes present, together with the rows of the other way cost least.
 * *Heavy* nodes are scanned through inverted lists from shingle to nodes. First nodes without a partner go:
   a node stays if enough of a prefix of its shingles in hash order stands in other nodes' prefixes.
-  Those that stay enter the lists of their rarest shingles, by exact frequency among them, as many as a
-  partner may lack and one; each entry tells its place in that order. A frequent passage falls out of
-  these prefixes, and two places bound what two sets can share.
-* Within a list one node, the one with the fewest shingles of its own, is compared with all others. Then the
-  pairs of a list follow whose places allow a link and which are not yet in one class; a group of
-  near copies is one class by then.
+  Those that stay enter the lists of their rarest shingles, as many as a partner may lack and one; each
+  entry tells its place in that order. Any one order of all shingles gives right results, so rarity
+  may be rough: it is the count of the slot, of a fixed number, that a shingle hashes to. A frequent
+  passage falls out of these prefixes, and two places bound what two sets can share.
+* Within a list one node, the one that the list's shingle comes first in, is compared with all others: of
+  near copies it has the fewest shingles of its own. Then the pairs of a list follow whose places allow
+  a link and which are not yet in one class; a group of near copies is one class by then.
 * Every pair that meets is verified on its whole sets, so links are exact up to equal 64-bit hashes.
 
 Texts without words (and null texts) have an empty set and link with nothing. A row whose document id is
@@ -41,6 +42,8 @@ from rangebreak.llm.text import Words, chunks, mix, shingle_hashes
 
 #: Sets above this size never count as light: subsets would drop three elements and more.
 LIGHT_LIMIT = 40
+#: Slots of the counts that order shingles by rarity.
+SLOTS = 1 << 18
 #: A prefix is longer by one element for so many elements of a set, and asks for as many more in common.
 SPARE_EVERY = 20
 
@@ -97,8 +100,12 @@ def light_boundary(sizes: dict[int, int], percent: int, heavy_cost: int = 3) ->
     return min(range(1, LIGHT_LIMIT + 2), key=lambda b: (cost(b), -b))
 
 
-def _sets(batches, width: int, percent: int, whole: bool):
-    """Rows of ``(doc_id, node, n, elements)``: all elements of a set, or its prefix in hash order."""
+def _hash_prefix(elements: np.ndarray, percent: int) -> np.ndarray:
+    return elements[: prefix_length(len(elements), percent)]
+
+
+def _sets(batches, width: int, part):
+    """Rows of ``(doc_id, node, n, elements)``, elements in hash order as far as ``part`` takes them."""
     for batch in batches:
         ids = batch.column("doc_id")
         for at, to, data, offsets in chunks(batch.column("text")):
@@ -106,14 +113,11 @@ def _sets(batches, width: int, percent: int, whole: bool):
             nodes, sizes, starts, parts = [], [], [0], []
             for i in range(to - at):
                 own = np.unique(shingle_hashes(words.hashes[words.first[i] : words.first[i + 1]], width))
-                n = len(own)
                 digest = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
-                nodes.append(int.from_bytes(digest, "little", signed=True) if n else None)
-                sizes.append(n)
-                if not whole and n > LIGHT_LIMIT:
-                    own = own[: prefix_length(n, percent)]
-                parts.append(own)
-                starts.append(starts[-1] + len(own))
+                nodes.append(int.from_bytes(digest, "little", signed=True) if len(own) else None)
+                sizes.append(len(own))
+                parts.append(part(own))
+                starts.append(starts[-1] + len(parts[-1]))
             values = pa.array(np.concatenate(parts).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -126,10 +130,9 @@ def _sets(batches, width: int, percent: int, whole: bool):
             )
 
 
-def shingle_sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, part=lambda elements: elements) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _sets(batches, width, percent, whole),
-        "doc_id long, node long, n long, elements array<long>",
+        lambda batches: _sets(batches, width, part), "doc_id long, node long, n long, elements array<long>"
     )
 
 
@@ -142,8 +145,8 @@ def _subsets(batches, percent: int):
             for a, b, c in _partner_sizes(n, percent):
                 if a == b == c:
                     continue
-                left_out = np.array(list(combinations(range(n), n - c)), dtype=np.int64).reshape(-1, n - c)
-                sums = total - own[left_out].sum(axis=1, dtype=np.uint64)
+                left_out = np.array(list(combinations(range(n), n - c)), dtype=np.int64)
+                sums = total - own[left_out].sum(axis=1, dtype=np.uint64) if n > c else np.array([total])
                 found = np.unique(mix(sums * np.uint64(2 * b + 1) + np.uint64(a)))
                 keys.append(found)
                 nodes.append(np.full(len(found), node))
@@ -159,45 +162,60 @@ def _subsets(batches, percent: int):
             )
 
 
-def light_lists(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """``(key, node, n)`` for the subsets of nodes below the boundary."""
-    return (
-        nodes.where(F.col("n") < boundary)
-        .select("node", "n", "elements")
-        .mapInArrow(lambda batches: _subsets(batches, percent), "key long, node long, n long")
+def light_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """``(key, node, n)`` for the subsets of light nodes."""
+    return nodes.select("node", "n", "elements").mapInArrow(
+        lambda batches: _subsets(batches, percent), "key long, node long, n long"
     )
 
 
-def with_partners(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
+def with_partners(docs: DataFrame, rows: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
     """``node`` of the heavy nodes whose hash-order prefix shares as many elements as any link shows."""
     n = F.col("n")
-    length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SPARE_EVERY)).cast("int")
-    heavy = nodes.where(n >= smallest_partner(boundary, percent))
-    entries = heavy.select("node", F.explode(F.slice("elements", F.lit(1), length)).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    hits = entries.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    smallest = smallest_partner(boundary, percent)
+    prefixes = shingle_sets(docs, width, lambda e: _hash_prefix(e, percent) if len(e) >= smallest else e[:0])
+    # Equal texts give equal entries: a key counts when two different nodes hold it, and a node's hits
+    # stand once for each of its rows.
+    entries = prefixes.select("node", F.explode("elements").alias("key"))
+    two = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    hits = entries.join(two, "key", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    sizes = rows.where(n >= smallest).groupBy("node", "n").agg(F.count("*").alias("rows"))
     least = 1 + F.floor(F.ceil(n * percent / 100) / SPARE_EVERY)
-    return heavy.select("node", "n").join(hits, "node").where(F.col("hits") >= least).select("node")
+    return sizes.join(hits, "node").where(F.col("hits") >= least * F.col("rows")).select("node")
 
 
-def heavy_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """``(key, node, n, place, own)``: each node's prefix under the exact frequency order of all elements.
+def _rare_prefixes(batches, counts, percent: int):
+    for batch in batches:
+        keys, nodes, sizes, places = [], [], [], []
+        for node, n, elements in zip(
+            batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("elements"), strict=True
+        ):
+            own = elements.values.to_numpy()
+            length = n - smallest_partner(n, percent) + 1
+            keys.append(own[np.lexsort((own, counts[own % len(counts)]))[:length]])
+            nodes.append(np.full(length, node))
+            sizes.append(np.full(length, n))
+            places.append(np.arange(length))
+        if keys:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, nodes, sizes, places)],
+                names=["key", "node", "n", "place"],
+            )
 
-    ``own`` elements stand in no other node; they come first in the order, so an entry's ``place``
-    (from 0) is at least ``own``, and the prefix ends where no partner is possible any more.
-    """
-    entries = sets.select("node", F.explode("elements").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = entries.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("found"))
-    own = F.col("n") - F.size("found")
-    room = (own * -1 + F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return (
-        found.join(sets.select("node", "n"), "node")
-        .withColumn("own", own)
-        .where(room > 0)
-        .select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), room)).alias("at", "e"))
-        .select("e.key", "node", "n", (F.col("own") + F.col("at")).alias("place"), "own")
+
+def heavy_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, node, n, place)``: each node's prefix under the order of slot counts, with places from 0."""
+    slot = F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot")
+    counted = sets.select(F.explode("elements").alias("key")).select(slot).groupBy("slot").agg(F.count("*").alias("c"))
+    found = counted.toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("c").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    entries = sets.mapInArrow(
+        lambda batches: _rare_prefixes(batches, shared.value, percent), "key long, node long, n long, place long"
     )
+    two = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return entries.join(two, "key", "left_semi")
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -211,9 +229,8 @@ def _may_link(a: str, b: str, percent: int):
 
 
 def _first_against_all(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each list's node with the fewest elements of its own with the others of the list."""
-    entry = F.struct("own", "node", "n", "place")
-    first = lists.groupBy("key").agg(F.min(entry).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p.*")
+    """Pairs of the node that a list's shingle comes first in with the others of the list."""
+    first = lists.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("p")).select("key", "p.*")
     a, b = lists.alias("a"), first.alias("b")
     return (
         a.join(b, "key")
@@ -256,26 +273,24 @@ def _pairs_between_classes(lists: DataFrame, labels: DataFrame, percent: int) ->
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (see the module's docstring)."""
-    sets = write_stage(shingle_sets(docs, width, percent, whole=False), "jaccard-sets")
-    rows = sets.select("doc_id", "node", "n")
-    # One row for each different set; texts of equal sets carry equal elements.
-    nodes = sets.where("node is not null").groupBy("node", "n").agg(F.first("elements").alias("elements"))
+    rows = write_stage(shingle_sets(docs, width, lambda e: e[:0]).select("doc_id", "node", "n"), "jaccard-rows")
     counted = rows.where(f"node is not null and n <= {LIGHT_LIMIT}").groupBy("n").agg(F.countDistinct("node").alias("c"))
     boundary = light_boundary({r["n"]: r["c"] for r in counted.collect()}, percent)
-    light = write_stage(light_lists(nodes, boundary, percent), "jaccard-light")
+    small = shingle_sets(docs, width, lambda e: e if len(e) < boundary else e[:0]).where((F.col("n") > 0) & (F.col("n") < boundary))
+    light = write_stage(light_lists(small.dropDuplicates(["node"]), percent), "jaccard-light")
     met = light.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = light.join(met, "key", "left_semi").select("node").unionByName(with_partners(nodes, boundary, percent)).distinct()
+    light = light.join(met, "key", "left_semi")
+    wanted = light.select("node").unionByName(with_partners(docs, rows, width, percent, boundary)).distinct()
     # The whole sets of these nodes: from one text of each.
     texts = rows.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = texts.select(F.col("doc_id").alias("chosen_id")).distinct()
     read = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = read.join(ids, read.doc_id.eqNullSafe(ids.chosen_id), "left_semi")
-    whole = shingle_sets(chosen, width, percent, whole=True).where("node is not null").dropDuplicates(["node"])
+    whole = shingle_sets(chosen, width).where("node is not null").dropDuplicates(["node"])
     whole = write_stage(whole.select("node", "n", "elements"), "jaccard-whole")
 
-    heavy = whole.where(F.col("n") >= smallest_partner(boundary, percent))
-    subsets = light.join(met, "key", "left_semi").select("key", "node", "n", F.lit(0).alias("place"), F.lit(0).alias("own"))
-    lists = write_stage(heavy_lists(heavy, percent).unionByName(subsets), "jaccard-lists")
+    heavy = heavy_lists(whole.where(F.col("n") >= smallest_partner(boundary, percent)), percent)
+    lists = write_stage(heavy.unionByName(light.withColumn("place", F.lit(0).cast("long"))), "jaccard-lists")
     links = write_stage(_links(_first_against_all(lists, percent), whole, percent), "jaccard-links")
     more = _links(_pairs_between_classes(lists, components(links), percent), whole, percent)
     labels = components(links.unionByName(more))

@@ -84,3 +84,64 @@ select p.page_id, p.payload_bytes, p.payload_digest,
        case when p.payload_bytes >= 100 and p.page_id <> f.first_id then 'revisit' else 'response' end as record_type,
        case when p.payload_bytes >= 100 and p.page_id <> f.first_id then f.first_id end as refers_to
 from p left join f using (payload_digest)"""
+
+SQL["op1_ngram_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from words),
+entries as (select doc_id, len(s) as n, unnest(s) as e from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from entries a join entries b on a.e = b.e and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id, doc_id as other from sets
+  union
+  select r.doc_id, l.y from reach r join links l on l.x = r.other)
+select s.doc_id, len(s.s) as n_shingles, c.component_id
+from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)"""
+
+SQL["op2_mix_sources"] = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    md5(coalesce(cast(doc_id as varchar), '')) as key
+  from documents),
+named as (
+  select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, source) - 1) % 3 as class
+  from d group by source),
+capped as (
+  select *, case class when 0 then 5 when 1 then 2 else 1 end as weight, 3 * source_size as cap from named),
+levelled as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over before, 0))::double
+    / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from capped window before as (
+    order by cap::double / weight, source is null, source rows between unbounded preceding and 1 preceding)),
+targets as (
+  select source, source_size, class,
+    case when level < cap::double / weight
+      then max(case when level < cap::double / weight then level end) over () * weight else cap::double end as target
+  from levelled),
+placed as (
+  select d.*, t.source_size, t.class, t.target, floor(t.target + 0.5)::bigint as goal,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id
+      rows between unbounded preceding and 1 preceding), 0)::bigint as first_word
+  from d join targets t on d.source is not distinct from t.source),
+rounds as (
+  select *, case when source_size > 0 then goal // source_size else 0 end as whole from placed),
+shares as (
+  select *, whole * size + greatest(0, least(size, goal - whole * source_size - first_word)) as taken,
+    first_word::double / goal::double * 6.0 as due
+  from rounds)
+select doc_id, size, source_size, target, taken::bigint as taken,
+  case when taken > 0 then case class
+    when 0 then case when due < 3 then (due / 3.0) / 3.0 when due < 5 then (1 + (due - 3.0) / 2.0) / 3.0
+      when due < 6 then (2 + (due - 5.0)) / 3.0 else 1.0 end
+    when 1 then case when due < 2 then (due / 2.0) / 3.0 when due < 4 then (1 + (due - 2.0) / 2.0) / 3.0
+      when due < 6 then (2 + (due - 4.0) / 2.0) / 3.0 else 1.0 end
+    else case when due < 1 then due / 3.0 when due < 3 then (1 + (due - 1.0) / 2.0) / 3.0
+      when due < 6 then (2 + (due - 3.0) / 3.0) / 3.0 else 1.0 end end end as position
+from shares"""
