@@ -13,7 +13,7 @@ The fit reads a bounded sample of labelled rows: ``per_class`` rows of each clas
 smallest hash of the id, from texts up to ``longest`` characters; classes are weighted back to their
 share. The trained table has a fixed size and is broadcast. Rows of the held-out fold are never read.
 
-Null and empty texts get the score of no evidence. If the training rows lack a class, every score is
+Null texts and texts without letters get the share of toxic training rows. If the training rows lack a class, every score is
 the share of toxic rows (0 if there is none). Repeated rows get equal scores. Extra columns are ignored.
 """
 
@@ -79,8 +79,9 @@ class _Sparse:
         return out
 
 
-def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Value of every slot and the bias, whose sum over a text is the log odds of class 1."""
+def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
+    """Value of every slot, the bias, and the log odds of class 1 without evidence."""
+    none = float(np.log(weights[toxic == 1].sum() / weights[toxic == 0].sum()))
     place: dict[str, int] = {}
     rows, cols, counts = [], [], []
     for i, text in enumerate(texts):
@@ -98,7 +99,7 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
     common = np.bincount(cols, minlength=len(place)) >= FEWEST_TEXTS
     slots = [subwords(w) for w, fit in zip(place, common, strict=True) if fit]
     if not slots:
-        return np.zeros(SLOTS, np.float32), float(np.log(weights[toxic == 1].sum() / weights[toxic == 0].sum()))
+        return np.zeros(SLOTS, np.float32), none, none
     renamed, fit = np.cumsum(common) - 1, common[cols]
     word_of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     slot_of = np.array([s for own in slots for s in own], dtype=np.int64)
@@ -132,7 +133,7 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
             value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     table = np.zeros(SLOTS, np.float32)
     table[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return table, float(bias[1] - bias[0])
+    return table, float(bias[1] - bias[0]), none
 
 
 def fold(doc_id) -> F.Column:
@@ -173,7 +174,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
 
 
 def _scores(batches, model):
-    table, bias = model.value
+    table, bias, none = model.value
 
     class Values(dict):
         def __missing__(self, word):
@@ -188,7 +189,7 @@ def _scores(batches, model):
             for text in plain_strings(batch.column("text").slice(at, 500)).to_pylist():
                 words = WORD.findall(text.lower())
                 total = sum(map(values.__getitem__, words))
-                out.append(bias + (total / len(words) if words else 0.0))
+                out.append(bias + total / len(words) if words else none)
             if len(values) > KEPT_WORDS:
                 values.clear()
         odds = np.clip(np.array(out), -700, 700)

@@ -78,6 +78,8 @@ def _line(data: bytes, at: int) -> tuple[bytes, int]:
 
 def read_arc(data: bytes):
     """``(offset, fields by name, document)`` of every record after the version block."""
+    if not data:  # Spark writes an empty file for an empty table
+        return
     first, at = _line(data, 0)
     length = int(first.rsplit(b" ", 1)[1])
     body = data[at : at + length].decode()

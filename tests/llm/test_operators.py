@@ -268,6 +268,7 @@ def test_arc_versions_and_faults():
 def test_forest_reaches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK_ROWS", 300)
     monkeypatch.setattr(forest, "BLOCK_QUERIES", 40)
+    monkeypatch.setattr(forest, "WHOLE_BLOCK", 100)
     r = np.random.default_rng(2)
     x = r.normal(size=(1200, 16)).round(3) * r.uniform(0.5, 2, (1200, 1))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -292,6 +293,7 @@ def test_forest_reaches_brute_force(spark, monkeypatch):
         assert all(abs(f[2] - np.dot(vectors[f[1]], vectors[q])) < 1e-9 for f in found)
         hits.append(len(set(best) & {f[1] for f in found}) / 20)
     assert np.mean(hits) >= 0.9
+    monkeypatch.undo()
     few = forest.nearest(frame.where("vec_id in (20, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert [(g["rank"], g.query_id) for g in sorted(few, key=lambda g: g["rank"])] == [(1, 20), (2, 20)]
     assert forest.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).collect() == []
