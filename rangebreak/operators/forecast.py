@@ -469,6 +469,7 @@ def prediction_explain(rows: DataFrame, p: Params, blocks: int = 64) -> DataFram
 def forecast_verdict(n: Column, low: Column, p: Params) -> Column:
     return (
         F.when(n < p.min_sample, F.lit("insufficient_sample"))
+        .when(low.isNull(), F.lit(None))  # no interval, no finding
         .when(low > 0, F.lit("informative"))
         .otherwise(F.lit("no_better_than_base_rate"))
     )

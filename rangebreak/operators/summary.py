@@ -132,15 +132,17 @@ def backtest_summary(edges: DataFrame, overall: DataFrame) -> DataFrame:
 
 
 def setup_verdict(summary: DataFrame) -> DataFrame:
-    """Verdict on each setup from its base variant at every slippage level."""
+    """Verdict on each setup from its base variant at every slippage level; NULL where an interval is."""
     beats = (F.col("ci_low") > 0) & (F.col("expectancy_ci_low") > 0)
+    known = F.col("ci_low").isNotNull() & F.col("expectancy_ci_low").isNotNull()
     return (
         summary.where("variant = 'base'")
         .groupBy("setup")
-        .agg(F.bool_and("has_expectancy").alias("complete"), F.bool_and(F.coalesce(beats, F.lit(False))).alias("beats"))
+        .agg(F.bool_and("has_expectancy").alias("complete"), F.bool_and(known).alias("known"), F.bool_and(beats).alias("beats"))
         .select(
             "setup",
             F.when(~F.col("complete"), F.lit("insufficient sample"))
+            .when(~F.col("known"), F.lit(None))
             .when(F.col("beats"), F.lit("edge detected"))
             .otherwise(F.lit("no edge"))
             .alias("setup_verdict"),

@@ -81,6 +81,12 @@ def setup_gate(signals: DataFrame, verdict: DataFrame) -> DataFrame:
     return signals.join(F.broadcast(opened)).drop("gate_open")
 
 
+def gate_setups(results: DataFrame, verdict: DataFrame, gated: tuple[str, ...] = ("failed_orb",)) -> DataFrame:
+    """Rows of any table by setup, those of gated setups only if the one-row study verdict is a signal."""
+    opened = verdict.agg(F.coalesce(F.bool_or(F.col("verdict") == "signal"), F.lit(False)).alias("gate_open"))
+    return results.join(F.broadcast(opened)).where(~F.col("setup").isin(*gated) | F.col("gate_open")).drop("gate_open")
+
+
 # ---- paths and exits -------------------------------------------------------------------
 
 

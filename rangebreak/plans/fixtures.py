@@ -14,21 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import stage_root, write_stage
+from rangebreak.functions.frames import require_none, stage_root, write_stage
 from rangebreak.operators.calendar import calendar_table
-from rangebreak.operators.quality import drop_settling_tail, grid_slot, session_verdicts
-from rangebreak.operators.features import breakout_context, feature_table
+from rangebreak.operators.features import breakout_context, feature_table, feature_violations
 from rangebreak.operators.control import (
     LEVEL,
     edge_vs_random,
     eligible_sessions,
     matched_random,
+    pairing_violations,
     with_trade_id,
 )
 from rangebreak.operators.forecast import compare_combinations
-from rangebreak.operators.summary import expectancy, segment_keys
+from rangebreak.operators.labelling import label_violations
+from rangebreak.operators.quality import (
+    calendar_violations,
+    drop_settling_tail,
+    grid_slot,
+    session_verdicts,
+)
+from rangebreak.operators.study import study_violations
+from rangebreak.operators.summary import expectancy, expectancy_violations, segment_keys
 from rangebreak.operators.trades import (
     build_trades,
+    entry_violations,
     evaluate_trades,
     failed_orb_signals,
     flat_results,
@@ -59,11 +68,11 @@ HOURS = Params(
 
 PARAMS = {"m": MONTHS, "w": WEEKS, "h": HOURS, "s": MONTHS}
 
-# Dates of one grid step, wide enough for any of the given tables, and the step back.
-_CALENDAR = {
-    "m": "explode(sequence(date'1990-01-01', date'2035-12-01', interval 1 month))",
-    "w": "explode(sequence(date'1990-01-01', date'2035-12-31', interval 7 day))",
-    "h": "explode(sequence(date'1990-01-01', date'2035-12-31', interval 1 day))",
+# First date of the grid step that a date lies in, the step, and the step back.
+_STEP = {
+    "m": ("trunc(first, 'month')", "interval 1 month"),
+    "w": ("cast(date_trunc('week', first) as date)", "interval 7 day"),
+    "h": ("first", "interval 1 day"),
 }
 _STEP_BACK = {
     "m": "add_months(session_date, -1)",
@@ -156,11 +165,15 @@ class Fixture:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        grid = "m" if self.grid == "s" else self.grid
-        return self.spark.sql(f"select {_CALENDAR[grid]} as session_date").select(
+        """Every grid step from that of the table's first date to that of its last one."""
+        first, step = _STEP["m" if self.grid == "s" else self.grid]
+        span = self.dates.agg(F.min("session_date").alias("first"), F.max("session_date").alias("last"))
+        return span.where("first is not null").select(
+            F.expr(f"explode(sequence({first}, last, {step}))").alias("session_date")
+        ).select(
             "session_date",
             F.lit(True).alias("is_trading_day"),
-            F.expr(_STEP_BACK[grid]).alias("prev_trading_day"),
+            F.expr(_STEP_BACK["m" if self.grid == "s" else self.grid]).alias("prev_trading_day"),
         )
 
     @cached_property
@@ -197,7 +210,10 @@ class Fixture:
     @cached_property
     def events(self) -> DataFrame:
         """The breakout table as a written stage, for plans that read it more than once."""
-        return write_stage(self.context, f"breakouts-{self.grid}")
+        require_none(calendar_violations(self.bars, self.calendar), "session date outside the calendar")
+        events = write_stage(self.context, f"breakouts-{self.grid}")
+        require_none(label_violations(events), "breakout that no label may be given")
+        return events
 
     @cached_property
     def features(self) -> DataFrame:
@@ -205,7 +221,12 @@ class Fixture:
 
     @cached_property
     def feature_stage(self) -> DataFrame:
-        return write_stage(self.features, f"features-{self.grid}")
+        require_none(
+            feature_violations(self.events, self.bars, self.index_bars, self.params), "breakout at odds with its bar"
+        )
+        features = write_stage(self.features, f"features-{self.grid}")
+        require_none(study_violations(features), "label that is no outcome")
+        return features
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -224,7 +245,9 @@ class Fixture:
 
     @cached_property
     def trade_stage(self) -> DataFrame:
-        return write_stage(with_trade_id(self.trades), f"trades-{self.grid}")
+        trades = write_stage(with_trade_id(self.trades), f"trades-{self.grid}")
+        require_none(entry_violations(trades, self.features), "entry without a feature row")
+        return trades
 
     @cached_property
     def eligible(self) -> DataFrame:
@@ -232,9 +255,13 @@ class Fixture:
 
     @cached_property
     def twins(self) -> DataFrame:
-        return write_stage(
+        twins = write_stage(
             matched_random(self.trade_stage, self.eligible, self.bars, self.params), f"twins-{self.grid}"
         )
+        require_none(
+            self.trade_stage.join(twins, "trade_id", "left_anti").select("trade_id"), "trade without a random twin"
+        )
+        return twins
 
     @cached_property
     def strategy_results(self) -> DataFrame:
@@ -246,10 +273,12 @@ class Fixture:
 
     @cached_property
     def edges(self) -> DataFrame:
+        require_none(pairing_violations(self.strategy_results, self.random_results), "result without a partner")
         return edge_vs_random(self.strategy_results, self.random_results, self.params)
 
     @cached_property
     def overall(self) -> DataFrame:
+        require_none(expectancy_violations(self.strategy_results), "trade without a net multiple")
         return expectancy(self.strategy_results, LEVEL, self.params)
 
     @cached_property

@@ -171,7 +171,7 @@ def compare_combinations(fx):
     return parts[0].unionByName(parts[1]).select("combination", "n", "brier", "brier_base", "skill")
 
 
-_VERDICT = "CASE WHEN {n} < 30 THEN 'insufficient_sample' WHEN ci_low > 0 THEN 'informative' ELSE 'no_better_than_base_rate' END AS verdict"
+_VERDICT = "CASE WHEN {n} < 30 THEN 'insufficient_sample' WHEN ci_low IS NULL THEN NULL WHEN ci_low > 0 THEN 'informative' ELSE 'no_better_than_base_rate' END AS verdict"
 
 
 @query("brier_score", "w", f"""SELECT n, n_sessions, failures, {num('variance_share', 'brier', 'brier_base')}, round(1 - brier / brier_base, 6) AS skill,
@@ -213,8 +213,12 @@ def three_way_score(fx):
     return fc.three_way_score(fx.predictions, fx.params)
 
 
-@query("setup_gate", "w", """SELECT setup, symbol, session_date::VARCHAR AS session_date, direction, signal_slot FROM fobsig_$, study_$
- WHERE verdict = 'signal'""")
+SETUP_GATE = """SELECT setup, symbol, session_date::VARCHAR AS session_date, direction, signal_slot FROM fobsig_$, study_$
+ WHERE verdict = 'signal'"""
+
+
+@query("setup_gate_months", "m", SETUP_GATE)
+@query("setup_gate", "w", SETUP_GATE)
 def setup_gate(fx):
     verdict = study.study_verdict(fx.feature_stage, fx.params)
     gated = trades.setup_gate(trades.failed_orb_signals(fx.events), verdict)
