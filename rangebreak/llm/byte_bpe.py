@@ -21,7 +21,7 @@ import base64
 import hashlib
 from functools import cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +184,16 @@ def _resolve(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public.path("byte_bpe_multi_50k.tiktoken"), pattern or public.PATTERN
 
 
+def encoded_batches(batches, path: str | None = None, pattern: str | None = None):
+    """``(ids, tokens of each text)`` of some rows at a time: Python strings of a whole batch are many."""
+    bpe = tokenizer(*_resolve(path, pattern))
+    for batch in batches:
+        for row in range(0, len(batch), 500):
+            texts = plain_strings(batch.column("text").slice(row, 500)).to_pylist()
+            for at, to in _groups(texts):
+                yield batch.column("doc_id").slice(row + at, to - at), bpe.encode(texts[at:to])
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Every row of ``docs`` with its token ids, its decoded bytes' digest and the ids' digest.
 
@@ -193,41 +203,20 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
 
     def run(batches):
         bpe = tokenizer(*_resolve(path, pattern))
-        for batch in batches:
-            column, ids_column = plain_strings(batch.column("text")), batch.column("doc_id")
-            at_row = 0
-            while at_row < len(column):  # some rows at a time: Python strings of a whole batch are many
-                part = column.slice(at_row, 500).to_pylist()
-                for at, to in _groups(part):
-                    counts, named, decoded, tokens = [], [], [], []
-                    for ids in bpe.encode(part[at:to]):
-                        counts.append(len(ids))
-                        named.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
-                        decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                        if keep_ids:
-                            tokens.append(pa.array(ids, pa.int32()))
-                    columns = [
-                        ids_column.slice(at_row + at, to - at),
-                        pa.array(counts, pa.int64()),
-                        pa.array(named, pa.string()),
-                        pa.array(decoded, pa.string()),
-                    ]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                    if keep_ids:
-                        offsets = pa.array([0, *_running(counts)], pa.int32())
-                        columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(tokens)))
-                        names.append("token_ids")
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-                at_row += 500
+        for doc_ids, encoded in encoded_batches(batches, path, pattern):
+            counts = [len(ids) for ids in encoded]
+            named = [hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest() for ids in encoded]
+            decoded = [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in encoded]
+            columns = [doc_ids, pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                offsets = pa.array([0, *accumulate(counts)], pa.int32())
+                tokens = pa.array(np.fromiter(chain.from_iterable(encoded), np.int32, sum(counts)))
+                columns.append(pa.ListArray.from_arrays(offsets, tokens))
+                names.append("token_ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, schema + ", token_ids array<int>" * keep_ids
     )
-
-
-def _running(counts: list[int]):
-    total = 0
-    for c in counts:
-        total += c
-        yield total

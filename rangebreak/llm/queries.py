@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, context_tree, forest, jaccard_join, mixing, quality, secrets, toxicity, warc
+from rangebreak.llm import byte_bpe, context_tree, forest, jaccard_join, mixing, quality, secrets, token_counts, toxicity, warc
 from rangebreak.llm.ship import ship_code
 
 
@@ -43,6 +43,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_byte_bpe,
         op4_toxicity,
         op5_warc,
+        op6_token_counts,
         op7_nearest_neighbours,
         op8_quality_rules,
         op9_lm_scoring,

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, context_tree, forest, jaccard_join, mixing, quality, secrets, toxicity, warc
+from rangebreak.llm import byte_bpe, context_tree, forest, jaccard_join, mixing, quality, secrets, token_counts, toxicity, warc
 from rangebreak.llm.components import components
 from rangebreak.llm.ship import ship_code
 from rangebreak.llm.text import Words, chunks
@@ -183,6 +183,28 @@ def test_bpe_equals_the_library(spark):
     assert byte_bpe.encode_decode(documents(spark, [])).collect() == []
 
 
+def test_token_counts_for_every_limit(spark):
+    path, pattern, library = reference_tokenizer()
+    texts = odd_texts(7)
+    lengths = [len(library.encode_ordinary(t or "")) for _, t in texts]
+    histogram = token_counts.length_histogram(token_counts.encoded_lengths(documents(spark, texts, extra=True), path, pattern))
+    table = token_counts.limit_table(histogram)
+    rows = table.collect()
+    assert {r.context_limit for r in rows} == set(lengths)
+    for r in rows:
+        c = r.context_limit
+        assert (r.documents, r.documents_within) == (lengths.count(c), sum(n <= c for n in lengths))
+        assert (r.documents_longer, r.tokens_within) == (sum(n > c for n in lengths), sum(n for n in lengths if n <= c))
+        assert (r.truncated_tokens, r.total_tokens) == (sum(min(n, c) for n in lengths), sum(lengths))
+        assert r.total_documents == len(lengths) and math.isclose(r.share_within, sum(n <= c for n in lengths) / len(lengths))
+    got = {r.context_limit: (r.documents_longer, r.truncated_tokens) for r in token_counts.at_limits(histogram, [0, 1, 17, 500, 10**6]).collect()}
+    assert got == {c: (sum(n > c for n in lengths), sum(min(n, c) for n in lengths)) for c in (0, 1, 17, 500, 10**6)}
+    ordered = sorted(lengths)
+    for r in token_counts.quantiles(table, [0.1, 0.5, 0.9, 1.0]).collect():
+        assert r.n_tokens == ordered[math.ceil(r.share * len(ordered)) - 1]
+    assert token_counts.count_tokens(documents(spark, [])).collect() == []
+
+
 def toxic_corpus():
     r = random.Random(9)
     clean = ["garden", "river", "window", "summer", "bread", "letter", "market", "forest", "number", "story"]
