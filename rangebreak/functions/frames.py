@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,29 +38,35 @@ def require_none(violations: DataFrame, message: str) -> None:
         raise InputError(f"{message}: {found[0].asDict()}")
 
 
-@cache
-def _local_stage_root() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for written stages: the one the cluster names, else a local one in tests."""
+    """Shared folder for written stages: the one that the session names."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_stage_root()
+    return configured
+
+
+#: Per Spark application and stage name: the plans written, their input files and where they are.
+_written: dict[tuple[str, str], list[tuple[DataFrame, frozenset[str], str]]] = {}
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+def write_stage(df: DataFrame, name: str, reuse: bool = False) -> DataFrame:
     """Write an intermediate table that several later branches read, and read it back.
 
     Columnar files in shared storage survive lost executors and let each branch prune columns.
+    With ``reuse`` an equal plan over the same input files, written earlier by this application under this
+    name, is read again in place of a second copy.
     """
     spark = df.sparkSession
+    kept = _written.setdefault((spark.sparkContext.applicationId, name), [])
+    files = frozenset(df.inputFiles()) if reuse else frozenset()
+    for plan, read, path in kept if reuse else ():
+        if read == files and plan.sameSemantics(df):
+            return spark.read.schema(df.schema).parquet(path)
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if reuse:
+        kept.append((df, files, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

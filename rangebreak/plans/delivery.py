@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +12,15 @@ from pyspark.sql import types as T
 from rangebreak.functions.frames import stage_root, write_stage
 from rangebreak.operators import audit, quality, study, universe
 from rangebreak.operators.features import EVENT_KEY, breakout_context, feature_table
-from rangebreak.plans.catalogue import query
+from rangebreak.plans import catalogue
 from rangebreak.plans.fixtures import ZONE
 from rangebreak.plans.sql import delivery as sql
 from rangebreak.plans.sql.base import num
 from rangebreak.sources import artifacts, reference, store
 
+# These plans read bars on several branches.
+query = partial(catalogue.query, stage=True)
+
 S = "symbol, session_date::VARCHAR AS session_date"
 OHLC = num("open", "high", "low", "close")
 
@@ -75,14 +79,12 @@ def tier_routing(fx):
 
 
 def outcomes(fx):
-    """Outcomes with corrupt sessions taken as not received, so that some dates are missing."""
-    received = fx.verdict_stage.where("verdict <> 'CORRUPT'")
+    """Outcomes of every symbol asked for, corrupt sessions counted among the received."""
     expected = fx.real_calendar.where("is_trading_day").select("session_date")
-    symbols = fx.bars.select("symbol").distinct()
     daily = quality.daily_row_verdicts(
         fx.daily.join(F.broadcast(fx.fetched_at)), fx.real_calendar, fx.params
     )
-    return quality.symbol_outcomes(symbols, received, daily, expected)
+    return quality.symbol_outcomes(fx.expected_symbols, fx.verdict_stage, daily, expected)
 
 
 _DAYH = """(SELECT symbol, count(*) AS daily_rows, count(*) FILTER (v = 'CORRUPT') AS daily_corrupt, count(*) FILTER (v = 'SUSPECT') AS daily_suspect FROM (
@@ -91,7 +93,7 @@ _DAYH = """(SELECT symbol, count(*) AS daily_rows, count(*) FILTER (v = 'CORRUPT
   WHERE session_date <> (SELECT max(session_date) FROM dates_h))) GROUP BY symbol)"""
 
 
-@query("symbol_outcomes", "h", f"SELECT o.*, d.daily_rows, d.daily_corrupt, d.daily_suspect FROM outc_h o JOIN {_DAYH} d USING (symbol)")
+@query("symbol_outcomes", "h", f"SELECT o.*, coalesce(d.daily_rows, 0) AS daily_rows, coalesce(d.daily_corrupt, 0) AS daily_corrupt, coalesce(d.daily_suspect, 0) AS daily_suspect FROM outc_h o LEFT JOIN {_DAYH} d USING (symbol)")
 def symbol_outcomes(fx):
     pairs = F.transform(
         F.map_entries("missing_slot_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
@@ -107,14 +109,14 @@ def symbol_outcomes(fx):
 @query("run_tally", "h", f"""SELECT count(*) AS symbols, sum(expected_sessions)::BIGINT AS attempted, sum(received_sessions)::BIGINT AS received, sum(clean)::BIGINT AS clean,
  sum(tail_collapsed)::BIGINT AS tail_collapsed, sum(partial)::BIGINT AS partial, sum(suspect)::BIGINT AS suspect, sum(corrupt)::BIGINT AS corrupt,
  sum(daily_rows)::BIGINT AS daily_rows, sum(daily_corrupt)::BIGINT AS daily_corrupt, sum(daily_suspect)::BIGINT AS daily_suspect,
- sum(expected_sessions - received_sessions)::BIGINT AS missing, sum(clean + tail_collapsed)::BIGINT AS research FROM outc_h JOIN {_DAYH} USING (symbol)""")
+ sum(expected_sessions - received_sessions)::BIGINT AS missing, sum(clean + tail_collapsed)::BIGINT AS research FROM outc_h LEFT JOIN {_DAYH} USING (symbol)""")
 def run_tally(fx):
     return quality.run_tally(outcomes(fx))
 
 
 @query("missing_everywhere", "h", """SELECT 'all symbols' AS scope, NULL::VARCHAR AS symbol, session_date::VARCHAR AS session_date FROM lack_h GROUP BY session_date
- HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars_h) UNION ALL SELECT 'one symbol', symbol, session_date::VARCHAR FROM lack_h
- WHERE session_date IN (SELECT session_date FROM lack_h GROUP BY session_date HAVING count(*) < (SELECT count(DISTINCT symbol) FROM bars_h))""")
+ HAVING count(*) = (SELECT count(*) FROM asked_h) UNION ALL SELECT 'one symbol', symbol, session_date::VARCHAR FROM lack_h
+ WHERE session_date IN (SELECT session_date FROM lack_h GROUP BY session_date HAVING count(*) < (SELECT count(*) FROM asked_h))""")
 def missing_everywhere(fx):
     return quality.missing_everywhere(outcomes(fx))
 
@@ -273,19 +275,32 @@ def scan_expiries(fx):
     return reference.scan_expiries(fx.spark, path)
 
 
-_FULL_ROWS = "(SELECT * FROM raw_h WHERE close IS NOT NULL)"
-
-
-@query("vendor_to_bars", "h", f"""SELECT symbol, ts::DATE::VARCHAR AS session_date, ts::VARCHAR AS ts, {OHLC}, volume FROM {_FULL_ROWS} r
- WHERE ingest_seq = (SELECT max(q.ingest_seq) FROM {_FULL_ROWS} q WHERE q.symbol = r.symbol AND q.ts = r.ts)""")
+@query("vendor_to_bars", "h", f"""SELECT symbol, ts::DATE::VARCHAR AS session_date, ts::VARCHAR AS ts, {OHLC}, volume FROM raw_h r
+ WHERE ingest_seq = (SELECT max(q.ingest_seq) FROM raw_h q WHERE q.symbol = r.symbol AND q.ts = r.ts)""")
 def vendor_to_bars(fx):
-    delivered = fx.delivered.where("close is not null").withColumnsRenamed(
+    delivered = fx.delivered.withColumnsRenamed(
         {c: c.title() for c in store.BAR_FIELDS}
     )
     raw = delivered.select("symbol", F.col("ts").alias("date"), *[c.title() for c in store.BAR_FIELDS], "ingest_seq")
     return store.vendor_to_bars(raw, ZONE, "date", names="title").drop("ingest_seq")
 
 
+@query("vendor_to_bars_zoned", "h", f"""SELECT symbol, ts::DATE::VARCHAR AS session_date, ts::VARCHAR AS ts, {OHLC}, volume FROM raw_h r
+ WHERE ingest_seq = (SELECT max(q.ingest_seq) FROM raw_h q WHERE q.symbol = r.symbol AND q.ts = r.ts)""")
+def vendor_to_bars_zoned(fx):
+    """The other layout: lower-case names and instants, here the local times as such in the zone."""
+    instant = F.convert_timezone(F.lit(ZONE), F.lit("UTC"), F.col("ts")).cast("timestamp")
+    raw = fx.delivered.select("symbol", instant.alias("datetime"), *store.BAR_FIELDS, "ingest_seq")
+    return store.vendor_to_bars(raw, ZONE, "datetime").drop("ingest_seq")
+
+
+@query("vendor_violations", "h", """SELECT symbol, ts::VARCHAR AS ts, 'missing value' AS violation FROM raw_h WHERE open IS NULL OR high IS NULL OR low IS NULL
+ OR close IS NULL OR volume IS NULL UNION ALL SELECT symbol, ts::VARCHAR, 'repeated timestamp' FROM raw_h GROUP BY symbol, ts HAVING count(*) > 1""")
+def vendor_violations(fx):
+    raw = fx.delivered.select("symbol", "ts", *store.BAR_FIELDS, "ingest_seq")
+    return store.vendor_violations(store.vendor_to_bars(raw, ZONE, "ts", keep_last=False))
+
+
 @query("bar_contract_check", "h", """SELECT symbol, violation, rows FROM (SELECT symbol, 'not ascending' AS violation, count(*) FILTER (bk) AS rows FROM (
  SELECT symbol, lag(ts) OVER (PARTITION BY symbol, session_date ORDER BY ingest_seq) > ts AS bk FROM raw_h) GROUP BY symbol UNION ALL
  SELECT symbol, 'duplicate timestamp', count(*) FILTER (rp) FROM (SELECT symbol, lag(ts) OVER (PARTITION BY symbol, session_date ORDER BY ts, ingest_seq) = ts AS rp FROM raw_h)

@@ -145,7 +145,7 @@ class Fixture:
         them from the bar store: the raw table is then read once, and each branch reads its columns.
         """
         bars = ticks_to_bars(self.ticks)
-        return write_stage(bars, f"bars-{self.grid}") if self.stage_bars else bars
+        return write_stage(bars, f"bars-{self.grid}", reuse=True) if self.stage_bars else bars
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -211,7 +211,7 @@ class Fixture:
     def events(self) -> DataFrame:
         """The breakout table as a written stage, for plans that read it more than once."""
         require_none(calendar_violations(self.bars, self.calendar), "session date outside the calendar")
-        events = write_stage(self.context, f"breakouts-{self.grid}")
+        events = write_stage(self.context, f"breakouts-{self.grid}", reuse=True)
         require_none(label_violations(events), "breakout that no label may be given")
         return events
 
@@ -224,7 +224,7 @@ class Fixture:
         require_none(
             feature_violations(self.events, self.bars, self.index_bars, self.params), "breakout at odds with its bar"
         )
-        features = write_stage(self.features, f"features-{self.grid}")
+        features = write_stage(self.features, f"features-{self.grid}", reuse=True)
         require_none(study_violations(features), "label that is no outcome")
         return features
 
@@ -240,12 +240,12 @@ class Fixture:
     def predictions(self) -> DataFrame:
         """Walk-forward predictions with both combinations, as a written stage."""
         return write_stage(
-            compare_combinations(self.feature_stage, self.params), f"predictions-{self.grid}"
+            compare_combinations(self.feature_stage, self.params), f"predictions-{self.grid}", reuse=True
         )
 
     @cached_property
     def trade_stage(self) -> DataFrame:
-        trades = write_stage(with_trade_id(self.trades), f"trades-{self.grid}")
+        trades = write_stage(with_trade_id(self.trades), f"trades-{self.grid}", reuse=True)
         require_none(entry_violations(trades, self.features), "entry without a feature row")
         return trades
 
@@ -256,7 +256,7 @@ class Fixture:
     @cached_property
     def twins(self) -> DataFrame:
         twins = write_stage(
-            matched_random(self.trade_stage, self.eligible, self.bars, self.params), f"twins-{self.grid}"
+            matched_random(self.trade_stage, self.eligible, self.bars, self.params), f"twins-{self.grid}", reuse=True
         )
         require_none(
             self.trade_stage.join(twins, "trade_id", "left_anti").select("trade_id"), "trade without a random twin"
@@ -304,6 +304,12 @@ class Fixture:
             (F.max("session_date").cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("fetched_at")
         )
 
+    @cached_property
+    def expected_symbols(self) -> DataFrame:
+        """Symbols that bars are asked for: those with bars, and regions, which deliver nothing."""
+        regions = self.table("region").select(F.col("r_name").alias("symbol"))
+        return self.bars.select("symbol").unionByName(regions).distinct()
+
     @cached_property
     def delivered(self) -> DataFrame:
         """Hourly bars as delivered, with faults chosen by the first event of the bar or session."""
@@ -353,7 +359,7 @@ class Fixture:
 
     @cached_property
     def verdict_stage(self) -> DataFrame:
-        return write_stage(self.verdicts, f"verdicts-{self.grid}")
+        return write_stage(self.verdicts, f"verdicts-{self.grid}", reuse=True)
 
     @cached_property
     def delivered_daily(self) -> DataFrame:

@@ -97,10 +97,11 @@ step(
   WHERE session_date <> (SELECT max(session_date) FROM dates_m))""",
 )
 # Hourly outcomes use the daily rows of the same fixture: each session as one daily row.
+step("asked_h", "SELECT symbol FROM bars_h UNION SELECT r_name FROM region")
 step(
     "lack_h",
-    """SELECT u.symbol, c.session_date FROM (SELECT DISTINCT symbol FROM bars_h) u, caldays_h c WHERE c.is_trading_day
- AND NOT EXISTS (SELECT 1 FROM verd_h v WHERE v.symbol = u.symbol AND v.session_date = c.session_date AND v.verdict <> 'CORRUPT')""",
+    """SELECT u.symbol, c.session_date FROM asked_h u, caldays_h c WHERE c.is_trading_day
+ AND NOT EXISTS (SELECT 1 FROM verd_h v WHERE v.symbol = u.symbol AND v.session_date = c.session_date)""",
 )
 step(
     "slots_h",
@@ -112,9 +113,9 @@ step(
     """SELECT u.symbol, (SELECT count(*) FROM caldays_h WHERE is_trading_day) AS expected_sessions, coalesce(r.received, 0) AS received_sessions,
  coalesce(l.dates, '') AS missing_dates, coalesce(r.clean, 0) AS clean, coalesce(r.tail_collapsed, 0) AS tail_collapsed, coalesce(r.partial, 0) AS partial,
  coalesce(r.suspect, 0) AS suspect, coalesce(r.corrupt, 0) AS corrupt, coalesce(s.slots, '') AS missing_slot_counts
- FROM (SELECT DISTINCT symbol FROM bars_h) u LEFT JOIN (SELECT symbol, count(*) AS received, count(*) FILTER (verdict = 'CLEAN') AS clean,
+ FROM asked_h u LEFT JOIN (SELECT symbol, count(*) AS received, count(*) FILTER (verdict = 'CLEAN') AS clean,
   count(*) FILTER (verdict = 'TAIL_COLLAPSED') AS tail_collapsed, count(*) FILTER (verdict = 'PARTIAL') AS partial,
-  count(*) FILTER (verdict = 'SUSPECT') AS suspect, count(*) FILTER (verdict = 'CORRUPT') AS corrupt FROM verd_h WHERE verdict <> 'CORRUPT' GROUP BY symbol) r USING (symbol)
+  count(*) FILTER (verdict = 'SUSPECT') AS suspect, count(*) FILTER (verdict = 'CORRUPT') AS corrupt FROM verd_h GROUP BY symbol) r USING (symbol)
  LEFT JOIN (SELECT symbol, string_agg(session_date::VARCHAR, '; ' ORDER BY session_date) AS dates FROM lack_h GROUP BY symbol) l USING (symbol)
  LEFT JOIN (SELECT symbol, string_agg(printf('%02d:00', slot) || '=' || n, '; ' ORDER BY slot) AS slots FROM slots_h GROUP BY symbol) s USING (symbol)""",
 )

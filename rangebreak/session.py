@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,4 +23,16 @@ def local_session(cpus: int | None = None, name: str = "rangebreak") -> SparkSes
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_shared_folder(spark)
     return spark
+
+
+def name_shared_folder(spark: SparkSession) -> None:
+    """Name a folder for written stages where none is named and the driver is the whole cluster.
+
+    It is removed when the process ends. On a cluster the setting is the cluster's to make.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="spark-stages-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
