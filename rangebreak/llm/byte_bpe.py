@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rangebreak.llm.text import plain_strings
 
 #: Encoded matches kept per Python worker; beyond that the dictionary starts anew.
-KEPT_MATCHES = 1_000_000
+KEPT_MATCHES = 700_000
 #: Characters of text whose matches are encoded together.
 GROUP_CHARS = 1_500_000
 #: Matches that share one queue.

@@ -21,6 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,26 +86,23 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
     """Value of every slot, the bias, and the log odds of class 1 without evidence."""
     none = float(np.log(weights[toxic == 1].sum() / weights[toxic == 0].sum()))
     place: dict[str, int] = {}
-    rows, cols, counts = [], [], []
+    rows, cols, counts = array("i"), array("i"), array("f")
     for i, text in enumerate(texts):
         words = WORD.findall(text.lower())
-        own: dict[str, int] = {}
-        for w in words:
-            own[w] = own.get(w, 0) + 1
-        for w, c in own.items():
+        for w, c in Counter(words).items():
             rows.append(i)
             cols.append(place.setdefault(w, len(place)))
             counts.append(c / len(words))
     random = np.random.default_rng(7)
-    rows, cols, counts = np.array(rows), np.array(cols), np.array(counts, np.float32)
+    rows, cols, counts = np.array(rows), np.array(cols), np.array(counts)
     # A word of one or two texts teaches their topic; it counts in a text's length alone.
     common = np.bincount(cols, minlength=len(place)) >= FEWEST_TEXTS
     slots = [subwords(w) for w, fit in zip(place, common, strict=True) if fit]
     if not slots:
         return np.zeros(SLOTS, np.float32), none, none
     renamed, fit = np.cumsum(common) - 1, common[cols]
-    word_of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    slot_of = np.array([s for own in slots for s in own], dtype=np.int64)
+    word_of = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
+    slot_of = np.fromiter(chain.from_iterable(slots), np.int32)
     used, slot_of = np.unique(slot_of, return_inverse=True)
     per_word = np.bincount(word_of, minlength=len(slots))
     in_text = _Sparse(rows[fit], renamed[cols[fit]], counts[fit])
@@ -141,7 +141,7 @@ def fold(doc_id) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int):
-    """Texts, classes and weights of the sample, and the training rows of each class."""
+    """The sample's rows ``(doc_id, toxic, text)`` and how many training rows each class has."""
     marks = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .where("toxic in (0, 1) and doc_id is not null")
@@ -158,19 +158,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
     for k in (0, 1):
         own = present.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = own if ids is None else ids.unionByName(own)
-    # At most 2 * per_class ids: a proven bound for the broadcast and for what comes back.
+    # At most 2 * per_class ids: a proven bound for the broadcast and for the rows that one task fits.
     rows = (
         fit.where(F.length("text") <= longest)
         .join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
-        .toArrow()
     )
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    toxic = rows.column("toxic").to_numpy()[order]
-    all_texts = rows.column("text").to_pylist()
-    share = np.where(toxic == 1, sizes[1] / (toxic == 1).sum(), sizes[0] / (toxic == 0).sum())
-    return ([all_texts[i] for i in order], toxic, share), sizes
+    return rows, sizes
+
+
+def fitted(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, float, float]:
+    """The model of a bounded sample, trained by one task; only the table of fixed size comes back."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches).sort_by("doc_id")
+        toxic, texts = rows.column("toxic").to_numpy(), rows.column("text").to_pylist()
+        share = np.where(toxic == 1, sizes[1] / (toxic == 1).sum(), sizes[0] / (toxic == 0).sum())
+        table, bias, none = train(texts, toxic, share)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias]), pa.array([none])], names=["table", "bias", "none"])
+
+    row = sample.repartition(1).mapInArrow(run, "table binary, bias double, none double").first()
+    return np.frombuffer(row["table"], np.float32), row["bias"], row["none"]
 
 
 def _scores(batches, model):
@@ -208,6 +217,6 @@ def score_toxicity(
     sample, sizes = labelled_sample(docs, labels, per_class, longest)
     if sample is None:
         return read.withColumn("score", F.lit(1.0 if sizes.get(1) else 0.0))
-    model = spark.sparkContext.broadcast(train(*sample))
+    model = spark.sparkContext.broadcast(fitted(sample, sizes))
     schema = ", ".join(f"`{c}` {t}" for c, t in read.dtypes) + ", score double"
     return read.mapInArrow(lambda batches: _scores(batches, model), schema)
