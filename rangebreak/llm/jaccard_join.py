@@ -241,7 +241,9 @@ def _first_against_all(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets meet the threshold."""
+    """The pairs whose whole sets meet the threshold. Only sets of nodes in pairs move."""
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = sets.select("node", "elements").join(asked, "node", "left_semi")
     left = sets.select(F.col("node").alias("u"), F.col("elements").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("elements").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -286,13 +288,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     ids = texts.select(F.col("doc_id").alias("chosen_id")).distinct()
     read = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = read.join(ids, read.doc_id.eqNullSafe(ids.chosen_id), "left_semi")
-    whole = shingle_sets(chosen, width).where("node is not null").dropDuplicates(["node"])
-    whole = write_stage(whole.select("node", "n", "elements"), "jaccard-whole")
+    whole = shingle_sets(chosen, width).where("node is not null").select("node", "n", "elements")
+    # A node comes twice only if an id does.
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    whole = write_stage(whole.dropDuplicates(["node"]) if repeated else whole, "jaccard-whole")
 
     heavy = heavy_lists(whole.where(F.col("n") >= smallest_partner(boundary, percent)), percent)
     lists = write_stage(heavy.unionByName(light.withColumn("place", F.lit(0).cast("long"))), "jaccard-lists")
-    links = write_stage(_links(_first_against_all(lists, percent), whole, percent), "jaccard-links")
-    more = _links(_pairs_between_classes(lists, components(links), percent), whole, percent)
+    pairs = write_stage(_first_against_all(lists, percent), "jaccard-pairs")
+    links = write_stage(_links(pairs, whole, percent), "jaccard-links")
+    pairs = write_stage(_pairs_between_classes(lists, components(links), percent), "jaccard-pairs")
+    more = _links(pairs, whole, percent)
     labels = components(links.unionByName(more))
 
     named = _labelled(rows.where("node is not null"), labels)
