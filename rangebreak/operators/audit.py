@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,27 +118,44 @@ def leak_report(full: DataFrame, other: DataFrame, keys: list[str], what: str) -
     )
 
 
+def cut_dates(bars: DataFrame, parts: int = 4) -> list:
+    """Session dates that part the history evenly, the first date and the end left out."""
+    dates = sorted(r[0] for r in bars.select("session_date").distinct().collect())  # bounded by the calendar
+    return [dates[len(dates) * k // parts] for k in range(1, parts)] if dates else []
+
+
 def audit_truncation(
-    transform: Transform, bars: DataFrame, date, slot: int, keys: list[str], slot_column: str
+    transform: Transform, bars: DataFrame, dates: list, slot: int, keys: list[str], slot_column: str
 ) -> DataFrame:
-    """Recompute on bars cut after (date, slot): every decision up to the cut must come out the same.
+    """Recompute on bars cut after (date, slot) of each date: every decision up to it must come out the same.
 
-    One cut tests all decisions before it at once, instead of one decision at a time.
+    One cut tests all decisions before it at once, instead of one decision at a time. ``transform`` derives
+    daily rows, the index and all else from the bars it is given, so these end at the cut too.
     """
-    cut = transform(_decided_by(bars, date, slot, "slot"))
-    full = _decided_by(transform(bars), date, slot, slot_column)
-    return leak_report(full, cut, keys, "truncation")
+    whole = transform(bars)
+    reports = []
+    for date in dates:
+        cut = transform(_decided_by(bars, F.lit(date), slot, "slot"))
+        full = _decided_by(whole, F.lit(date), slot, slot_column)
+        reports.append(leak_report(full, cut, keys, "truncation").withColumn("cut", F.lit(date)))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def audit_poison(
     transform: Transform, bars: DataFrame, from_slot: int, keys: list[str], slot_column: str
 ) -> DataFrame:
-    """Poison each symbol's last session from a slot on: earlier decisions must not move."""
+    """Poison each symbol's last session from a slot on: earlier decisions must not move.
+
+    Symbols meet in the index, so only what is decided before the first poisoned bar of any symbol counts.
+    """
     last = bars.groupBy("symbol").agg(F.max("session_date").alias("last_date"))
+    start = last.agg(F.min("last_date").alias("start"))
 
     def honest(df: DataFrame) -> DataFrame:
-        ahead = (F.col("session_date") == F.col("last_date")) & (F.col(slot_column) >= from_slot)
-        return df.join(last, "symbol").where(~ahead).drop("last_date")
+        before = (F.col("session_date") < F.col("start")) | (
+            (F.col("session_date") == F.col("start")) & (F.col(slot_column) < from_slot)
+        )
+        return df.join(F.broadcast(start)).where(before).drop("start")  # one row
 
     return leak_report(
         honest(transform(bars)), honest(transform(poison_future(bars, from_slot))), keys, "poison"

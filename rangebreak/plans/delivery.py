@@ -13,10 +13,12 @@ from rangebreak.functions.frames import stage_root, write_stage
 from rangebreak.operators import audit, quality, study, universe
 from rangebreak.operators.features import EVENT_KEY, breakout_context, feature_table
 from rangebreak.plans import catalogue
-from rangebreak.plans.fixtures import ZONE
+from rangebreak.operators.trades import failed_orb_signals, orb_signals
+from rangebreak.plans.fixtures import INDEX, ZONE
 from rangebreak.plans.sql import delivery as sql
 from rangebreak.plans.sql.base import num
 from rangebreak.sources import artifacts, reference, store
+from rangebreak.sources.ticks import daily_rows, pooled_index
 
 # These plans read bars on several branches.
 query = partial(catalogue.query, stage=True)
@@ -410,29 +412,63 @@ def frame_diff(fx):
     return audit.frame_diff(bars, changed, ["symbol", "session_date", "slot"]).drop("left_value", "right_value")
 
 
-def _features_of(fx):
-    """Features recomputed from the bars given; daily rows and the index stay as they are."""
+def _decisions_of(fx, decide):
+    """Decisions recomputed from trade bars alone: daily rows and the index come from the same bars."""
 
-    def transform(bars):
-        events = breakout_context(bars, fx.daily, fx.calendar, fx.params)
-        table = feature_table(events, bars, fx.index_bars, fx.expiries, fx.params)
-        # Labels and extensions are outcomes, and may look ahead.
-        return write_stage(table.drop("label", "max_extension_atr"), "audited")
+    def transform(traded):
+        bars = traded.drop("first_seq", "last_seq")
+        events = breakout_context(bars, daily_rows(bars), fx.calendar, fx.params)
+        return write_stage(decide(events, bars, pooled_index(traded, INDEX)), "audited")
 
     return transform
 
 
-CUT = datetime.date(1998, 6, 1)
+def _features_of(fx):
+    # Labels and extensions are outcomes, and may look ahead.
+    return _decisions_of(
+        fx,
+        lambda events, bars, index: feature_table(events, bars, index, fx.expiries, fx.params).drop(
+            "label", "max_extension_atr"
+        ),
+    )
+
+
+def _signals_of(fx):
+    return _decisions_of(fx, lambda events, bars, index: orb_signals(events, bars).unionByName(failed_orb_signals(events)))
+
+
+CUT_SLOT = 12
+SIGNAL_KEY = ["setup", "symbol", "session_date", "direction"]
+_CUTS = """(SELECT unnest([d[1 + len(d) // 4], d[1 + len(d) * 2 // 4], d[1 + len(d) * 3 // 4]]) AS cut
+ FROM (SELECT list_sort(list(DISTINCT session_date)) AS d FROM bars_m))"""
+
 
+def _truncation_sql(table: str, slot: str) -> str:
+    return f"""SELECT 'truncation' AS audit, count(t.symbol) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field, cut::VARCHAR AS cut
+ FROM {_CUTS} LEFT JOIN {table} t ON t.session_date < cut OR (t.session_date = cut AND t.{slot} <= {CUT_SLOT}) GROUP BY cut"""
 
-@query("audit_truncation", "m", f"""SELECT 'truncation' AS audit, count(*) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field FROM feat_m
- WHERE session_date < DATE '{CUT}' OR (session_date = DATE '{CUT}' AND breakout_slot <= 12)""")
+
+def _poison_sql(table: str, slot: str) -> str:
+    return f"""SELECT 'poison' AS audit, count(*) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field FROM {table},
+ (SELECT min(d) AS start FROM (SELECT max(session_date) AS d FROM bars_m GROUP BY symbol))
+ WHERE session_date < start OR (session_date = start AND {slot} < {POISON_SLOT})"""
+
+
+@query("audit_truncation", "m", _truncation_sql("feat_m", "breakout_slot"))
 def audit_truncation(fx):
-    cut = F.lit(CUT)
-    return audit.audit_truncation(_features_of(fx), fx.bars, cut, 12, EVENT_KEY, "breakout_slot")
+    return audit.audit_truncation(_features_of(fx), fx.traded, audit.cut_dates(fx.bars), CUT_SLOT, EVENT_KEY, "breakout_slot")
+
 
+@query("audit_truncation_signals", "m", _truncation_sql("sig_m", "signal_slot"))
+def audit_truncation_signals(fx):
+    return audit.audit_truncation(_signals_of(fx), fx.traded, audit.cut_dates(fx.bars), CUT_SLOT, SIGNAL_KEY, "signal_slot")
 
-@query("audit_poison", "m", f"""SELECT 'poison' AS audit, count(*) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field FROM feat_m f JOIN
- (SELECT symbol, max(session_date) AS d FROM bars_m GROUP BY symbol) USING (symbol) WHERE NOT (session_date = d AND breakout_slot >= {POISON_SLOT})""")
+
+@query("audit_poison", "m", _poison_sql("feat_m", "breakout_slot"))
 def audit_poison(fx):
-    return audit.audit_poison(_features_of(fx), fx.bars, POISON_SLOT, EVENT_KEY, "breakout_slot")
+    return audit.audit_poison(_features_of(fx), fx.traded, POISON_SLOT, EVENT_KEY, "breakout_slot")
+
+
+@query("audit_poison_signals", "m", _poison_sql("sig_m", "signal_slot"))
+def audit_poison_signals(fx):
+    return audit.audit_poison(_signals_of(fx), fx.traded, POISON_SLOT, SIGNAL_KEY, "signal_slot")

@@ -3,10 +3,11 @@
 import datetime
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangebreak.functions.frames import InputError, require_none
-from rangebreak.operators.audit import poison_violations
+from rangebreak.operators.audit import audit_poison, audit_truncation, cut_dates, poison_violations
 from rangebreak.operators.control import pairing_violations
 from rangebreak.operators.features import feature_violations
 from rangebreak.operators.forecast import forecast_verdict, score_violations
@@ -114,3 +115,30 @@ def test_gate_of_the_backtest(spark, verdict, open_):
     study = spark.createDataFrame([(verdict,)], "verdict string")
     assert {r.setup for r in gate_setups(rows, study).collect()} == ({"orb", "failed_orb"} if open_ else {"orb"})
     assert {r.setup for r in gate_setups(rows, study.limit(0)).collect()} == {"orb"}
+
+
+def crafted_bars(spark):
+    rows = [("A", DAY + datetime.timedelta(days=d), k, 100.0 + d + k, 10) for d in range(8) for k in range(6)]
+    shape = "symbol string, session_date date, slot int, close double, volume bigint"
+    bars = spark.createDataFrame(rows, shape)
+    return bars.select("symbol", "session_date", "slot", F.col("close").alias("open"), F.col("close").alias("high"), F.col("close").alias("low"), "close", "volume")
+
+
+def test_audits_catch_a_cheat_and_name_its_field(spark):
+    bars = crafted_bars(spark)
+    session = W.partitionBy("symbol", "session_date").orderBy("slot")
+    honest = lambda b: b.select("symbol", "session_date", "slot", F.sum("close").over(session).alias("so_far"))
+    cheat = lambda b: b.select(
+        "symbol", "session_date", "slot", F.sum("close").over(session).alias("so_far"), F.lead("close").over(session).alias("next_close")
+    )
+    # A daily row of the same day is a leak as well, although no bar ahead is read directly.
+    daily = lambda b: b.select(
+        "symbol", "session_date", "slot", F.max("close").over(W.partitionBy("symbol", "session_date")).alias("day_high")
+    )
+    dates, keys = cut_dates(bars), ["symbol", "session_date", "slot"]
+    assert len(dates) == 3
+    for transform, field in ((honest, None), (cheat, "next_close"), (daily, "day_high")):
+        for report in audit_truncation(transform, bars, dates, 2, keys, "slot").collect():
+            assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field and report.decisions > 0
+        report = audit_poison(transform, bars, 3, keys, "slot").first()
+        assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field
