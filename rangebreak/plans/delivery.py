@@ -207,7 +207,7 @@ def upsert_sessions(fx):
     store.write_store(first, root)
     existing = fx.spark.read.schema(store.STORE_SCHEMA).parquet(root)
     # Only the months that receive sessions are rewritten.
-    store.write_store(store.upsert_sessions(store.touched_months(existing, incoming), incoming), root)
+    store.write_store(store.merged_months(existing, incoming, fx.verdict_stage, ZONE), root)
     tiers = [
         store.scan_bars(fx.spark, root, "60m", ZONE, tier).withColumn("tier", F.lit(tier))
         for tier in ("bars", "quarantine")

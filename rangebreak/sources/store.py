@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rangebreak.functions.frames import require_none, write_stage
 from rangebreak.functions.scalars import count_when
 from rangebreak.operators.quality import tier_routing
 
@@ -34,7 +35,7 @@ STORE_SCHEMA = T.StructType(
 BAR_FIELDS = ("open", "high", "low", "close", "volume")
 
 
-class SealedHoldoutError(Exception):
+class HoldoutIsSealed(Exception):
     """Sealed sessions were asked for without breaking the seal."""
 
 
@@ -63,16 +64,15 @@ def stored(bars: DataFrame, interval: str, zone: str) -> DataFrame:
     )
 
 
-def write_store(rows: DataFrame, root: str, files_per_month: int = 16) -> None:
-    """Replace exactly the months present in ``rows``.
+def write_store(rows: DataFrame, root: str) -> None:
+    """Replace exactly the months present in ``rows``, which must not be read from ``root``.
 
-    A month is written by a fixed number of tasks, one file each, so neither a large month nor a
-    long history makes one huge file or very many small ones. Rows are sorted within files, which
-    lets a scan skip row groups by tier and symbol.
+    Spark rebalances the rows by month to files of its advisory size: a large month gets more
+    writers, small ones share one. Rows are sorted within files, which lets a scan skip row groups
+    by tier and symbol.
     """
-    part = F.pmod(F.xxhash64("symbol", "session_date"), F.lit(files_per_month))
     (
-        rows.repartition("interval", "month", part)
+        rows.hint("rebalance", "interval", "month")
         .sortWithinPartitions("interval", "month", "tier", "symbol", "session_date", "slot")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -81,6 +81,19 @@ def write_store(rows: DataFrame, root: str, files_per_month: int = 16) -> None:
     )
 
 
+def merged_months(existing: DataFrame, incoming: DataFrame, verdicts: DataFrame, zone: str) -> DataFrame:
+    """The months that an upsert rewrites, merged, checked and staged outside the store.
+
+    Nothing in the store has changed when this returns or fails. The write that follows reads the stage, so
+    it can be repeated if it fails half-way.
+    """
+    merged = write_stage(upsert_sessions(touched_months(existing, incoming), incoming), "upsert")
+    # Quarantine holds sessions for their faults; the rules on bars are for the research tier.
+    sound = F.col("tier") == "bars"
+    require_none(upsert_violations(incoming.where(sound), verdicts, merged.where(sound), zone), "upsert")
+    return merged
+
+
 def upsert_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming sessions replace their earlier copies in whichever tier holds them."""
     key = ["interval", "symbol", "session_date"]
@@ -174,7 +187,7 @@ def scan_holdout(
     if holdout_from is None:
         return bars.where(F.lit(False))
     if not unsealed:
-        raise SealedHoldoutError(f"sessions from {holdout_from} are sealed")
+        raise HoldoutIsSealed(f"sessions from {holdout_from} are sealed")
     return bars.where(F.col("session_date") >= F.lit(holdout_from).cast("date"))
 
 

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import InputError, require_none
+from rangebreak.functions.frames import InputError
 from rangebreak.operators import calendar as cal
 from rangebreak.operators import quality as q
 from rangebreak.params import Params
@@ -131,7 +131,7 @@ def test_seal_and_upsert_through_a_store(spark, tmp_path):
     sealed = store.scan_research_sealed(spark, root, "5m", P.zone, days[1])
     assert {r.session_date for r in sealed.collect()} == {days[0]}
     assert sealed.orderBy("slot").first().ts == datetime.datetime(2026, 9, 21, 9, 15)
-    with pytest.raises(store.SealedHoldoutError):
+    with pytest.raises(store.HoldoutIsSealed):
         store.scan_holdout(spark, root, "5m", P.zone, days[1])
     assert store.scan_holdout(spark, root, "5m", P.zone, days[1], unsealed=True).count() == 10
     assert store.scan_holdout(spark, root, "5m", P.zone).count() == 0
@@ -142,8 +142,12 @@ def test_seal_and_upsert_through_a_store(spark, tmp_path):
     verdicts = spark.createDataFrame([("AAA", days[1], "PARTIAL")], "symbol string, session_date date, verdict string")
     audit = store.upsert_audit(existing, incoming, verdicts).first()
     assert (audit.event, audit.tier, audit.previous_tier, audit.previous_rows, audit["rows"]) == ("replaced", "quarantine", "bars", 5, 4)
-    merged = store.upsert_sessions(store.touched_months(existing, incoming), incoming)
-    require_none(store.upsert_violations(incoming, verdicts, merged, P.zone), "upsert")
+    merged = store.merged_months(existing, incoming, verdicts, P.zone)
+    # Stopped here, before the write, the store still has the month as it was.
+    assert store.scan_bars(spark, root, "5m", P.zone).count() == 15
+    assert store.scan_quarantine(spark, root, "5m", P.zone).count() == 0
+    with pytest.raises(InputError, match="duplicate session"):
+        store.merged_months(existing, incoming, verdicts.unionByName(verdicts), P.zone)
     store.write_store(merged, root)
     assert store.scan_bars(spark, root, "5m", P.zone).count() == 10
     assert store.scan_quarantine(spark, root, "5m", P.zone).count() == 4
