@@ -36,13 +36,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
     classes = jaccard_join.jaccard_classes(docs)
-    # A kept id may stand on several rows: equal ones in one class, of which one stays, or rows of classes
-    # of their own, which differ in text.
-    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = docs.select(*COLUMNS).join(kept, "doc_id", "left").where(F.col("doc_id").isNull() | F.col("rows").isNotNull())
-    single = found.where("doc_id is null or rows = 1")
-    several = found.where("rows > 1").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several).select(*COLUMNS)
+    read = docs.select(*COLUMNS)
+    # Ids of which no row stays: few beside all, and Spark moves texts only if they are many.
+    stays = F.coalesce(F.max(F.col("doc_id") == F.col("component_id")), F.lit(True))
+    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id")
+    found = read.join(gone, "doc_id", "left_anti")
+    # Of rows with an equal id, one for each text.
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if not several.limit(1).count():
+        return found
+    twice = found.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return found.join(several, "doc_id", "left_anti").unionByName(twice)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import write_stage
+from rangebreak.functions.frames import write_buckets, write_stage
 from rangebreak.llm.components import components
 from rangebreak.llm.text import Words, chunks, mix, shingle_hashes
 
@@ -174,10 +174,9 @@ def with_partners(docs: DataFrame, rows: DataFrame, width: int, percent: int, bo
     n = F.col("n")
     smallest = smallest_partner(boundary, percent)
     prefixes = shingle_sets(docs, width, lambda e: _hash_prefix(e, percent) if len(e) >= smallest else e[:0])
-    # Equal texts give equal entries: a key counts when two different nodes hold it, and a node's hits
-    # stand once for each of its rows.
+    # A key counts when two rows hold it, so nodes of equal texts stay as well; they cost no pair.
     entries = prefixes.select("node", F.explode("elements").alias("key"))
-    two = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    two = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     hits = entries.join(two, "key", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
     sizes = rows.where(n >= smallest).groupBy("node", "n").agg(F.count("*").alias("rows"))
     least = 1 + F.floor(F.ceil(n * percent / 100) / SPARE_EVERY)
@@ -241,15 +240,18 @@ def _first_against_all(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets meet the threshold. Only sets of nodes in pairs move."""
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = sets.select("node", "elements").join(asked, "node", "left_semi")
-    left = sets.select(F.col("node").alias("u"), F.col("elements").alias("a"))
+    """The pairs whose whole sets meet the threshold.
+
+    ``sets`` lies in buckets of its node, so the first join moves pairs alone. Of the first sides, often
+    one node of very many pairs, only the sets asked for move, and Spark can split their pairs.
+    """
     right = sets.select(F.col("node").alias("v"), F.col("elements").alias("b"))
+    asked = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    left = asked.select(F.col("node").alias("u"), F.col("elements").alias("a"))
     common = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(left, "u")
-        .join(right, "v")
+        pairs.join(right, "v")
+        .join(left, "u")
         .where(common * (100 + percent) >= percent * (F.size("a") + F.size("b")))
         .select("u", "v")
     )
@@ -291,7 +293,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     whole = shingle_sets(chosen, width).where("node is not null").select("node", "n", "elements")
     # A node comes twice only if an id does.
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    whole = write_stage(whole.dropDuplicates(["node"]) if repeated else whole, "jaccard-whole")
+    whole = write_buckets(whole.dropDuplicates(["node"]) if repeated else whole, "node", "jaccard_whole")
 
     heavy = heavy_lists(whole.where(F.col("n") >= smallest_partner(boundary, percent)), percent)
     lists = write_stage(heavy.unionByName(light.withColumn("place", F.lit(0).cast("long"))), "jaccard-lists")
