@@ -70,6 +70,21 @@ def write_stage(df: DataFrame, name: str, reuse: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``write_stage``, in buckets of ``key``: later joins on it move the other side only."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", f"{stage_root(spark)}/{table}")
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def unpivot_features(df: DataFrame, features, keys) -> DataFrame:
     """Long form ``keys, feature, value`` with missing values left out."""
     cells = [
