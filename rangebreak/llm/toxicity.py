@@ -112,8 +112,9 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
     vectors = random.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32)
     softmax = random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     prior = (share * y).sum(0)
+    # The bias stays at the share of the classes: words that were never seen move a text nowhere else.
     bias = np.log(prior / prior.sum()).astype(np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax)]
     for step in range(1, steps + 1):
         words = in_word.times(vectors, len(slots))
         means = in_text.times(words, len(texts))
@@ -125,7 +126,7 @@ def train(texts: list[str], toxic: np.ndarray, weights: np.ndarray, steps: int =
         d_means = error @ softmax.T
         d_vectors = in_word.transposed_times(in_text.transposed_times(d_means, len(slots)), len(used))
         for k, (value, grad) in enumerate(
-            ((vectors, d_vectors + DECAY * vectors), (softmax, means.T @ error + DECAY * softmax), (bias, error.sum(0)))
+            ((vectors, d_vectors + DECAY * vectors), (softmax, means.T @ error + DECAY * softmax))
         ):
             m, v = state[k]
             m += 0.1 * (grad - m)
