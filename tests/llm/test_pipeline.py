@@ -29,7 +29,7 @@ def test_registration():
 
 def test_stages_against_plain_python(spark, tmp_path):
     texts, labels = toxic_corpus()
-    texts = [t for t in texts if t[0] < 400] + [(1000 + (i or 0), t) for i, t in odd_texts()]
+    texts = [t for t in texts if t[0] < 400] + [(1000 + i, t) for i, t in odd_texts() if i is not None]
     texts += [(9000, "river token = abcdefgh1234 bread garden"), (9001, None), (None, "story of no id")]
     folder = str(tmp_path)
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
