@@ -11,7 +11,9 @@ digits or more). On top, runs of base64 or hex characters are decoded and report
 * ``ssh``: an OpenSSH private key container, or a public key as length-prefixed fields that begin with
   its type and end with the bytes.
 
-Base64 may be wrapped over lines, as in PEM blocks; the span is the encoded run with its line breaks.
+Base64 may be wrapped over lines, as in PEM blocks; the span is the encoded run with its line breaks. A key
+is looked for from every line of a run that is long enough, up to the line end that its own lengths name, so
+words on the lines next to it do no harm.
 Spans are ``kind:start:end`` in code points, the end exclusive, ordered by start and then by kind.
 Null texts count as empty and have no spans. Repeated rows give repeated results. No shuffle.
 """
@@ -23,6 +25,7 @@ import binascii
 import hashlib
 import json
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,7 +44,10 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 
 SHORTEST_CODED = 24
 JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-CODED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[A-Za-z0-9+/_-]{4,}(?=[\r\n=]|$))*={0,2}" % SHORTEST_CODED)
+CODED = re.compile(
+    r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[A-Za-z0-9+/_-]{4,}(?=[\r\n=]|$))*(?:\r?\n[A-Za-z0-9+/_-]{1,3}(?==))?={0,2}" % SHORTEST_CODED
+)
+CODED_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_KEY = re.compile(r"[0-9A-Fa-f]{64,}")
 #: A text without any of these has no candidate of the method's kinds.
 HINTS = r"eyJ|[A-Za-z0-9+/_-]{%d}" % SHORTEST_CODED
@@ -128,6 +134,70 @@ def is_ssh_key(data: bytes) -> bool:
     return len(seen) >= 2 and seen[0] in _SSH_TYPES
 
 
+def _ssh_end(data: bytes) -> int | None:
+    """Where the fields that an OpenSSH private key declares end, if it is whole."""
+    at, left, counted = 15, 3, False  # as in is_ssh_key; then a number of keys, the public ones and the private part
+    while left or not counted:
+        size = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if not left:
+            left, counted = size + 1, True
+            if size > 64:
+                return None
+            continue
+        at, left = at + size, left - 1
+        if at > len(data):
+            return None
+    return at
+
+
+def _key_from(code: str, at: int, line_ends: dict[int, int]) -> tuple[int, int] | None:
+    """``(kind, line)`` of the key whose code begins at ``at`` and ends with the line before ``line``."""
+
+    def line_after(size: int) -> int | None:
+        return line_ends.get(at - (-4 * size // 3))
+
+    head = unbase64(code[at : at + SHORTEST_CODED])
+    if head[0] == 0x30:
+        length, more = head[1], head[1] & 0x7F
+        size = 2 + length if length < 0x80 else 2 + more + int.from_bytes(head[2 : 2 + more], "big")
+        line = line_after(size)
+        return (4, line) if line and is_der_key(unbase64(code[at : at - (-4 * size // 3)])) else None
+    private = head.startswith(b"openssh-key-v1\0")
+    if not private and not any(t.startswith(head[4 : 4 + len(t)]) for t in _SSH_TYPES):
+        return None
+    data = unbase64(code[at : len(code) - ((len(code) - at) % 4 == 1)])
+    if private:
+        end = _ssh_end(data)
+        if end and line_after(end) and is_ssh_key(data[:end]):
+            return 5, line_after(end)
+        # Cut short: all lines that decode.
+        end = next((n for n in reversed(line_ends) if n > at and (n - at) % 4 != 1), at)
+        return (5, line_ends[end]) if is_ssh_key(unbase64(code[at:end])) else None
+    ends, to = [], 0
+    while to + 4 <= len(data) and (to := to + 4 + int.from_bytes(data[to : to + 4], "big")) <= len(data):
+        ends.append(to)
+    line, end = max(((line_after(n) or 0, n) for n in ends[1:]), default=(0, 0))
+    return (5, line) if line and is_ssh_key(data[:end]) else None
+
+
+def _keys(run: str, start: int) -> list[tuple[int, int, int]]:
+    """``(start, kind, end)`` of the keys in a run of lines, in order and without overlap."""
+    lines = [m.span() for m in CODED_LINE.finditer(run)]
+    code = "".join(run[a:b] for a, b in lines)
+    begins = [0, *accumulate(b - a for a, b in lines)]
+    line_ends = {n: k for k, n in enumerate(begins)}
+    spans, k = [], 0
+    while k < len(lines):
+        found = _key_from(code, begins[k], line_ends) if lines[k][1] - lines[k][0] >= SHORTEST_CODED else None
+        if found:
+            kind, after = found
+            end = lines[after - 1][1] if after < len(lines) else len(run)  # with its padding
+            spans.append((start + lines[k][0], kind, start + end))
+        k = found[1] if found else k + 1
+    return spans
+
+
 def is_jwt(run: str) -> bool:
     header, payload, signature = run.split(".")
     try:
@@ -151,13 +221,7 @@ def coded_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the confirmed candidates."""
     spans = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])] if "." in text else []
     for m in CODED.finditer(text):
-        data = unbase64(m[0])
-        if data is None:
-            continue
-        if is_der_key(data):
-            spans.append((m.start(), 4, m.end()))
-        elif is_ssh_key(data):
-            spans.append((m.start(), 5, m.end()))
+        spans += _keys(m[0], m.start())
     for m in HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])

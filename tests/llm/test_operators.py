@@ -447,3 +447,38 @@ def test_secrets_are_confirmed_by_structure(spark):
     assert (x.n_assign, x.n_access, x.n_hex) == (2, 1, 1)
     assert x.spans.startswith("assign:0:19,access:21:37,assign:43:") and x.base_sha256 == hashlib.sha256(x.spans.encode()).hexdigest()
     assert secrets.scan_secrets(documents(spark, [])).collect() == []
+
+
+def test_keys_with_a_short_last_line_or_words_beside_them(spark):
+    r = random.Random(9)
+    number = lambda n: der(2, b"\x01" + r.randbytes(n - 1))
+    wrap = lambda s: "\n".join(s[k : k + 64] for k in range(0, len(s), 64))
+    curve = der(0x30, der(6, b"\x2a\x86\x48\xce\x3d\x02\x01"), der(6, b"\x2b\x81\x04\x00\x23"))
+    secret = der(0x30, der(2, b"\1"), der(4, r.randbytes(66)), der(0xA1, der(3, b"\0" + r.randbytes(133))))
+    p521 = der(0x30, der(2, b"\0"), curve, der(4, secret))
+    assert len(p521) == 241
+    by_size = {len(k): k for n in range(17, 240) for k in [der(0x30, der(2, b"\0"), number(n))]}
+    keys = [p521, *(by_size[n] for n in (49, 50, 97, 98, 145, 193, 242))]
+    texts, want = [], {}
+
+    def add(text, *found):
+        want[len(texts)] = ",".join(f"{k}:{text.index(s)}:{text.index(s) + len(s)}" for k, s in found)
+        texts.append((len(texts), text))
+
+    for k in keys:
+        s = wrap(base64.b64encode(k).decode())
+        assert len(s.rsplit("\n", 1)[1].rstrip("=")) < 4
+        add(f"-----BEGIN PRIVATE KEY-----\n{s}\n-----END PRIVATE KEY-----", ("der", s))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", r.randbytes(32)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    openssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(ssh) + field(r.randbytes(136))
+    for k, kind in ((by_size[120], "der"), (by_size[121], "der"), (ssh, "ssh"), (openssh, "ssh")):
+        s = wrap(base64.b64encode(k).decode().rstrip("="))
+        for word in ("words", "wordss", "wordsss", "wordssss", "ab=", "longer" * 9):
+            add(f"see\n{s}\n{word}\nmore", (kind, s))
+    one, two = (base64.b64encode(by_size[n]).decode() for n in (99, 102))
+    add(f"{one}\n{two}\n", ("der", one), ("der", two))
+    add(f"{'word' * 8}\n{two}\n{'word' * 8}", ("der", two))
+    add(f"{one[:-4]}\n{'word' * 8}")
+    got = {x.doc_id: x.spans for x in secrets.scan_secrets(documents(spark, texts)).collect()}
+    assert got == want
