@@ -1,7 +1,8 @@
 """The training-data pipeline: stages over documents, each written and read by the next one.
 
 1. ``toxicity``: documents that the classifier predicts toxic (score of 0.3 or more) go.
-2. ``ngram_jaccard_join``: of each class of near duplicates the document with the smallest id stays, once.
+2. ``ngram_jaccard_join``: of each class of near duplicates (texts whose sets of five-word shingles have a
+   similarity of 0.8 or more) the document with the smallest id stays, once.
 3. ``secret_scans``: every secret span is replaced by its kind in brackets; no document goes.
 4. ``mixing``: documents become the copies that the mix takes, in training order; a copy that is taken in
    part is cut after its last word. Documents without words, or beyond their source's target, go.
@@ -25,6 +26,8 @@ from rangebreak.llm.ship import ship_code
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC_FROM = 0.3
+#: Words in a shingle, and the least similarity in percent; those of op1 hold for its query alone.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    classes = jaccard_join.jaccard_classes(docs)
+    classes = jaccard_join.jaccard_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     read = docs.select(*COLUMNS)
     # Ids of which no row stays: few beside all, and Spark moves texts only if they are many.
     stays = F.coalesce(F.max(F.col("doc_id") == F.col("component_id")), F.lit(True))

@@ -1,6 +1,7 @@
 """The pipeline's stages and queries, against the registered SQL and plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -71,3 +72,24 @@ def test_stages_against_plain_python(spark, tmp_path):
     _, _, library = reference_tokenizer()
     want = Counter(hashlib.sha256(",".join(map(str, library.encode_ordinary(r.text))).encode()).hexdigest() for r in mixed.collect())
     assert Counter(r.ids_sha256 for r in last.collect()) == want
+
+
+def test_near_copies_between_the_two_rules_go(spark):
+    """Copies that five words and 0.8 link and three words and 0.9 do not; one below both stays."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(100_000)}" for _ in range(200)]
+
+    def copy(places):
+        return " ".join(f"x{k}" if k in places else w for k, w in enumerate(base))
+
+    runs = [set(range(60, 60 + n)) for n in (10, 16)]
+    texts = [(0, " ".join(base)), (1, copy(runs[0])), (2, copy(runs[1])), (3, copy({20, 70, 120, 170})), (4, copy(set(range(100, 130))))]
+    for i in (1, 2, 3):
+        pair = [texts[0], texts[i]]
+        assert (i, 0) not in {(d, c) for d, _, c in brute_classes(pair)} and (i, 0) in {(d, c) for d, _, c in brute_classes(pair, 5, 80)}
+    got = pipeline.drop_near_duplicates(spark, documents(spark, texts), SF).collect()
+    assert Counter(x.doc_id for x in got) == Counter([0, 4])
+
+    rows = [t for t in odd_texts() if t[0] is not None]
+    got = pipeline.drop_near_duplicates(spark, documents(spark, rows), SF).collect()
+    assert Counter(x.doc_id for x in got) == Counter({i for i, _, c in brute_classes(rows, 5, 80) if i == c})
