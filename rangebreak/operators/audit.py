@@ -30,14 +30,24 @@ def poison_future(bars: DataFrame, from_slot: int) -> DataFrame:
         "poisoned",
         (F.col("session_date") == F.col("last_date")) & (F.col("slot") >= from_slot),
     )
+    return _with_poison(marked, bars.columns)
+
+
+def poison_from(bars: DataFrame, date, from_slot: int) -> DataFrame:
+    """Replace all bars of all symbols from one (date, slot) on, by a steep rise in each session."""
+    later = (F.col("session_date") > date) | ((F.col("session_date") == date) & (F.col("slot") >= from_slot))
+    return _with_poison(bars.withColumn("poisoned", later), bars.columns)
+
+
+def _with_poison(marked: DataFrame, columns: list[str]) -> DataFrame:
     honest = marked.where(~F.col("poisoned"))
     median = exact_quantiles(
         honest.select("symbol", F.col("volume").cast("double").alias("value")), ["symbol"], (0.5,)
     ).select("symbol", F.col("q0").alias("median_volume"))
     ends = honest.groupBy("symbol").agg(F.max_by("close", _bar_order()).alias("honest_close"))
     tail = marked.where("poisoned").groupBy("symbol").agg(
-        F.count("*").alias("tail_bars"), F.sort_array(F.collect_set("slot")).alias("tail_slots")
-    )  # at most one session per symbol
+        F.size(F.collect_set("slot")).alias("tail_bars"), F.sort_array(F.collect_set("slot")).alias("tail_slots")
+    )  # at most the slots of the grid
     step = F.when(F.col("tail_bars") > 1, (RAMP_LAST - RAMP_FIRST) / (F.col("tail_bars") - 1)).otherwise(0.0)
     place = F.array_position("tail_slots", F.col("slot")) - 1
     ramp = F.col("honest_close") * (1 + RAMP_SIZE * (RAMP_FIRST + place * step))
@@ -58,7 +68,7 @@ def poison_future(bars: DataFrame, from_slot: int) -> DataFrame:
                 **put("volume", (F.col("median_volume") * VOLUME_MULTIPLE).cast("bigint")),
             }
         )
-        .select(*bars.columns)
+        .select(*columns)
     )
 
 
@@ -144,19 +154,27 @@ def audit_truncation(
 def audit_poison(
     transform: Transform, bars: DataFrame, from_slot: int, keys: list[str], slot_column: str
 ) -> DataFrame:
-    """Poison each symbol's last session from a slot on: earlier decisions must not move.
+    """Poison all symbols from one (date, slot) on: earlier decisions must not move, whatever their symbol.
 
-    Symbols meet in the index, so only what is decided before the first poisoned bar of any symbol counts.
+    Symbols meet in the index, so it must be clean before the poison of any of them. The dates are the last
+    sessions of the symbols, each one recomputation, so a symbol that ends early is poisoned as well. Decisions
+    are those before the latest date, leaks those at all dates.
     """
-    last = bars.groupBy("symbol").agg(F.max("session_date").alias("last_date"))
-    start = last.agg(F.min("last_date").alias("start"))
-
-    def honest(df: DataFrame) -> DataFrame:
-        before = (F.col("session_date") < F.col("start")) | (
-            (F.col("session_date") == F.col("start")) & (F.col(slot_column) < from_slot)
-        )
-        return df.join(F.broadcast(start)).where(before).drop("start")  # one row
+    last = bars.groupBy("symbol").agg(F.max("session_date").alias("last_date")).select("last_date").distinct()
+    dates = sorted(r[0] for r in last.collect())  # bounded by the calendar
+    whole = transform(bars)
 
-    return leak_report(
-        honest(transform(bars)), honest(transform(poison_future(bars, from_slot))), keys, "poison"
+    def honest(df: DataFrame, date) -> DataFrame:
+        return _decided_by(df, F.lit(date), from_slot - 1, slot_column)
+
+    if not dates:
+        return leak_report(whole.limit(0), whole.limit(0), keys, "poison")
+    reports = [
+        leak_report(honest(whole, d), honest(transform(poison_from(bars, F.lit(d), from_slot)), d), keys, "poison")
+        for d in dates
+    ]
+    return reduce(DataFrame.unionByName, reports).groupBy("audit").agg(
+        F.max("decisions").alias("decisions"),
+        F.sum("leaks").alias("leaks"),
+        F.min("first_leaking_field").alias("first_leaking_field"),
     )

@@ -142,3 +142,16 @@ def test_audits_catch_a_cheat_and_name_its_field(spark):
             assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field and report.decisions > 0
         report = audit_poison(transform, bars, 3, keys, "slot").first()
         assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field
+
+
+def test_poison_reaches_all_of_the_history_if_a_symbol_ends_early(spark):
+    bars = crafted_bars(spark)
+    early = bars.where(F.col("session_date") == DAY).withColumn("symbol", F.lit("B"))
+    both_symbols, keys = bars.unionByName(early), ["symbol", "session_date", "slot"]
+    session = W.partitionBy("symbol", "session_date").orderBy("slot")
+    ahead = F.lead("close").over(session)
+    late = F.col("session_date") > DAY + datetime.timedelta(days=3)
+    pooled = F.avg("close").over(W.partitionBy("session_date", "slot"))
+    for value, leaks in ((pooled, False), (F.when(late, ahead), True), (F.when(F.col("symbol") == "B", ahead), True)):
+        report = audit_poison(lambda b, v=value: b.select(*keys, v.alias("value")), both_symbols, 3, keys, "slot").first()
+        assert (report.leaks > 0) == leaks and report.decisions == 7 * 6 + 3 + 6
