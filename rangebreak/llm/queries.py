@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangebreak.llm import byte_bpe, context_tree, forest, jaccard_join, mixing, quality, secrets, token_counts, toxicity, warc
+from rangebreak.llm import (
+    byte_bpe,
+    context_tree,
+    forest,
+    guessed_bpe,
+    hard_negatives,
+    jaccard_join,
+    mixing,
+    part_codes,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    warc,
+)
 from rangebreak.llm.ship import ship_code
 
 
@@ -64,6 +78,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_guessed_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guessed_bpe.encode_decode(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_lm_scoring,
         op10_secret_scans,
+        op11_hard_negatives,
+        op12_guessed_bpe,
+        op13_part_codes,
     )
 }
 
@@ -150,3 +180,63 @@ select doc_id, size, source_size, target, taken::bigint as taken,
     else case when due < 1 then due / 3.0 when due < 3 then (1 + (due - 1.0) / 2.0) / 3.0
       when due < 6 then (2 + (due - 3.0) / 3.0) / 3.0 else 1.0 end end end as position
 from shares"""
+
+SQL["op11_hard_negatives"] = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+  row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same
+  and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10"""
+
+
+def _part_codes_sql(rounds: int = 6) -> str:
+    """Rounds of assignment and averaging, one after the other."""
+    steps = ["""e as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v, row_number() over () as row
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select row, place, v[place * len(v) // 8 + 1 : (place + 1) * len(v) // 8] as part
+  from e, (select unnest(range(8)) as place)),
+first as (select row, row_number() over (order by vec_id) - 1 as entry from e qualify entry < 16),
+c0 as materialized (select place, entry, part as c from first join p using (row))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} as materialized (
+  select row, place, part, arg_min(entry, (d, entry)) as entry, min(d) as d from (
+    select p.row, p.place, p.part, c.entry,
+      list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - c.c[i]) * (part[i] - c.c[i])))::bigint as d
+    from p join c{k} c using (place))
+  group by row, place, part)""")
+        if k < rounds:
+            steps.append(f"""m{k} as (
+  select place, entry, i, sum(x)::bigint as s, count(*)::bigint as n from (
+    select place, entry, unnest(range(len(part))) as i, unnest(part) as x from a{k})
+  group by place, entry, i),
+c{k + 1} as materialized (
+  select c.place, c.entry, coalesce(m.c, c.c) as c from c{k} c left join (
+    select place, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from m{k} group by place, entry) m
+  on c.place = m.place and c.entry = m.entry)""")
+    return "with " + ",\n".join(steps) + f""",
+coded as (
+  select row, string_agg(printf('%02x', entry::int), '' order by place) as code, sum(d)::bigint as error
+  from a{rounds} group by row),
+book as (
+  select sha256(string_agg(x::varchar, ',' order by place, entry, i)) as codebooks_sha256 from (
+    select place, entry, unnest(range(len(c))) as i, unnest(c) as x from c{rounds}))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from e join coded using (row), book"""
+
+
+SQL["op13_part_codes"] = _part_codes_sql()

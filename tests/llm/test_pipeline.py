@@ -24,7 +24,7 @@ def test_query_agrees_with_sql(spark, key):
 
 def test_registration():
     numbers = [int(m[1]) for k in entry.queries() if (m := re.match(r"op(\d+)_", k))]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(pipeline.STAGES) == 5
 
 
