@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,19 +72,22 @@ def write_stage(df: DataFrame, name: str, reuse: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``write_stage``, in buckets of ``key``: later joins on it move the other side only."""
+@contextmanager
+def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """As ``write_stage``, in buckets of ``key``: joins on it inside the block move the other side only.
+
+    The table is gone at the end of the block, from the catalog and from the shared folder, so what is
+    read from it must be written by then.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, key)
-        .write.bucketBy(buckets, key)
-        .sortBy(key)
-        .option("path", f"{stage_root(spark)}/{table}")
-        .saveAsTable(table)
-    )
-    return spark.table(table)
+    base = f"stage_{uuid.uuid4().hex}"
+    spark.sql(f"create database {base} location '{stage_root(spark)}/{base}'")
+    try:
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(f"{base}.{name}")
+        yield spark.table(f"{base}.{name}")
+    finally:
+        spark.sql(f"drop database {base} cascade")
 
 
 def unpivot_features(df: DataFrame, features, keys) -> DataFrame:
