@@ -450,7 +450,7 @@ def _truncation_sql(table: str, slot: str) -> str:
 
 def _poison_sql(table: str, slot: str) -> str:
     return f"""SELECT 'poison' AS audit, count(*) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field FROM {table},
- (SELECT min(d) AS start FROM (SELECT max(session_date) AS d FROM bars_m GROUP BY symbol))
+ (SELECT max(d) AS start FROM (SELECT max(session_date) AS d FROM bars_m GROUP BY symbol))
  WHERE session_date < start OR (session_date = start AND {slot} < {POISON_SLOT})"""
 
 
