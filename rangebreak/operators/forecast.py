@@ -1,10 +1,12 @@
 """Walk-forward forecasts from expanding thirds, and their scores.
 
 A rule for a session is fitted on all earlier ones. Refitting per session would read the history
-once for every session; here the expanding order statistics are found by counting instead. Values
-are put into blocks, counts per (block, session) are summed along the dates, and only the block that
-holds a wanted rank is opened. With N values, S sessions and K blocks that is about S*(K + N/K) rows
-per feature in place of S*N.
+once for every session; here the expanding order statistics are found by counting instead. The distinct
+values of a feature are the leaves of a balanced tree. Counts per (level, node, session) are summed along the
+dates, and every (session, quantile) walks down from the root: at each node it passes the children that
+lie below its rank, with their counts on earlier dates. With N values, S sessions and K children to a node
+that is about S * K * log(N) / log(K) rows per feature in place of S * N. No task holds more than the sessions
+of one child, twice: the calendar bounds it, whatever a feature's share of all rows.
 """
 
 from __future__ import annotations
@@ -13,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import unpivot_features
+from rangebreak.functions.frames import unpivot_features, write_stage
 from rangebreak.functions.scalars import count_when, expit, logit, ratio
 from rangebreak.operators.stats import (
-    block_number,
-    cut_points,
     session_bootstrap,
     session_variance_share,
     skill_statistic,
@@ -121,7 +121,7 @@ def _summed_before(counts: DataFrame, keys: list[str], dates: DataFrame, extra=(
     """Class counts of each key strictly before every session date, on a grid of keys and dates.
 
     ``dates`` is one row with the array of session dates. Both sides of the grid are bounded: keys
-    are blocks or a few distinct values, dates are a calendar.
+    are features or a few distinct values, dates are a calendar.
     """
     grid = (
         counts.select(*keys).distinct().join(F.broadcast(dates)).select(
@@ -141,16 +141,20 @@ def _class_sum(prefix: str = "") -> Column:
     return F.col(f"{prefix}busted") + F.col(f"{prefix}neither") + F.col(f"{prefix}sustained")
 
 
-def expanding_buckets(rows: DataFrame, p: Params, blocks: int = 64) -> DataFrame:
+#: Children of a node of the tree of values at most.
+SLOTS = 64
+
+
+def expanding_buckets(rows: DataFrame, p: Params, slots: int = SLOTS) -> DataFrame:
     """Buckets of every feature for every session, from strictly earlier rows only.
 
-    ``session_date`` is the session a rule is for. Raise ``blocks`` towards the square root of the
-    number of rows per feature as the history grows.
+    ``session_date`` is the session a rule is for. The depth of the tree follows the number of values.
     """
     values = unpivot_features(rows, DIRECTIONAL_FEATURES, ["session_date", "label"])
     counted = values.groupBy("feature", "value", "session_date").agg(
         *[count_when(F.col("label") == o).alias(o.lower()) for o in OUTCOMES]
     )
+    counted = write_stage(counted, "walk-counts")
     dates = rows.agg(F.sort_array(F.collect_set("session_date")).alias("dates"))
 
     # Distinct values by first appearance: a feature with two or three so far is cut by value.
@@ -163,7 +167,7 @@ def expanding_buckets(rows: DataFrame, p: Params, blocks: int = 64) -> DataFrame
     )
 
     few = _few_values(counted, first_four.where("rank <= 3"), fourth, dates)
-    many = _expanding_thirds(values, counted, fourth, dates, blocks)
+    many = _expanding_thirds(counted, fourth, dates, slots)
     buckets = few.unionByName(many)
     in_rule = W.partitionBy("session_date", "feature")  # at most three buckets
     return (
@@ -209,34 +213,94 @@ def _few_values(counted, first_three, fourth, dates) -> DataFrame:
     )
 
 
-def _expanding_thirds(values, counted, fourth, dates, blocks: int) -> DataFrame:
-    placed = counted.join(cut_points(values, ["feature"], blocks), "feature").select(
-        "feature", "value", "session_date", *CLASSES, block_number(F.col("value")).alias("block")
-    )
-    cells = placed.groupBy("feature", "block", "session_date").agg(
-        *[F.sum(c).alias(c) for c in CLASSES],
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
+def value_places(counted: DataFrame) -> DataFrame:
+    """``feature, value, place``: the place of each distinct value within its feature, from 0.
+
+    Values are sorted in ranges and numbered inside each; the sizes of the earlier ranges, one row a task, give
+    the rest. No window runs over the values of a feature.
+    """
+    ordered = (
+        counted.select("feature", "value")
+        .distinct()
+        .repartitionByRange("feature", "value")
+        .sortWithinPartitions("feature", "value")
+        # The task in the upper bits, the row within it in the lower 33.
+        .withColumn("at", F.monotonically_increasing_id())
+    )
+    ordered = write_stage(ordered, "walk-values").select(
+        "feature", "value", F.shiftright("at", 33).alias("task"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row")
+    )
+    earlier = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ordered.groupBy("task").agg(F.count("*").alias("size"))
+    shifts = sizes.select("task", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("shift"))
+    numbered = ordered.join(shifts, "task").select("feature", "value", (F.col("row") + F.col("shift")).alias("number"))
+    first = numbered.groupBy("feature").agg(F.min("number").alias("first"))
+    return numbered.join(first, "feature").select("feature", "value", (F.col("number") - F.col("first")).alias("place"))
+
+
+def tree_shape(leaves: int, slots: int) -> tuple[int, int]:
+    """Levels and children per node of a tree with so many leaves: as few levels as ``slots`` allows, then as few children."""
+    levels = 1
+    while slots**levels < leaves:
+        levels += 1
+    children = 2
+    while children**levels < leaves:
+        children += 1
+    return levels, children
+
+
+def _descend(requests: DataFrame, cells: DataFrame, children: int, width: int) -> DataFrame:
+    """Every request one level down: to the child that holds its rank among the values of earlier sessions.
+
+    ``below_*`` counts what lies below the node, ``own_*`` what lies in it. ``width`` is the number of leaves
+    under a child. Counts are summed along the dates by child; the dates at which a node is asked for stand
+    among its cells, each before the cell of its own date.
+    """
+    child = F.floor(F.col("place") / width)
+    node = F.floor(child / children)
+    visited = requests.select("feature", "node").distinct()
+    inside = (
+        cells.withColumns({"node": node, "slot": child - node * children})
+        .join(visited, ["feature", "node"], "left_semi")
+        .groupBy("feature", "node", "slot", "session_date")
+        .agg(*[F.sum(c).alias(c) for c in CLASSES])
+    )
+    asked = requests.select("feature", "node", "session_date").distinct().select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(children - 1).cast("long"))).alias("slot")
+    )
+    both = inside.withColumn("asked", F.lit(1)).unionByName(
+        asked.withColumns({**{c: F.lit(0).cast("long") for c in CLASSES}, "asked": F.lit(0)})
+    )
+    earlier = W.partitionBy("feature", "node", "slot").orderBy("session_date", "asked").rowsBetween(W.unboundedPreceding, -1)
+    summed = both.select(
+        "feature", "node", "slot", "session_date", "asked",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in CLASSES],
+    ).where((F.col("asked") == 0) & (_class_sum() > 0))
+    passed = W.partitionBy("feature", "session_date", "q", "side").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("before_busted") + F.col("before_neither") + F.col("before_sustained")
+    return (
+        requests.join(summed.drop("asked"), ["feature", "node", "session_date"])
+        .withColumns({f"before_{c}": F.coalesce(F.sum(c).over(passed), F.lit(0)) for c in CLASSES})
+        .where((F.col("rank") >= before) & (F.col("rank") < before + _class_sum()))
+        .select(
+            "feature", "session_date", "q", "side",
+            (F.col("rank") - before).alias("rank"),
+            (F.col("node") * children + F.col("slot")).alias("node"),
+            *[(F.col(f"below_{c}") + F.col(f"before_{c}")).alias(f"below_{c}") for c in CLASSES],
+            *[F.col(c).alias(f"own_{c}") for c in CLASSES],
+        )
     )
-    summed = _summed_before(
-        cells, ["feature", "block"], dates, (("lowest", F.min), ("highest", F.max))
+
+
+def _expanding_thirds(counted: DataFrame, fourth: DataFrame, dates: DataFrame, slots: int) -> DataFrame:
+    # One row per feature and session.
+    own = counted.groupBy("feature", "session_date").agg(
+        *[F.sum(c).alias(c) for c in CLASSES], F.min("value").alias("lowest"), F.max("value").alias("highest")
     )
-    rule = W.partitionBy("feature", "session_date")
-    below = rule.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    stacked = (
-        summed.join(fourth, "feature")
-        .where(F.col("session_date") > F.col("fourth_date"))
-        .withColumns(
-            {
-                "size": _class_sum(),
-                "n": F.sum(_class_sum()).over(rule),
-                "lowest": F.min("lowest").over(rule),
-                "highest": F.max("highest").over(rule),
-                **{f"below_{c}": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in CLASSES},
-                **{f"all_{c}": F.sum(c).over(rule) for c in CLASSES},
-            }
-        )
+    days = _summed_before(own, ["feature"], dates, (("lowest", F.min), ("highest", F.max))).select(
+        "feature", "session_date", _class_sum().alias("n"), "lowest", "highest", *[F.col(c).alias(f"all_{c}") for c in CLASSES]
     )
+    per_rule = ["n", "lowest", "highest", *[f"all_{c}" for c in CLASSES]]
     position = {0: (F.col("n") - 1) * F.lit(1 / 3), 1: (F.col("n") - 1) * F.lit(2 / 3)}
     wanted = F.array(
         *[
@@ -249,42 +313,28 @@ def _expanding_thirds(values, counted, fourth, dates, blocks: int) -> DataFrame:
             for side, rounding in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    per_rule = ["n", "lowest", "highest", *[f"all_{c}" for c in CLASSES]]
-    start = _class_sum("below_")
-    located = stacked.select(
-        "feature",
-        "session_date",
-        "block",
-        "size",
-        *per_rule,
-        *[f"below_{c}" for c in CLASSES],
-        F.inline(wanted),
-    ).where((F.col("rank") >= start) & (F.col("rank") < start + F.col("size")))
-    # Open only the blocks that hold a wanted rank, with the rows before the session.
-    opened = located.alias("a").join(
-        placed.select(
-            "feature",
-            "block",
-            "value",
-            F.col("session_date").alias("seen"),
-            *[F.col(c).alias(f"one_{c}") for c in CLASSES],
-        ).alias("b"),
-        ["feature", "block"],
-    ).where(F.col("seen") < F.col("session_date"))
-    request = ["feature", "session_date", "q", "side"]
-    merged = opened.groupBy(*request, "value").agg(
-        *[F.max(c).alias(c) for c in (*per_rule, "rank", *[f"below_{c}" for c in CLASSES])],
-        *[F.sum(f"one_{c}").alias(f"one_{c}") for c in CLASSES],
-    )
-    running = W.partitionBy(*request).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    reached = merged.withColumns(
-        {f"upto_{c}": F.col(f"below_{c}") + F.sum(f"one_{c}").over(running) for c in CLASSES}
-    )
-    # The first value past the rank; counts along the values never fall, so each minimum is its own.
+    zero = F.lit(0).cast("long")
+    requests = (
+        days.join(fourth, "feature")
+        .where(F.col("session_date") > F.col("fourth_date"))
+        .select("feature", "session_date", F.inline(wanted))
+        .withColumns({"node": zero, **{f"below_{c}": zero for c in CLASSES}})
+    )
+    places = write_stage(value_places(counted), "walk-places")
+    leaves = places.agg(F.max("place")).first()[0]
+    levels, children = tree_shape(1 if leaves is None else leaves + 1, slots)
+    cells = write_stage(
+        counted.join(places, ["feature", "value"]).select("feature", "place", "session_date", *CLASSES), "walk-cells"
+    )
+    for level in range(levels):
+        requests = write_stage(_descend(requests, cells, children, children ** (levels - 1 - level)), "walk-requests")
     stats = (
-        reached.where(_class_sum("upto_") > F.col("rank"))
-        .groupBy(*request, *per_rule)
-        .agg(F.min("value").alias("value"), *[F.min(f"upto_{c}").alias(f"upto_{c}") for c in CLASSES])
+        requests.join(places.withColumnRenamed("place", "node"), ["feature", "node"])
+        .join(days, ["feature", "session_date"])
+        .select(
+            "feature", "session_date", "q", "side", "value", *per_rule,
+            *[(F.col(f"below_{c}") + F.col(f"own_{c}")).alias(f"upto_{c}") for c in CLASSES],
+        )
     )
 
     def pick(q: int, side: str, column: str) -> Column:
@@ -325,9 +375,9 @@ def _expanding_thirds(values, counted, fourth, dates, blocks: int) -> DataFrame:
     )
 
 
-def rule_buckets(rows: DataFrame, p: Params, blocks: int = 64) -> DataFrame:
+def rule_buckets(rows: DataFrame, p: Params, slots: int = SLOTS) -> DataFrame:
     """The rule of every session that can be forecast."""
-    return _rates(expanding_buckets(rows, p, blocks).join(training_windows(rows, p), "session_date"), p)
+    return _rates(expanding_buckets(rows, p, slots).join(training_windows(rows, p), "session_date"), p)
 
 
 # ---- prediction ------------------------------------------------------------------------
@@ -428,9 +478,9 @@ PREDICTION_COLUMNS = (
 )
 
 
-def compare_combinations(rows: DataFrame, p: Params, blocks: int = 64) -> DataFrame:
+def compare_combinations(rows: DataFrame, p: Params, slots: int = SLOTS) -> DataFrame:
     """Walk-forward predictions with both combinations side by side, fitted once."""
-    return predict(rows, training_windows(rows, p), rule_buckets(rows, p, blocks), p)
+    return predict(rows, training_windows(rows, p), rule_buckets(rows, p, slots), p)
 
 
 def as_combination(predictions: DataFrame, combination: str) -> DataFrame:
@@ -443,13 +493,13 @@ def as_combination(predictions: DataFrame, combination: str) -> DataFrame:
     return predictions.select(*PREDICTION_COLUMNS)
 
 
-def walk_forward(rows: DataFrame, p: Params, combination: str = "logodds", blocks: int = 64) -> DataFrame:
-    return as_combination(compare_combinations(rows, p, blocks), combination)
+def walk_forward(rows: DataFrame, p: Params, combination: str = "logodds", slots: int = SLOTS) -> DataFrame:
+    return as_combination(compare_combinations(rows, p, slots), combination)
 
 
-def prediction_explain(rows: DataFrame, p: Params, blocks: int = 64) -> DataFrame:
+def prediction_explain(rows: DataFrame, p: Params, slots: int = SLOTS) -> DataFrame:
     """Every number behind a forecast, as maps from feature to contribution."""
-    parts = contributions(rows, rule_buckets(rows, p, blocks), p)
+    parts = contributions(rows, rule_buckets(rows, p, slots), p)
 
     def as_map(value: Column) -> Column:
         # At most one entry per directional feature.

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rangebreak.functions.frames import write_stage
 from rangebreak.functions.scalars import hash_pick
 from rangebreak.params import Params
 
 _STEP = 32
+#: Distinct values of a key that one task puts in order at most.
+MOST_ROWS = 20_000
 
 
 # ---- exact quantiles by counting -------------------------------------------------------
@@ -43,16 +46,57 @@ def block_number(value: Column) -> Column:
 
 
 def exact_quantiles(
-    values: DataFrame, keys: list[str], shares: tuple[float, ...], blocks: int = 256, levels: int = 1
+    values: DataFrame, keys: list[str], shares: tuple[float, ...], blocks: int = 256, most: int = MOST_ROWS
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key: ``keys, n, lowest, highest, q0, q1, ...``.
 
-    Equal values are merged first; counts per block locate the block that holds each wanted rank,
-    and only those blocks are put in order. One level leaves about N/blocks distinct values to
-    order per rank, two levels N/blocks^2, and so on.
+    Equal values are merged first. A key with at most ``most`` distinct values is put in order by one task. If
+    any has more, values are cut into blocks, counts per block locate the block that holds each wanted rank, and
+    that block alone is cut again, until the largest open one has ``most`` values or fewer.
     """
-    counted = values.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
-    placed = counted.join(cut_points(values, keys, blocks), keys).select(
+    counted = write_stage(values.groupBy(*keys, "value").agg(F.count("*").alias("copies")), "quantile-values")
+    largest = counted.groupBy(*keys).agg(F.count("*").alias("kinds")).agg(F.max("kinds")).first()[0]
+    if (largest or 0) <= most:
+        return _ordered(counted, keys, shares)
+    request = [*keys, "q", "side", "n", "lowest", "highest"]
+    rows = open_rows(counted, keys, shares, blocks, most)
+    running = W.partitionBy(*request).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = (
+        rows.withColumn("reached", F.sum("copies").over(running))
+        .where(F.col("reached") > F.col("rank"))
+        .groupBy(*request)
+        .agg(F.min("value").alias("value"))
+    )
+
+    def pick(i: int, side: str) -> Column:
+        return F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("value")))
+
+    return found.groupBy(*keys, "n", "lowest", "highest").agg(
+        *[_interpolate(i, share, pick).alias(f"q{i}") for i, share in enumerate(shares)]
+    )
+
+
+def _ordered(counted: DataFrame, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """Quantiles of keys with few distinct values: one running count along the values of a key."""
+    of_key = W.partitionBy(*keys)  # at most MOST_ROWS rows
+    along = of_key.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = counted.withColumns({"reached": F.sum("copies").over(along), "n": F.sum("copies").over(of_key)})
+
+    def pick(i: int, side: str) -> Column:
+        rank = _rounding(side)((F.col("n") - 1) * F.lit(shares[i]))
+        return F.min(F.when(F.col("reached") > rank, F.col("value")))
+
+    return reached.groupBy(*keys, "n").agg(
+        F.min("value").alias("lowest"),
+        F.max("value").alias("highest"),
+        *[_interpolate(i, share, pick).alias(f"q{i}") for i, share in enumerate(shares)],
+    )
+
+
+def open_rows(counted: DataFrame, keys: list[str], shares: tuple[float, ...], blocks: int, most: int) -> DataFrame:
+    """The distinct values among which each wanted rank lies, at most ``most`` of them: ``keys, q, side, n, lowest,
+    highest, rank, value, copies`` with the rank counted from the first of them."""
+    placed = counted.join(cut_points(counted, keys, blocks), keys).select(
         *keys, "value", "copies", block_number(F.col("value")).alias("block")
     )
     by_key = W.partitionBy(*keys)  # one row per block
@@ -78,10 +122,10 @@ def exact_quantiles(
             F.struct(
                 F.lit(i).alias("q"),
                 F.lit(side).alias("side"),
-                rounding((F.col("n") - 1) * F.lit(share)).cast("bigint").alias("rank"),
+                _rounding(side)((F.col("n") - 1) * F.lit(share)).cast("bigint").alias("rank"),
             )
             for i, share in enumerate(shares)
-            for side, rounding in (("lo", F.floor), ("hi", F.ceil))
+            for side in ("lo", "hi")
         ]
     )
     request = [*keys, "q", "side", "n", "lowest", "highest"]
@@ -91,18 +135,16 @@ def exact_quantiles(
         .select(*request, "block", (F.col("rank") - F.col("below")).alias("rank"))
     )
     rows = located.join(placed, [*keys, "block"]).select(*request, "rank", "value", "copies")
-    for _ in range(levels - 1):
+    while True:
+        rows = write_stage(rows, "quantile-open")
+        largest = rows.groupBy(*request).agg(F.count("*").alias("kinds")).agg(F.max("kinds")).first()[0]
+        if (largest or 0) <= most:
+            return rows
         rows = _narrow(rows, request, blocks)
-    running = W.partitionBy(*request).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = (
-        rows.withColumn("reached", F.sum("copies").over(running))
-        .where(F.col("reached") > F.col("rank"))
-        .groupBy(*request)
-        .agg(F.min("value").alias("value"))
-    )
-    return found.groupBy(*keys, "n", "lowest", "highest").agg(
-        *[_interpolate(i, share).alias(f"q{i}") for i, share in enumerate(shares)]
-    )
+
+
+def _rounding(side: str) -> Callable[[Column], Column]:
+    return F.floor if side == "lo" else F.ceil
 
 
 def _holds_rank() -> Column:
@@ -127,13 +169,10 @@ def _narrow(rows: DataFrame, request: list[str], blocks: int) -> DataFrame:
     )
 
 
-def _interpolate(i: int, share: float) -> Column:
-    def pick(side: str) -> Column:
-        return F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("value")))
-
+def _interpolate(i: int, share: float, pick: Callable[[int, str], Column]) -> Column:
     position = (F.col("n") - 1) * F.lit(share)
     fraction = position - F.floor(position)
-    return pick("lo") + (pick("hi") - pick("lo")) * fraction
+    return pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * fraction
 
 
 # ---- numbering without one big window --------------------------------------------------

@@ -14,8 +14,8 @@ P = Params()
 FIRST = datetime.date(2025, 1, 1)
 
 
-@pytest.mark.parametrize("blocks,levels", [(64, 1), (8, 1), (8, 2), (4, 3)])
-def test_exact_quantiles_match_numpy_with_ties_and_skew(spark, blocks, levels):
+@pytest.mark.parametrize("blocks,most", [(64, 20_000), (64, 100), (8, 10), (4, 1)])
+def test_exact_quantiles_match_numpy_with_ties_and_skew(spark, blocks, most):
     rng = random.Random(1)
     groups = {
         "uniform": [rng.random() for _ in range(997)],
@@ -27,12 +27,28 @@ def test_exact_quantiles_match_numpy_with_ties_and_skew(spark, blocks, levels):
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     table = spark.createDataFrame(rows, "k string, value double")
     shares = (0.0, 1 / 3, 0.5, 2 / 3, 0.975, 1.0)
-    for r in stats.exact_quantiles(table, ["k"], shares, blocks, levels).collect():
+    for r in stats.exact_quantiles(table, ["k"], shares, blocks, most).collect():
         want = np.quantile(groups[r.k], shares)
         assert [r[f"q{i}"] for i in range(6)] == pytest.approx(list(want), rel=1e-12)
         assert (r.n, r.lowest, r.highest) == (len(groups[r.k]), min(groups[r.k]), max(groups[r.k]))
 
 
+def test_no_task_orders_more_than_the_bound(spark):
+    """A million distinct values of one key, beside a small key."""
+    n, most, shares = 1_000_000, 3000, (0.0, 1 / 3, 0.5, 0.9)
+    values = spark.range(n).select(
+        F.lit("large").alias("k"), F.exp(F.pmod(F.col("id") * 7919, F.lit(n)) / n * 20).alias("value")
+    ).unionByName(spark.range(50).select(F.lit("small").alias("k"), F.col("id").cast("double").alias("value")))
+    counted = values.groupBy("k", "value").agg(F.count("*").alias("copies"))
+    rows = stats.open_rows(counted, ["k"], shares, 64, most)
+    sizes = rows.groupBy("k", "q", "side").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) <= most
+    got = {r.k: r for r in stats.exact_quantiles(values, ["k"], shares, 64, most).collect()}
+    want = np.quantile(np.exp(np.arange(n) / n * 20), shares)
+    assert [got["large"][f"q{i}"] for i in range(4)] == pytest.approx(list(want), rel=1e-9)
+    assert got["large"].n == n and got["small"].q2 == 24.5
+
+
 def test_numbering_is_complete_per_key(spark):
     rows = [(d, f"s{i}") for d, n in (("a", 500), ("b", 3)) for i in range(n)]
     numbered = stats.number_within(spark.createDataFrame(rows, "d string, s string"), ["d"], F.col("s"), buckets=8)
@@ -115,10 +131,24 @@ def test_study_refuses_missing_columns_and_unknown_labels(spark):
     assert study.study_violations(rows.withColumn("label", F.lit("MAYBE"))).count() == 1
 
 
-def test_expanding_rules_equal_a_refit_per_session(spark):
+def test_places_number_the_values_of_each_feature(spark):
+    rng = random.Random(6)
+    rows = [(f, float(rng.randrange(-300, 300))) for f in "abc" for _ in range(900)]
+    got = fc.value_places(spark.createDataFrame(rows, "feature string, value double")).collect()
+    for f in "abc":
+        want = {v: k for k, v in enumerate(sorted({v for g, v in rows if g == f}))}
+        assert {r.value: r.place for r in got if r.feature == f} == want
+    for leaves in (1, 2, 5, 64, 65, 4097):
+        for slots in (2, 4, 64):
+            levels, children = fc.tree_shape(leaves, slots)
+            assert children**levels >= leaves and slots ** (levels - 1) < max(leaves, 2) and children <= slots
+
+
+@pytest.mark.parametrize("slots", [4, 64])
+def test_expanding_rules_equal_a_refit_per_session(spark, slots):
     rows = feature_rows(spark, 60, 6, 0.3, seed=4).cache()
     mine = {
-        (r.session_date, r.feature, r.third): r for r in fc.rule_buckets(rows, P, blocks=8).collect()
+        (r.session_date, r.feature, r.third): r for r in fc.rule_buckets(rows, P, slots=slots).collect()
     }
     targets = [r.session_date for r in fc.training_windows(rows, P).orderBy("session_date").collect()]
     assert targets and {k[0] for k in mine} <= set(targets)
