@@ -18,7 +18,12 @@ documents that links connect.
 * Within a list one node, the one that the list's shingle comes first in, is compared with all others: of
   near copies it has the fewest shingles of its own. Then the pairs of a list follow whose places allow
   a link and which are not yet in one class; a group of near copies is one class by then.
-* Every pair that meets is verified on its whole sets, so links are exact up to equal 64-bit hashes.
+* A pair that meets is first held against sketches: the parity of the number of elements in each of 512
+  slots. Every slot in which two sketches differ holds an element that one set has alone, so a pair with too
+  many of those cannot link. The others are verified on their whole sets, so links are exact up to equal
+  64-bit hashes, and whole sets move for few pairs only.
+* Copies and classes may be large: the smallest id is found per node, then per class over its nodes, and both
+  are joined back by salted keys.
 
 Texts without words (and null texts) have an empty set and link with nothing. A row whose document id is
 null takes part; its class id is the smallest id in the class, null if there is none. Repeated rows and
@@ -36,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import write_buckets, write_stage
+from rangebreak.functions.frames import bucketed, write_stage
 from rangebreak.llm.components import components
-from rangebreak.llm.text import Words, chunks, mix, shingle_hashes
+from rangebreak.llm.text import Words, chunks, let_go, mix, shingle_hashes
 
 #: Sets above this size never count as light: subsets would drop three elements and more.
 LIGHT_LIMIT = 40
@@ -46,6 +51,13 @@ LIGHT_LIMIT = 40
 SLOTS = 1 << 18
 #: A prefix is longer by one element for so many elements of a set, and asks for as many more in common.
 SPARE_EVERY = 20
+#: Bits of a sketch, and how many of its words of 64 bits a row carries.
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+#: Bytes of text shingled at once.
+CHUNK = 1_000_000
+#: Ways in which the rows of one node or class are dealt when its id is joined back.
+SALTS = 16
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -105,10 +117,10 @@ def _hash_prefix(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(batches, width: int, part):
-    """Rows of ``(doc_id, node, n, elements)``, elements in hash order as far as ``part`` takes them."""
+    """Rows of ``(doc_id, text_key, node, n, elements)``, elements in hash order as far as ``part`` takes them."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for at, to, data, offsets in chunks(batch.column("text")):
+        ids, keys = batch.column("doc_id"), batch.column("text_key")
+        for at, to, data, offsets in chunks(batch.column("text"), CHUNK):
             words = Words(data, offsets)
             nodes, sizes, starts, parts = [], [], [0], []
             for i in range(to - at):
@@ -122,17 +134,21 @@ def _sets(batches, width: int, part):
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(at, to - at),
+                    keys.slice(at, to - at),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values),
                 ],
-                names=["doc_id", "node", "n", "elements"],
+                names=["doc_id", "text_key", "node", "n", "elements"],
             )
+    let_go()
 
 
 def shingle_sets(docs: DataFrame, width: int, part=lambda elements: elements) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _sets(batches, width, part), "doc_id long, node long, n long, elements array<long>"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_key")).mapInArrow(
+        lambda batches: _sets(batches, width, part),
+        "doc_id long, text_key long, node long, n long, elements array<long>",
     )
 
 
@@ -239,12 +255,43 @@ def _first_against_all(lists: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _parities(batches):
+    for batch in batches:
+        out = np.zeros((len(batch), SKETCH_BITS // 8), np.uint8)
+        for k, elements in enumerate(batch.column("elements")):
+            slots = elements.values.to_numpy().view(np.uint64) % np.uint64(SKETCH_BITS)
+            out[k] = np.packbits(np.bincount(slots.astype(np.int64), minlength=SKETCH_BITS) & 1)
+        words = out.view(np.int64)
+        columns = [batch.column("node"), batch.column("n"), *[pa.array(words[:, k]) for k in range(len(SKETCH))]]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *SKETCH])
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """``node, n`` and the sketch of every set."""
+    schema = ", ".join(f"{c} long" for c in ("node", "n", *SKETCH))
+    return write_stage(sets.select("node", "n", "elements").mapInArrow(_parities, schema), "jaccard-sketches")
+
+
+def _possible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+
+    def side(node: str, mark: str) -> DataFrame:
+        return sketch.select(F.col("node").alias(node), *[F.col(c).alias(f"{mark}{c}") for c in ("n", *SKETCH)])
+
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH), F.lit(0))
+    both = F.col("an") + F.col("bn")
+    # With at least ``apart`` elements in one set alone, at most (both - apart) / 2 are in common.
+    enough = (both - apart) * (100 + percent) >= 2 * percent * both
+    return pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").where(enough).select("u", "v")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets meet the threshold.
 
     ``sets`` lies in buckets of its node, so the first join moves pairs alone. Of the first sides, often
     one node of very many pairs, only the sets asked for move, and Spark can split their pairs.
     """
+    pairs = write_stage(_possible(pairs, sketch, percent), "jaccard-possible")
     right = sets.select(F.col("node").alias("v"), F.col("elements").alias("b"))
     asked = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
     left = asked.select(F.col("node").alias("u"), F.col("elements").alias("a"))
@@ -275,9 +322,41 @@ def _pairs_between_classes(lists: DataFrame, labels: DataFrame, percent: int) ->
     )
 
 
-def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (see the module's docstring)."""
-    rows = write_stage(shingle_sets(docs, width, lambda e: e[:0]).select("doc_id", "node", "n"), "jaccard-rows")
+def _salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on a key that very many rows of the left side may have; the right side has it once."""
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [key, "salt"], "left").drop("salt")
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the first row of each one's class: ``component_id`` and ``component_key``.
+
+    First is the smallest id, nulls last, then the smallest key of a text.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = rows.where("node is not null").groupBy("node").agg(first, F.count("*").alias("c"))
+    linked = _labelled(nodes.where("c > 1").select("node", "first"), labels).unionByName(
+        labels.join(nodes.select("node", "first", "c").where("c = 1"), "node").select("node", "first", "root")
+    )
+    linked = write_stage(linked, "jaccard-linked")
+    own = linked.groupBy("root").agg(F.min("first").alias("component"))
+    named = _salted(linked.select("node", "root"), own, "root").select("node", "component")
+    return _salted(rows, named, "node").select(
+        "doc_id",
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component.doc_id")).alias("component_id"),
+        F.coalesce("component.text_key", "text_key").alias("component_key"),
+    )
+
+
+def jaccard_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, component_key`` for every row of ``docs``.
+
+    ``text_key`` is ``xxhash64`` of the text; id and key name a row where ids repeat or are null.
+    """
+    rows = write_stage(shingle_sets(docs, width, lambda e: e[:0]).drop("elements"), "jaccard-rows")
     counted = rows.where(f"node is not null and n <= {LIGHT_LIMIT}").groupBy("n").agg(F.countDistinct("node").alias("c"))
     boundary = light_boundary({r["n"]: r["c"] for r in counted.collect()}, percent)
     small = shingle_sets(docs, width, lambda e: e if len(e) < boundary else e[:0]).where((F.col("n") > 0) & (F.col("n") < boundary))
@@ -293,22 +372,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     whole = shingle_sets(chosen, width).where("node is not null").select("node", "n", "elements")
     # A node comes twice only if an id does.
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    whole = write_buckets(whole.dropDuplicates(["node"]) if repeated else whole, "node", "jaccard_whole")
-
-    heavy = heavy_lists(whole.where(F.col("n") >= smallest_partner(boundary, percent)), percent)
-    lists = write_stage(heavy.unionByName(light.withColumn("place", F.lit(0).cast("long"))), "jaccard-lists")
-    pairs = write_stage(_first_against_all(lists, percent), "jaccard-pairs")
-    links = write_stage(_links(pairs, whole, percent), "jaccard-links")
-    pairs = write_stage(_pairs_between_classes(lists, components(links), percent), "jaccard-pairs")
-    more = _links(pairs, whole, percent)
-    labels = components(links.unionByName(more))
-
-    named = _labelled(rows.where("node is not null"), labels)
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return (
-        named.join(smallest, "root")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(
-            rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        )
-    )
+    whole = whole.dropDuplicates(["node"]) if repeated else whole
+    with bucketed(whole, "node", "whole") as whole:
+        sketch = sketches(whole)
+        heavy = heavy_lists(whole.where(F.col("n") >= smallest_partner(boundary, percent)), percent)
+        lists = write_stage(heavy.unionByName(light.withColumn("place", F.lit(0).cast("long"))), "jaccard-lists")
+        links = write_stage(_links(_first_against_all(lists, percent), whole, sketch, percent), "jaccard-links")
+        pairs = _pairs_between_classes(lists, components(links), percent)
+        more = write_stage(_links(pairs, whole, sketch, percent), "jaccard-links")
+    return _named(rows, components(links.unionByName(more)))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (see the module's docstring)."""
+    return jaccard_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")

@@ -6,6 +6,8 @@ are cut on bytes; letters A-Z may be lowered, other letters stay as they are.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def let_go() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on and are reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def plain_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous array of large strings with empty texts for nulls."""
     if isinstance(column, pa.ChunkedArray):

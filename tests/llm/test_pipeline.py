@@ -93,3 +93,19 @@ def test_near_copies_between_the_two_rules_go(spark):
     rows = [t for t in odd_texts() if t[0] is not None]
     got = pipeline.drop_near_duplicates(spark, documents(spark, rows), SF).collect()
     assert Counter(x.doc_id for x in got) == Counter({i for i, _, c in brute_classes(rows, 5, 80) if i == c})
+
+
+def test_one_row_of_a_class_stays_without_ids_and_under_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, other = long.replace("w7 ", "x7 "), " ".join(f"v{k}" for k in range(30))
+    texts = [(1, long), (None, long), (None, long), (None, near), (5, near), (5, long), (5, other), (5, other), (None, other)]
+    texts += [(None, "alone of all"), (7, None), (None, ""), (8, "")]
+    got = pipeline.drop_near_duplicates(spark, documents(spark, texts, extra=True), SF).collect()
+    want = [(1, long), (5, other), (None, "alone of all"), (7, None), (None, ""), (8, "")]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want) and tuple(got[0].asDict()) == pipeline.COLUMNS
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    before = {d.name for d in spark.catalog.listDatabases()}
+    queries.QUERIES["op1_ngram_jaccard_join"](spark, SF).count()
+    assert {d.name for d in spark.catalog.listDatabases()} == before and not spark.catalog.listTables()
