@@ -8,8 +8,8 @@
    part is cut after its last word. Documents without words, or beyond their source's target, go.
 5. ``byte_bpe``: token ids and digests of every copy.
 
-Stages 1 to 4 return the columns of ``documents`` and no others. Documents without an id are kept by
-stage 2, as they can't be named by a class.
+Stages 1 to 4 return the columns of ``documents`` and no others. In stage 2 a row is named by its id and its
+text, so one row of a class stays where ids are null or repeat (null ids count as largest).
 """
 
 from __future__ import annotations
@@ -38,18 +38,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    classes = jaccard_join.jaccard_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    read = docs.select(*COLUMNS)
-    # Ids of which no row stays: few beside all, and Spark moves texts only if they are many.
-    stays = F.coalesce(F.max(F.col("doc_id") == F.col("component_id")), F.lit(True))
-    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id")
-    found = read.join(gone, "doc_id", "left_anti")
-    # Of rows with an equal id, one for each text.
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    classes = jaccard_join.jaccard_rows(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    read = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    # Rows that do not stay: few beside all, and Spark moves texts only if they are many.
+    gone = classes.where(~first).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = read["doc_id"].eqNullSafe(gone["gone_id"]) & (read["text_key"] == gone["gone_key"])
+    found = read.join(gone, same, "left_anti")
+    # Of rows with an equal id (or none) and an equal text, one.
+    several = read.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1").select("text_key").distinct()
     if not several.limit(1).count():
-        return found
-    twice = found.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return found.join(several, "doc_id", "left_anti").unionByName(twice)
+        return found.select(*COLUMNS)
+    twice = found.join(several, "text_key", "left_semi").dropDuplicates(["doc_id", "text"])
+    return found.join(several, "text_key", "left_anti").unionByName(twice).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
