@@ -12,7 +12,7 @@ queue serves them does not matter.
 
 Null texts count as empty: no tokens, and the digests of empty strings. The vocabulary's path is a
 parameter; executors read it from their own installation of the tokenizer files. Encoded matches are
-kept from text to text in a dictionary of bounded size.
+kept from text to text in two dictionaries of bounded size, as long as a task runs.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.llm.text import plain_strings
+from rangebreak.llm.text import let_go, plain_strings
 
-#: Encoded matches kept per Python worker; beyond that the dictionary starts anew.
-KEPT_MATCHES = 400_000
+#: Estimated bytes of encoded matches in one of the two dictionaries that a task keeps.
+KEPT_BYTES = 30_000_000
 #: Characters of text whose matches are encoded together.
 GROUP_CHARS = 1_500_000
 #: Matches that share one queue.
@@ -61,7 +61,13 @@ class ByteBPE:
                     self.merges[left][right] = rank
         self.byte_tokens = np.array(self.byte, dtype=np.int32)
         self.byte_pairs = np.array([self.merges[x].get(y, -1) for x in self.byte for y in self.byte], dtype=np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Matches met since the last turn, and those met before it."""
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.kept_bytes = 0
 
     def encode_matches(self, matches: list[bytes]) -> list[tuple[int, ...]]:
         """Tokens of each of several matches, by one queue over all their bytes."""
@@ -142,11 +148,15 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        if len(self.known) > KEPT_MATCHES:
-            self.known.clear()
-        known = self.known
+        if self.kept_bytes > KEPT_BYTES:
+            # What is met again moves over from the older dictionary, so frequent matches stay.
+            self.known, self.older, self.kept_bytes = {}, self.known, 0
+        known, older = self.known, self.older
+        unmet = set(chain.from_iterable(split)).difference(known)
+        again = unmet.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
         fresh = []
-        for match in set(chain.from_iterable(split)).difference(known):
+        for match in unmet - again:
             whole = self.ranks.get(match.encode())
             if whole is None:
                 fresh.append(match)
@@ -155,6 +165,7 @@ class ByteBPE:
         for at in range(0, len(fresh), MATCHES_AT_ONCE):
             some = fresh[at : at + MATCHES_AT_ONCE]
             known.update(zip(some, self.encode_matches([m.encode() for m in some]), strict=True))
+        self.kept_bytes += sum(200 + 4 * len(m) + 8 * len(known[m]) for m in unmet)
         return [list(chain.from_iterable(map(known.__getitem__, matches))) for matches in split]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -192,6 +203,8 @@ def encoded_batches(batches, path: str | None = None, pattern: str | None = None
             texts = plain_strings(batch.column("text").slice(row, 500)).to_pylist()
             for at, to in _groups(texts):
                 yield batch.column("doc_id").slice(row + at, to - at), bpe.encode(texts[at:to])
+    bpe.forget()
+    let_go()
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.llm.text import plain_strings
+from rangebreak.llm.text import let_go, plain_strings
 
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 17
@@ -41,8 +41,8 @@ RATE = 0.1
 DECAY = 1e-6
 #: Texts of the sample that a word must stand in to be fitted.
 FEWEST_TEXTS = 5
-#: Words whose value is kept per Python worker; beyond that the dictionary starts anew.
-KEPT_WORDS = 400_000
+#: Words whose value a task keeps; beyond that the dictionary starts anew.
+KEPT_WORDS = 250_000
 
 
 def subwords(word: str) -> list[int]:
@@ -207,6 +207,8 @@ def _scores(batches, model):
             [*(batch.column(c) for c in batch.schema.names), pa.array(1 / (1 + np.exp(-odds)))],
             names=[*batch.schema.names, "score"],
         )
+    values.clear()
+    let_go()
 
 
 def score_toxicity(
