@@ -32,14 +32,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.llm.text import plain_strings
+from rangebreak.llm.text import let_go, plain_strings
 
 # Fixed value: the split pattern that byte-level files imply.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words are encoded together, and rows looked at for them.
 GROUP_CHARS, GROUP_ROWS = 1_000_000, 500
-#: Estimated bytes of encoded words that a task keeps; beyond that it starts anew.
-KEPT_BYTES = 48_000_000
+#: Estimated bytes of encoded words in one of the two dictionaries that a task keeps.
+KEPT_BYTES = 30_000_000
 _NEVER = np.int64(1 << 40)
 
 
@@ -77,9 +77,10 @@ class GuessedBPE:
         self.byte = [by_bytes[bytes([b])] for b in range(256)]
         names = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in names]
-        self.merge_of = {(a, b): (rank, whole) for rank, (a, b, whole) in reversed([*enumerate(merges)])}
-
         size = max(self.bytes) + 1
+        # By pair, as one number, the rank of its merge; by rank, what it makes.
+        self.rank_of = {a * size + b: rank for rank, (a, b, _) in reversed([*enumerate(merges)])}
+        self.wholes = [whole for _, _, whole in merges]
         # The rank that makes a token (-1: a byte), and its two parts.
         self.made, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         a, b, whole = np.array(merges, np.int64).reshape(-1, 3).T
@@ -95,10 +96,11 @@ class GuessedBPE:
         for k in range(len(merges)):  # a token needs parts that come out as well
             stable[whole[k]] &= stable[a[k]] & stable[b[k]]
         self.token_of = {token: i for token, i in by_bytes.items() if stable[i]}
+        # Lengths, longest first, of the tokens with the same first three bytes.
         lengths: dict[bytes, set[int]] = {}
         for token in self.token_of:
-            if len(token) > 1:
-                lengths.setdefault(token[:2], set()).add(len(token))
+            if len(token) > 2:
+                lengths.setdefault(token[:3], set()).add(len(token))
         self.lengths = {start: sorted(found, reverse=True) for start, found in lengths.items()}
         self.split = regex.compile(SPLIT).findall
         strings = sorted(self.added, key=len, reverse=True)
@@ -133,43 +135,50 @@ class GuessedBPE:
 
     def guess(self, word: bytes) -> list[int]:
         """The longest tokens from the left."""
-        tokens, lengths, byte, at, out = self.token_of, self.lengths, self.byte, 0, []
-        while at < len(word):
-            for n in lengths.get(word[at : at + 2], ()):
+        tokens, lengths, byte, at, end, out = self.token_of, self.lengths, self.byte, 0, len(word), []
+        while at < end:
+            for n in lengths.get(word[at : at + 3], ()):
                 found = tokens.get(word[at : at + n])
-                if found is not None and at + n <= len(word):
+                if found is not None and at + n <= end:
                     break
             else:
-                found, n = byte[word[at]], 1
+                n = 2 if at + 2 <= end else 1
+                found = tokens.get(word[at : at + n])
+                if found is None:
+                    found, n = byte[word[at]], 1
             out.append(found)
             at += n
         return out
 
     def merge(self, word: bytes) -> list[int]:
         """What the merges give: lowest rank first, the leftmost on ties."""
+        n, size, rank_of, wholes = len(word), self.size, self.rank_of, self.wholes
         token = [self.byte[b] for b in word]
-        after, before = [*range(1, len(word)), -1], list(range(-1, len(word) - 1))
-        merge_of = self.merge_of
-        heap = [(*merge_of[pair], i, *pair) for i, pair in enumerate(zip(token, token[1:], strict=False)) if pair in merge_of]
-        # Entries (rank, whole, place, pair): the place decides between equal ranks.
+        rank_at = [rank_of.get(x * size + y, -1) for x, y in zip(token, token[1:], strict=False)] + [-1]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # Entries are rank and place in one number; one whose pair has changed since is skipped.
+        heap = [rank * n + i for i, rank in enumerate(rank_at) if rank >= 0]
         heapify(heap)
         while heap:
-            _, whole, i, left, right = heappop(heap)
-            j = after[i]
-            if token[i] != left or j < 0 or token[j] != right:
+            rank, i = divmod(heappop(heap), n)
+            if rank_at[i] != rank:
                 continue
-            token[i], token[j] = whole, -1
+            j = after[i]
             k = after[i] = after[j]
-            if k >= 0:
+            whole = token[i] = wholes[rank]
+            token[j] = rank_at[j] = -1
+            if k < n:
                 before[k] = i
-                pair = (whole, token[k])
-                if pair in merge_of:
-                    heappush(heap, (*merge_of[pair], i, *pair))
+                found = rank_at[i] = rank_of.get(whole * size + token[k], -1)
+                if found >= 0:
+                    heappush(heap, found * n + i)
+            else:
+                rank_at[i] = -1
             h = before[i]
             if h >= 0:
-                pair = (token[h], whole)
-                if pair in merge_of:
-                    heappush(heap, (*merge_of[pair], h, *pair))
+                found = rank_at[h] = rank_of.get(token[h] * size + whole, -1)
+                if found >= 0:
+                    heappush(heap, found * n + h)
         return [t for t in token if t >= 0]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -203,26 +212,30 @@ class GuessedBPE:
 
 
 class Encoder:
-    """Encodes texts and keeps encoded words, up to ``KEPT_BYTES``, as long as one task runs."""
+    """Encodes texts and keeps encoded words, up to twice ``KEPT_BYTES``, as long as one task runs.
 
-    def __init__(self, bpe: GuessedBPE):
-        self.bpe = bpe
-        self._start()
+    Words that are met again move over from the older dictionary to the newer one, so frequent words stay.
+    """
 
-    def _start(self) -> None:
+    def __init__(self, bpe: GuessedBPE):
+        self.bpe, self.older = bpe, {}
         # A word never equals the string of an added token: pieces are cut there.
-        self.known: dict[str, tuple[int, ...]] = {text: (i,) for text, i in self.bpe.added.items()}
+        self.known: dict[str, tuple[int, ...]] = {text: (i,) for text, i in bpe.added.items()}
         self.bytes = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.bpe.pieces(t) for t in texts]
         if self.bytes > KEPT_BYTES:
-            self._start()
-        fresh = list(set(chain.from_iterable(split)).difference(self.known))
+            self.known, self.older, self.bytes = {text: (i,) for text, i in self.bpe.added.items()}, self.known, 0
+        known, older = self.known, self.older
+        unmet = set(chain.from_iterable(split)).difference(known)
+        again = unmet.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        fresh = list(unmet - again)
         found = self.bpe.encode_words([w.encode() for w in fresh])
-        self.known.update(zip(fresh, map(tuple, found), strict=True))
-        self.bytes += sum(200 + 4 * len(w) for w in fresh) + 8 * sum(map(len, found))
-        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in split]
+        known.update(zip(fresh, map(tuple, found), strict=True))
+        self.bytes += sum(200 + 4 * len(w) + 8 * len(known[w]) for w in unmet)
+        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
 
 
 @cache
@@ -252,6 +265,8 @@ def _encoded(batches, bpe: GuessedBPE):
                 to = max(at + 1, int(np.searchsorted(ends, start + GROUP_CHARS, "right")))
                 yield batch.column("doc_id").slice(row + at, to - at), encoder.encode(texts[at:to])
                 at = to
+    del encoder
+    let_go()
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
