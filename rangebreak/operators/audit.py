@@ -1,13 +1,18 @@
-"""Does anything look past its decision bar? Truncation, poisoning and table comparison."""
+"""Does anything look past its decision bar? Truncation, poisoning and table comparison.
+
+An audit runs a transform once over many versions of the bars: the whole history, and one version per cut,
+in which the bars after the cut are gone or poisoned. The version is part of the symbol, so whatever works
+symbol by symbol needs no change; what joins across symbols must join on ``version_of`` as well.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangebreak.functions.frames import write_stage
 from rangebreak.operators.stats import exact_quantiles
 
 # Fixed values of the poisoned tail: its ramp, its shape around the close, its volume.
@@ -33,12 +38,6 @@ def poison_future(bars: DataFrame, from_slot: int) -> DataFrame:
     return _with_poison(marked, bars.columns)
 
 
-def poison_from(bars: DataFrame, date, from_slot: int) -> DataFrame:
-    """Replace all bars of all symbols from one (date, slot) on, by a steep rise in each session."""
-    later = (F.col("session_date") > date) | ((F.col("session_date") == date) & (F.col("slot") >= from_slot))
-    return _with_poison(bars.withColumn("poisoned", later), bars.columns)
-
-
 def _with_poison(marked: DataFrame, columns: list[str]) -> DataFrame:
     honest = marked.where(~F.col("poisoned"))
     median = exact_quantiles(
@@ -113,68 +112,169 @@ def frame_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _decided_by(df: DataFrame, date, slot: int, slot_column: str) -> DataFrame:
-    earlier = F.col("session_date") < date
-    return df.where(earlier | ((F.col("session_date") == date) & (F.col(slot_column) <= slot)))
+# ---- versions of the bars --------------------------------------------------------------
 
+WHOLE = "whole"
+_MARK = "|"
 
-def leak_report(full: DataFrame, other: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Decisions compared and leaks found, in one row."""
-    leaks = frame_diff(full, other, keys).agg(
-        F.count("*").alias("leaks"), F.min("field").alias("first_leaking_field")
+
+def version_of(symbol: str = "symbol") -> Column:
+    """Version of a symbol as the transforms of an audit see it."""
+    return F.substring_index(symbol, _MARK, 1)
+
+
+def plain_symbol(symbol: str = "symbol") -> Column:
+    """Symbol without its version; it may hold the mark itself."""
+    return F.expr(f"substring({symbol}, instr({symbol}, '{_MARK}') + 1)")
+
+
+def _named(cuts: DataFrame) -> DataFrame:
+    return cuts.withColumn("version", F.concat_ws("/", "part", "cut_date", "cut_slot"))
+
+
+def own_cuts(bars: DataFrame, slots: tuple[int, ...], parts: int = 4) -> DataFrame:
+    """``symbol, part, cut_date, cut_slot, version``: cuts that part each symbol's own sessions evenly.
+
+    The last part ends in the symbol's last session. The slots take turns.
+    """
+    part = F.col("part")
+    dates = bars.groupBy("symbol").agg(F.sort_array(F.collect_set("session_date")).alias("dates"))  # bounded by the calendar
+    place = F.floor((F.size("dates") * part + parts - 1) / parts).cast("int")
+    slot = F.element_at(F.array(*map(F.lit, slots)), (part - 1) % len(slots) + 1)
+    return _named(
+        dates.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts)))).select(
+            "symbol", "part", F.element_at("dates", place).alias("cut_date"), slot.alias("cut_slot")
+        )
     )
-    return full.agg(F.count("*").alias("decisions")).join(F.broadcast(leaks)).select(
-        F.lit(what).alias("audit"), "decisions", "leaks", "first_leaking_field"
+
+
+def common_cuts(bars: DataFrame, slot: int) -> DataFrame:
+    """Cuts of all symbols at once: one at each date on which the history of a symbol ends."""
+    last = bars.groupBy("symbol").agg(F.max("session_date").alias("cut_date"))
+    # One row, bounded by the calendar.
+    dates = last.agg(F.sort_array(F.collect_set("cut_date")).alias("dates"))
+    every = last.select("symbol").join(F.broadcast(dates)).select("symbol", F.explode("dates").alias("cut_date"))
+    return _named(every.withColumns({"part": F.lit(1), "cut_slot": F.lit(slot)}))
+
+
+def with_index(cuts: DataFrame, index_symbol: str) -> DataFrame:
+    """The cuts, and each of them for an index that all symbols share."""
+    shared = cuts.drop("symbol").distinct().withColumn("symbol", F.lit(index_symbol))
+    return cuts.unionByName(shared)
+
+
+def _up_to_cut(slot_column: str) -> Column:
+    date, cut = F.col("session_date"), F.col("cut_date")
+    return (date < cut) | ((date == cut) & (F.col(slot_column) <= F.col("cut_slot")))
+
+
+def _into(version: Column) -> Column:
+    return F.concat(version, F.lit(_MARK), F.col("symbol"))
+
+
+def _truncated(bars: DataFrame, cuts: DataFrame) -> DataFrame:
+    kept = bars.join(cuts, "symbol").where(_up_to_cut("slot"))
+    return kept.withColumn("symbol", _into(F.col("version"))).select(*bars.columns)
+
+
+def _poisoned(bars: DataFrame, cuts: DataFrame) -> DataFrame:
+    marked = bars.join(cuts, "symbol").withColumn("poisoned", ~_up_to_cut("slot"))
+    return _with_poison(marked.withColumn("symbol", _into(F.col("version"))), bars.columns)
+
+
+# ---- audits ----------------------------------------------------------------------------
+
+
+def _digests(df: DataFrame, group: list[str]) -> DataFrame:
+    """Per group the number of rows and two sums of their hashes, which merge in any order."""
+    # A hash leaves NULLs out, so each field says whether it is one.
+    value = F.xxhash64(*[c for f in df.columns for c in (F.col(f), F.col(f).isNull())])
+    return df.groupBy(*group).agg(
+        F.struct(F.count("*"), F.bit_xor(value), F.sum(F.shiftright(value, 16))).alias("digest")
     )
 
 
-def cut_dates(bars: DataFrame, parts: int = 4) -> list:
-    """Session dates that part the history evenly, the first date and the end left out."""
-    dates = sorted(r[0] for r in bars.select("session_date").distinct().collect())  # bounded by the calendar
-    return [dates[len(dates) * k // parts] for k in range(1, parts)] if dates else []
+def differing_groups(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Groups of rows that are not the same on both sides, by digests of 64 bits and more."""
+    a = _digests(left, group).withColumnRenamed("digest", "left_digest")
+    b = _digests(right, group).withColumnRenamed("digest", "right_digest")
+    return a.join(b, group, "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest"))).select(*group)
+
+
+def _reports(
+    transform: Transform, bars: DataFrame, cuts: DataFrame, changed: DataFrame, keys: list[str], slot_column: str
+) -> DataFrame:
+    """``version, part, decisions, leaks, first_leaking_field`` per version of the bars.
+
+    The transform runs once, over the whole history and all versions together, whatever their number. Rows are
+    compared in sessions whose digests differ; all others are equal and move no more than a digest.
+    """
+    whole = bars.withColumn("symbol", _into(F.lit(WHOLE)))
+    decided = write_stage(transform(whole.unionByName(changed)), "audited")
+    in_whole = version_of() == WHOLE
+    fields = decided.columns
+    versioned = cuts.withColumn("symbol", _into(F.col("version")))
+    full = (
+        decided.where(in_whole)
+        .withColumn("symbol", plain_symbol())
+        .join(cuts, "symbol")
+        .where(_up_to_cut(slot_column))
+        .withColumn("symbol", _into(F.col("version")))
+    )
+    other = decided.where(~in_whole).join(versioned, "symbol").where(_up_to_cut(slot_column)).select(*fields)
+    session = ["symbol", "session_date"]
+    open_sessions = differing_groups(full.select(*fields), other, session)
+    found = frame_diff(
+        full.select(*fields).join(open_sessions, session, "left_semi"), other.join(open_sessions, session, "left_semi"), keys
+    )
+    leaks = found.groupBy(version_of().alias("version")).agg(
+        F.count("*").alias("leaks"), F.min("field").alias("first_leaking_field")
+    )
+    decisions = full.groupBy("version").agg(F.count("*").alias("decisions"))
+    return (
+        cuts.select("version", "part")
+        .distinct()
+        .join(decisions, "version", "left")
+        .join(leaks, "version", "left")
+        .fillna(0, ["decisions", "leaks"])
+    )
 
 
 def audit_truncation(
-    transform: Transform, bars: DataFrame, dates: list, slot: int, keys: list[str], slot_column: str
+    transform: Transform, bars: DataFrame, cuts: DataFrame, keys: list[str], slot_column: str, index_symbol: str | None = None
 ) -> DataFrame:
-    """Recompute on bars cut after (date, slot) of each date: every decision up to it must come out the same.
+    """Recompute on bars that end at each cut: every decision up to it must come out the same. One row per part.
 
-    One cut tests all decisions before it at once, instead of one decision at a time. ``transform`` derives
-    daily rows, the index and all else from the bars it is given, so these end at the cut too.
+    One cut tests all decisions of its symbol before it at once. ``transform`` derives daily rows and all else
+    from the bars it is given, so these end at the cut too. ``index_symbol`` names an index among the bars, which is
+    cut with each symbol and makes no decisions of its own.
     """
-    whole = transform(bars)
-    reports = []
-    for date in dates:
-        cut = transform(_decided_by(bars, F.lit(date), slot, "slot"))
-        full = _decided_by(whole, F.lit(date), slot, slot_column)
-        reports.append(leak_report(full, cut, keys, "truncation").withColumn("cut", F.lit(date)))
-    return reduce(DataFrame.unionByName, reports)
+    every = with_index(cuts, index_symbol) if index_symbol else cuts
+    reports = _reports(transform, bars, cuts, _truncated(bars, every), keys, slot_column)
+    return reports.groupBy("part").agg(
+        F.lit("truncation").alias("audit"),
+        F.sum("decisions").alias("decisions"),
+        F.sum("leaks").alias("leaks"),
+        F.min("first_leaking_field").alias("first_leaking_field"),
+    )
 
 
 def audit_poison(
-    transform: Transform, bars: DataFrame, from_slot: int, keys: list[str], slot_column: str
+    transform: Transform, bars: DataFrame, from_slot: int, keys: list[str], slot_column: str, index_symbol: str | None = None
 ) -> DataFrame:
     """Poison all symbols from one (date, slot) on: earlier decisions must not move, whatever their symbol.
 
     Symbols meet in the index, so it must be clean before the poison of any of them. The dates are the last
-    sessions of the symbols, each one recomputation, so a symbol that ends early is poisoned as well. Decisions
+    sessions of the symbols, each one version, so a symbol that ends early is poisoned as well. Decisions
     are those before the latest date, leaks those at all dates.
     """
-    last = bars.groupBy("symbol").agg(F.max("session_date").alias("last_date")).select("last_date").distinct()
-    dates = sorted(r[0] for r in last.collect())  # bounded by the calendar
-    whole = transform(bars)
-
-    def honest(df: DataFrame, date) -> DataFrame:
-        return _decided_by(df, F.lit(date), from_slot - 1, slot_column)
-
-    if not dates:
-        return leak_report(whole.limit(0), whole.limit(0), keys, "poison")
-    reports = [
-        leak_report(honest(whole, d), honest(transform(poison_from(bars, F.lit(d), from_slot)), d), keys, "poison")
-        for d in dates
-    ]
-    return reduce(DataFrame.unionByName, reports).groupBy("audit").agg(
-        F.max("decisions").alias("decisions"),
-        F.sum("leaks").alias("leaks"),
+    symbols = bars.where(F.col("symbol") != index_symbol) if index_symbol else bars
+    cuts = common_cuts(symbols, from_slot - 1)
+    every = with_index(cuts, index_symbol) if index_symbol else cuts
+    reports = _reports(transform, bars, cuts, _poisoned(bars, every), keys, slot_column)
+    return reports.agg(
+        F.lit("poison").alias("audit"),
+        F.coalesce(F.max("decisions"), F.lit(0)).alias("decisions"),
+        F.coalesce(F.sum("leaks"), F.lit(0)).alias("leaks"),
         F.min("first_leaking_field").alias("first_leaking_field"),
     )

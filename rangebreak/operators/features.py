@@ -71,8 +71,12 @@ def feature_columns(
     expiries: DataFrame,
     p: Params,
     only: tuple[str, ...] = ALL_FEATURES,
+    index_key: tuple[str, ...] = ("session_date",),
 ) -> DataFrame:
-    """Breakout keys, outcome and the requested features; joins nothing that is not asked for."""
+    """Breakout keys, outcome and the requested features; joins nothing that is not asked for.
+
+    ``index_key`` names the columns of events and index that tell index sessions apart.
+    """
     rows = events
     sign = direction_sign(F.col("direction"))
     long = F.col("direction") == "long"
@@ -84,10 +88,10 @@ def feature_columns(
     if "rvol_breakout_bar" in only:
         rows = _same_slot_volume(rows, bars, p)
     if {"rel_strength_vs_index", "index_or_agrees"} & set(only):
-        at = index_states(index_bars, p).withColumnRenamed("slot", "breakout_slot")
-        rows = rows.join(at, ["session_date", "breakout_slot"], "left")
+        at = index_states(index_bars, p, index_key).withColumnRenamed("slot", "breakout_slot")
+        rows = rows.join(at, [*index_key, "breakout_slot"], "left")
     if "rel_strength_vs_index" in only:
-        rows = rows.join(index_session_open(index_bars), "session_date", "left")
+        rows = rows.join(index_session_open(index_bars, index_key), list(index_key), "left")
     if "is_expiry_day" in only:
         rows = is_expiry_day(rows, expiries)
     # The gap in price is derived from the gap in percent, so there is one previous close.

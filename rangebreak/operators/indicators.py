@@ -245,30 +245,30 @@ def index_bar_at(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
     return bars.join(at, ["session_date", "slot"], "left")
 
 
-def index_session_open(index_bars: DataFrame) -> DataFrame:
-    return index_bars.groupBy("session_date").agg(F.min_by("open", "slot").alias("index_open"))
+def index_session_open(index_bars: DataFrame, key: tuple[str, ...] = ("session_date",)) -> DataFrame:
+    return index_bars.groupBy(*key).agg(F.min_by("open", "slot").alias("index_open"))
 
 
-def index_states(index_bars: DataFrame, p: Params) -> DataFrame:
+def index_states(index_bars: DataFrame, p: Params, key: tuple[str, ...] = ("session_date",)) -> DataFrame:
     """For every slot of every index session: has the index closed beyond its own range by then?
 
     Backward as-of values laid on the fixed grid, so a stock bar finds its state with an equi-join.
-    Size: index sessions times slots, whatever the number of stocks.
+    Size: index sessions times slots, whatever the number of stocks. ``key`` tells index sessions apart.
     """
-    day = W.partitionBy("session_date").orderBy("slot")
+    day = W.partitionBy(*key).orderBy("slot")
     so_far = day.rowsBetween(W.unboundedPreceding, W.currentRow)
     opening = in_range(p)
     n = p.opening_range_bars
     grid = (
-        index_bars.select("session_date")
+        index_bars.select(*key)
         .distinct()
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(p.slots_per_session - 1))))
     )
     laid = grid.join(
-        index_bars.select("session_date", "slot", "high", "low", "close"), ["session_date", "slot"], "left"
+        index_bars.select(*key, "slot", "high", "low", "close"), [*key, "slot"], "left"
     )
     ranged = laid.select(
-        "session_date",
+        *key,
         "slot",
         F.col("close").alias("index_close"),
         F.col("close"),
@@ -285,7 +285,7 @@ def index_states(index_bars: DataFrame, p: Params) -> DataFrame:
         return F.when(complete, hit)
 
     return ranged.select(
-        "session_date",
+        *key,
         "slot",
         "index_close",
         state(F.col("close") > F.col("or_high")).alias("index_up"),

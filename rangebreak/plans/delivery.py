@@ -6,19 +6,22 @@ import datetime
 import uuid
 from functools import partial
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rangebreak.functions.frames import stage_root, write_stage
 from rangebreak.operators import audit, quality, study, universe
-from rangebreak.operators.features import EVENT_KEY, breakout_context, feature_table
+from rangebreak.operators.features import EVENT_KEY, breakout_context, feature_columns
+from rangebreak.operators.indicators import rvol_at_time, rvol_bar, session_sigma, session_vwap
+from rangebreak.operators.labelling import detect_breakouts
 from rangebreak.plans import catalogue
 from rangebreak.operators.trades import failed_orb_signals, orb_signals
 from rangebreak.plans.fixtures import INDEX, ZONE
 from rangebreak.plans.sql import delivery as sql
 from rangebreak.plans.sql.base import num
 from rangebreak.sources import artifacts, reference, store
-from rangebreak.sources.ticks import daily_rows, pooled_index
+from rangebreak.sources.ticks import daily_rows
 
 # These plans read bars on several branches.
 query = partial(catalogue.query, stage=True)
@@ -413,39 +416,74 @@ def frame_diff(fx):
 
 
 def _decisions_of(fx, decide):
-    """Decisions recomputed from trade bars alone: daily rows and the index come from the same bars."""
+    """Decisions recomputed from bars alone: daily rows come from the same bars, and the index ends where they do."""
 
-    def transform(traded):
-        bars = traded.drop("first_seq", "last_seq")
+    def transform(every):
+        bars = every.where(audit.plain_symbol() != INDEX)
+        index = every.where(audit.plain_symbol() == INDEX).withColumn("version", audit.version_of())
         events = breakout_context(bars, daily_rows(bars), fx.calendar, fx.params)
-        return write_stage(decide(events, bars, pooled_index(traded, INDEX)), "audited")
+        return decide(events.withColumn("version", audit.version_of()), bars, index)
 
     return transform
 
 
 def _features_of(fx):
-    # Labels and extensions are outcomes, and may look ahead.
-    return _decisions_of(
-        fx,
-        lambda events, bars, index: feature_table(events, bars, index, fx.expiries, fx.params).drop(
-            "label", "max_extension_atr"
-        ),
-    )
+    def features(events, bars, index):
+        table = feature_columns(events, bars, index, fx.expiries, fx.params, index_key=("version", "session_date"))
+        # Labels and extensions are outcomes, and may look ahead.
+        return table.drop("label", "max_extension_atr")
+
+    return _decisions_of(fx, features)
 
 
 def _signals_of(fx):
     return _decisions_of(fx, lambda events, bars, index: orb_signals(events, bars).unionByName(failed_orb_signals(events)))
 
 
-CUT_SLOT = 12
+def _indicators_of(fx):
+    """Every indicator at every bar."""
+
+    def transform(bars):
+        inside = session_sigma(session_vwap(bars)).select(*BAR_KEY, "vwap", "sigma")
+        return inside.join(rvol_at_time(bars, fx.params), BAR_KEY).join(rvol_bar(bars, fx.params), BAR_KEY)
+
+    return transform
+
+
+def _detection_of(fx):
+    return lambda bars: detect_breakouts(bars, fx.params)
+
+
+def _universe_of(fx):
+    """Candidates at the slot of the nth bar, which decides; without one, at the end of the session."""
+
+    def transform(bars):
+        order = W.partitionBy("symbol", "session_date").orderBy("slot")
+        nth = (
+            bars.withColumn("pos", F.row_number().over(order))
+            .where(F.col("pos") == fx.params.opening_range_bars)
+            .select("symbol", "session_date", F.col("slot").alias("nth_slot"))
+        )
+        judged = universe.candidate_audit(bars, daily_rows(bars), fx.calendar, selection_params(fx))
+        last = F.lit(fx.params.slots_per_session - 1)
+        return judged.join(nth, ["symbol", "session_date"], "left").withColumn("decided_slot", F.coalesce("nth_slot", last)).drop("nth_slot")
+
+    return transform
+
+
+CUT_SLOTS = (6, 12, 20)
+BAR_KEY = ["symbol", "session_date", "slot"]
 SIGNAL_KEY = ["setup", "symbol", "session_date", "direction"]
-_CUTS = """(SELECT unnest([d[1 + len(d) // 4], d[1 + len(d) * 2 // 4], d[1 + len(d) * 3 // 4]]) AS cut
- FROM (SELECT list_sort(list(DISTINCT session_date)) AS d FROM bars_m))"""
+_CUTS = f"""(SELECT symbol, part, d[(len(d) * part + 3) // 4] AS cut, {list(CUT_SLOTS)}[(part - 1) % {len(CUT_SLOTS)} + 1] AS cut_slot
+ FROM (SELECT symbol, list_sort(list(DISTINCT session_date)) AS d FROM bars_m GROUP BY symbol), range(1, 5) r(part))"""
+_CANDIDATES = """(SELECT c.symbol, c.session_date, coalesce(n.slot, 30) AS slot FROM cand_m c LEFT JOIN (SELECT symbol, session_date, slot,
+ row_number() OVER (PARTITION BY symbol, session_date ORDER BY slot) AS pos FROM bars_m) n
+ ON n.symbol = c.symbol AND n.session_date = c.session_date AND n.pos = 3)"""
 
 
 def _truncation_sql(table: str, slot: str) -> str:
-    return f"""SELECT 'truncation' AS audit, count(t.symbol) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field, cut::VARCHAR AS cut
- FROM {_CUTS} LEFT JOIN {table} t ON t.session_date < cut OR (t.session_date = cut AND t.{slot} <= {CUT_SLOT}) GROUP BY cut"""
+    return f"""SELECT 'truncation' AS audit, part, count(t.symbol) AS decisions, 0 AS leaks, NULL::VARCHAR AS first_leaking_field
+ FROM {_CUTS} c LEFT JOIN {table} t ON t.symbol = c.symbol AND (t.session_date < cut OR (t.session_date = cut AND t.{slot} <= cut_slot)) GROUP BY part"""
 
 
 def _poison_sql(table: str, slot: str) -> str:
@@ -456,19 +494,37 @@ def _poison_sql(table: str, slot: str) -> str:
 
 @query("audit_truncation", "m", _truncation_sql("feat_m", "breakout_slot"))
 def audit_truncation(fx):
-    return audit.audit_truncation(_features_of(fx), fx.traded, audit.cut_dates(fx.bars), CUT_SLOT, EVENT_KEY, "breakout_slot")
+    cuts = audit.own_cuts(fx.bars, CUT_SLOTS)
+    return audit.audit_truncation(_features_of(fx), fx.all_bars, cuts, EVENT_KEY, "breakout_slot", INDEX)
 
 
 @query("audit_truncation_signals", "m", _truncation_sql("sig_m", "signal_slot"))
 def audit_truncation_signals(fx):
-    return audit.audit_truncation(_signals_of(fx), fx.traded, audit.cut_dates(fx.bars), CUT_SLOT, SIGNAL_KEY, "signal_slot")
+    cuts = audit.own_cuts(fx.bars, CUT_SLOTS)
+    return audit.audit_truncation(_signals_of(fx), fx.all_bars, cuts, SIGNAL_KEY, "signal_slot", INDEX)
+
+
+@query("audit_truncation_indicators", "m", _truncation_sql("bars_m", "slot"))
+def audit_truncation_indicators(fx):
+    return audit.audit_truncation(_indicators_of(fx), fx.bars, audit.own_cuts(fx.bars, CUT_SLOTS), BAR_KEY, "slot")
+
+
+@query("audit_truncation_detection", "m", _truncation_sql("brk_m", "breakout_slot"))
+def audit_truncation_detection(fx):
+    return audit.audit_truncation(_detection_of(fx), fx.bars, audit.own_cuts(fx.bars, CUT_SLOTS), EVENT_KEY, "breakout_slot")
+
+
+@query("audit_truncation_universe", "m", _truncation_sql(_CANDIDATES, "slot"))
+def audit_truncation_universe(fx):
+    cuts = audit.own_cuts(fx.bars, CUT_SLOTS)
+    return audit.audit_truncation(_universe_of(fx), fx.bars, cuts, ["symbol", "session_date"], "decided_slot")
 
 
 @query("audit_poison", "m", _poison_sql("feat_m", "breakout_slot"))
 def audit_poison(fx):
-    return audit.audit_poison(_features_of(fx), fx.traded, POISON_SLOT, EVENT_KEY, "breakout_slot")
+    return audit.audit_poison(_features_of(fx), fx.all_bars, POISON_SLOT, EVENT_KEY, "breakout_slot", INDEX)
 
 
 @query("audit_poison_signals", "m", _poison_sql("sig_m", "signal_slot"))
 def audit_poison_signals(fx):
-    return audit.audit_poison(_signals_of(fx), fx.traded, POISON_SLOT, SIGNAL_KEY, "signal_slot")
+    return audit.audit_poison(_signals_of(fx), fx.all_bars, POISON_SLOT, SIGNAL_KEY, "signal_slot", INDEX)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangebreak.functions.frames import InputError, require_none
-from rangebreak.operators.audit import audit_poison, audit_truncation, cut_dates, poison_violations
+from rangebreak.operators.audit import audit_poison, audit_truncation, differing_groups, own_cuts, plain_symbol, poison_violations, version_of
 from rangebreak.operators.control import pairing_violations
 from rangebreak.operators.features import feature_violations
 from rangebreak.operators.forecast import forecast_verdict, score_violations
@@ -16,6 +16,7 @@ from rangebreak.operators.study import study_violations
 from rangebreak.operators.summary import expectancy_violations, setup_verdict
 from rangebreak.operators.trades import entry_violations, gate_setups, participation_violations
 from rangebreak.params import Params
+from rangebreak.plans import delivery
 from rangebreak.plans.fixtures import Fixture
 
 DAY = datetime.date(2026, 9, 21)
@@ -135,10 +136,10 @@ def test_audits_catch_a_cheat_and_name_its_field(spark):
     daily = lambda b: b.select(
         "symbol", "session_date", "slot", F.max("close").over(W.partitionBy("symbol", "session_date")).alias("day_high")
     )
-    dates, keys = cut_dates(bars), ["symbol", "session_date", "slot"]
-    assert len(dates) == 3
+    cuts, keys = own_cuts(bars, (2, 3)), ["symbol", "session_date", "slot"]
+    assert [(r.cut_date - DAY).days for r in cuts.orderBy("part").collect()] == [1, 3, 5, 7]
     for transform, field in ((honest, None), (cheat, "next_close"), (daily, "day_high")):
-        for report in audit_truncation(transform, bars, dates, 2, keys, "slot").collect():
+        for report in audit_truncation(transform, bars, cuts, keys, "slot").collect():
             assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field and report.decisions > 0
         report = audit_poison(transform, bars, 3, keys, "slot").first()
         assert (report.leaks > 0) == (field is not None) and report.first_leaking_field == field
@@ -151,7 +152,64 @@ def test_poison_reaches_all_of_the_history_if_a_symbol_ends_early(spark):
     session = W.partitionBy("symbol", "session_date").orderBy("slot")
     ahead = F.lead("close").over(session)
     late = F.col("session_date") > DAY + datetime.timedelta(days=3)
-    pooled = F.avg("close").over(W.partitionBy("session_date", "slot"))
-    for value, leaks in ((pooled, False), (F.when(late, ahead), True), (F.when(F.col("symbol") == "B", ahead), True)):
+    pooled = F.avg("close").over(W.partitionBy(version_of(), "session_date", "slot"))
+    for value, leaks in ((pooled, False), (F.when(late, ahead), True), (F.when(plain_symbol() == "B", ahead), True)):
         report = audit_poison(lambda b, v=value: b.select(*keys, v.alias("value")), both_symbols, 3, keys, "slot").first()
         assert (report.leaks > 0) == leaks and report.decisions == 7 * 6 + 3 + 6
+
+
+def test_cuts_follow_each_symbol_and_end_in_its_last_session(spark):
+    bars = crafted_bars(spark)
+    late = bars.where(F.col("session_date") >= DAY + datetime.timedelta(days=5)).withColumn("symbol", F.lit("C|D"))
+    cuts = own_cuts(bars.unionByName(late), (1, 4))
+    found = {(r.symbol, r.part): ((r.cut_date - DAY).days, r.cut_slot) for r in cuts.collect()}
+    assert found == {
+        **{("A", k): (2 * k - 1, (1, 4)[(k - 1) % 2]) for k in range(1, 5)},
+        **{("C|D", k): (d, (1, 4)[(k - 1) % 2]) for k, d in ((1, 5), (2, 6), (3, 7), (4, 7))},
+    }
+    keys, ahead = ["symbol", "session_date", "slot"], F.lead("close").over(W.partitionBy("symbol", "session_date").orderBy("slot"))
+    both = bars.unionByName(late)
+    cheat = lambda b: b.select(*keys, F.when(F.col("symbol").endswith("C|D"), ahead).alias("value"))
+    reports = {r.part: r for r in audit_truncation(cheat, both, cuts, keys, "slot").collect()}
+    # Only the bar at the cut itself lacks the bar that the cheat reads: one leak for each part.
+    assert {k: r.leaks for k, r in reports.items()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert reports[4].decisions == (7 * 6 + 5) + (2 * 6 + 5)
+    assert audit_truncation(cheat, both.limit(0), own_cuts(both.limit(0), (1, 4)), keys, "slot").collect() == []
+
+
+def test_one_plan_whatever_the_number_of_cuts(spark):
+    bars, keys, seen = crafted_bars(spark), ["symbol", "session_date", "slot"], []
+
+    def transform(b):
+        seen.append(b.select("symbol").distinct().count())
+        return b.select(*keys, "close")
+
+    for parts in (2, 8):
+        reports = audit_truncation(transform, bars, own_cuts(bars, (2,), parts), keys, "slot").collect()
+        assert len(reports) == parts and not any(r.leaks for r in reports)
+    assert seen == [1 + 2, 1 + 8]  # called once for each audit, with the whole and every version
+
+
+def test_digests_tell_nulls_apart_and_ignore_order(spark):
+    shape = "symbol string, a int, b int"
+    left = spark.createDataFrame([("A", 1, None), ("B", 1, 2), ("B", 3, 4), ("C", 1, 1)], shape)
+    right = spark.createDataFrame([("A", None, 1), ("B", 3, 4), ("B", 1, 2), ("C", 1, 1), ("C", 1, 1)], shape)
+    assert sorted(r.symbol for r in differing_groups(left, right, ["symbol"]).collect()) == ["A", "C"]
+
+
+def test_audits_of_indicators_detection_and_universe_catch_a_cheat(spark):
+    fx = Fixture(spark, "/root/testdata/sf0.001", "m", True)
+    bars, session = fx.bars, ["symbol", "session_date"]
+    cuts = own_cuts(bars, delivery.CUT_SLOTS)
+    cases = (
+        (delivery._indicators_of(fx), delivery.BAR_KEY, "slot"),
+        (delivery._detection_of(fx), [*session, "direction"], "breakout_slot"),
+        (delivery._universe_of(fx), session, "decided_slot"),
+    )
+    for honest, keys, slot in cases:
+        # The cheat knows the last close of the session.
+        peek = lambda b, f=honest: f(b).join(b.groupBy(*session).agg(F.max_by("close", "slot").alias("final")), session, "left")
+        clean = audit_truncation(honest, bars, cuts, keys, slot).collect()
+        assert len(clean) == 4 and not any(r.leaks for r in clean) and any(r.decisions for r in clean)
+        caught = audit_truncation(peek, bars, cuts, keys, slot).collect()
+        assert {r.first_leaking_field for r in caught if r.leaks} == {"final"}
