@@ -207,8 +207,9 @@ def test_audits_of_indicators_detection_and_universe_catch_a_cheat(spark):
         (delivery._universe_of(fx), session, "decided_slot"),
     )
     for honest, keys, slot in cases:
-        # The cheat knows the last close of the session.
-        peek = lambda b, f=honest: f(b).join(b.groupBy(*session).agg(F.max_by("close", "slot").alias("final")), session, "left")
+        # The cheat knows the last close of the history.
+        final = F.max_by("close", F.struct("session_date", "slot")).alias("final")
+        peek = lambda b, f=honest, last=final: f(b).join(b.groupBy("symbol").agg(last), "symbol", "left")
         clean = audit_truncation(honest, bars, cuts, keys, slot).collect()
         assert len(clean) == 4 and not any(r.leaks for r in clean) and any(r.decisions for r in clean)
         caught = audit_truncation(peek, bars, cuts, keys, slot).collect()
