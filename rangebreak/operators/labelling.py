@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import by_session, whole_session
-from rangebreak.functions.scalars import count_when, direction_sign
+from rangebreak.functions.frames import by_session, in_session, whole_session
+from rangebreak.functions.scalars import count_when, direction_sign, ratio
 from rangebreak.operators.indicators import atr_prior_day, in_range, session_facts
 from rangebreak.params import OUTCOMES, Params
 
@@ -20,15 +20,20 @@ EVENT = ["symbol", "session_date", "direction"]
 
 
 def mark_first_breaks(bars: DataFrame, p: Params) -> DataFrame:
-    """Add the opening range and the slot of the first close beyond it on each side."""
-    whole = whole_session()
+    """Add the opening range, the slot of the first close beyond it on each side, and the running VWAP.
+
+    All windows share one distribution and order, so the running sums move and sort nothing more.
+    """
+    whole, so_far = whole_session(), in_session()
     opening = in_range(p)
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     ranged = bars.withColumns(
         {
             "pos": F.row_number().over(W.partitionBy("symbol", "session_date").orderBy("slot")) - 1,
             "or_bars": count_when(opening).over(whole),
             "or_high": F.max(F.when(opening, F.col("high"))).over(whole),
             "or_low": F.min(F.when(opening, F.col("low"))).over(whole),
+            "vwap": ratio(F.sum(typical * F.col("volume")).over(so_far), F.sum("volume").over(so_far)),
         }
     )
     can_break = (F.col("slot") >= p.opening_range_bars) & (F.col("or_bars") == p.opening_range_bars)
@@ -127,7 +132,7 @@ def session_table(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Par
     )
 
 
-_BAR = ("pos", "ts", "open", "high", "low", "close", "volume", "session_start")
+_BAR = ("pos", "ts", "open", "high", "low", "close", "volume", "vwap", "session_start")
 
 
 def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFrame:
@@ -155,6 +160,7 @@ def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFram
         "low",
         "close",
         "volume",
+        "vwap",
         "or_high",
         "or_low",
         F.inline(sides),
@@ -179,6 +185,7 @@ def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFram
         F.col("high").alias("breakout_high"),
         F.col("low").alias("breakout_low"),
         F.col("volume").alias("breakout_volume"),
+        F.col("vwap").alias("breakout_vwap"),
     )
 
 

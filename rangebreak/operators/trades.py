@@ -31,25 +31,10 @@ MAX_PARTICIPATION = 1.0
 # ---- signals ---------------------------------------------------------------------------
 
 
-def orb_signals(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Breakouts that close on their own side of the session VWAP at that bar."""
-    e, b = events.alias("e"), bars.alias("b")
-    typical = (F.col("b.high") + F.col("b.low") + F.col("b.close")) / 3
-    so_far = e.join(
-        b,
-        (F.col("e.symbol") == F.col("b.symbol"))
-        & (F.col("e.session_date") == F.col("b.session_date"))
-        & (F.col("b.slot") <= F.col("e.breakout_slot")),
-    )
-    at_break = so_far.groupBy(
-        *[F.col(f"e.{c}") for c in ("symbol", "session_date", "direction", "breakout_slot")]
-    ).agg(
-        F.max("e.breakout_close").alias("breakout_close"),
-        F.max("e.atr").alias("atr"),
-        ratio(F.sum(typical * F.col("b.volume")), F.sum("b.volume")).alias("vwap"),
-    )
+def orb_signals(events: DataFrame) -> DataFrame:
+    """Breakouts that close on their own side of the session VWAP at that bar, which the events carry."""
     sign = direction_sign(F.col("direction"))
-    return at_break.where(sign * (F.col("breakout_close") - F.col("vwap")) > 0).select(
+    return events.where(sign * (F.col("breakout_close") - F.col("breakout_vwap")) > 0).select(
         F.lit("orb").alias("setup"),
         "symbol",
         "session_date",
@@ -57,7 +42,7 @@ def orb_signals(events: DataFrame, bars: DataFrame) -> DataFrame:
         F.col("direction").alias("feature_direction"),
         F.col("breakout_slot").alias("signal_slot"),
         "atr",
-        "vwap",
+        F.col("breakout_vwap").alias("vwap"),
     )
 
 

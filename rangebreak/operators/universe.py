@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangebreak.functions.scalars import count_when
-from rangebreak.operators.indicators import atr_prior_day, rvol_at_time
+from rangebreak.functions.scalars import count_when, ratio
+from rangebreak.operators.indicators import atr_prior_day
 from rangebreak.params import Params
 
 SESSION = ["symbol", "session_date"]
@@ -88,14 +88,29 @@ def eligible_pool(sessions: DataFrame, daily: DataFrame, calendar: DataFrame, p:
 
 
 def opening_rvol(bars: DataFrame, p: Params) -> DataFrame:
-    """Relative volume at the nth bar of each session; absent while there is no nth bar."""
-    at = (
-        bars.withColumn("pos", F.row_number().over(W.partitionBy(*SESSION).orderBy("slot")))
-        .where(F.col("pos") == p.opening_range_bars)
-        .select(*SESSION, "slot")
-    )
-    return at.join(rvol_at_time(bars, p), [*SESSION, "slot"]).select(
-        *SESSION, F.col("rvol_at_time").alias("opening_rvol")
+    """Relative volume at the nth bar of each session; absent while there is no nth bar.
+
+    One row per session holds its volumes by slot, at most as many as the grid has. The base adds up those of
+    the sessions before it through the same slot, so no bar is moved or windowed beyond its own session.
+    """
+    bar = F.struct("slot", "volume")
+    sessions = bars.groupBy(*SESSION).agg(F.array_sort(F.collect_list(bar)).alias("profile"))
+    trailing = W.partitionBy("symbol").orderBy("session_date").rowsBetween(-p.rvol_lookback, -1)
+    nth = F.get("profile", p.opening_range_bars - 1)["slot"]
+
+    def through(profile: Column) -> Column:
+        return F.aggregate(
+            profile, F.lit(0).cast("bigint"), lambda total, b: total + F.when(b["slot"] <= F.col("slot"), b["volume"]).otherwise(0)
+        )
+
+    base = F.aggregate("earlier", F.lit(0).cast("bigint"), lambda total, profile: total + through(profile)) / p.rvol_lookback
+    return (
+        sessions.withColumns({"slot": nth, "earlier": F.collect_list("profile").over(trailing)})
+        .where(F.col("slot").isNotNull())
+        .select(
+            *SESSION,
+            F.when(F.size("earlier") == p.rvol_lookback, ratio(through(F.col("profile")), base)).alias("opening_rvol"),
+        )
     )
 
 

@@ -437,7 +437,7 @@ def _features_of(fx):
 
 
 def _signals_of(fx):
-    return _decisions_of(fx, lambda events, bars, index: orb_signals(events, bars).unionByName(failed_orb_signals(events)))
+    return _decisions_of(fx, lambda events, bars, index: orb_signals(events).unionByName(failed_orb_signals(events)))
 
 
 def _indicators_of(fx):

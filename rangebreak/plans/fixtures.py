@@ -230,7 +230,7 @@ class Fixture:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return orb_signals(self.events, self.bars).unionByName(failed_orb_signals(self.events))
+        return orb_signals(self.events).unionByName(failed_orb_signals(self.events))
 
     @cached_property
     def trades(self) -> DataFrame:

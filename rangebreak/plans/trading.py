@@ -59,7 +59,7 @@ for _key, _name in {
 
 @query("orb_signals", "m", f"SELECT {TRADE_KEYS}, signal_slot, {num('atr', digits=4)}, {num('vwap', digits=4)} FROM orbsig_$", digits=4)
 def orb_signals(fx):
-    return tr.orb_signals(fx.events, fx.bars).drop("feature_direction")
+    return tr.orb_signals(fx.context).drop("feature_direction")
 
 
 @query("failed_orb_signals", "m", f"SELECT {TRADE_KEYS}, feature_direction, signal_slot, {num('atr')} FROM fobsig_$")
