@@ -5,15 +5,17 @@ value has 8 characters or more), ``access`` (an access key id of 16 characters o
 digits or more). On top, runs of base64 or hex characters are decoded and reported only if the bytes parse:
 
 * ``jwt``: three dot-separated base64url parts, the first a JSON object with a string ``alg``, the
-  second a JSON object;
+  second a JSON object; any three neighbours of a longer chain of parts are tried;
 * ``der``: one ASN.1 SEQUENCE whose length covers the bytes exactly and whose content is read by nested
   tags and lengths to its end, with an INTEGER or an algorithm identifier first, as key encodings have;
+  an algorithm before an octet string only if it is one of password-based encryption;
 * ``ssh``: an OpenSSH private key container, or a public key as length-prefixed fields that begin with
   its type and end with the bytes.
 
-Base64 may be wrapped over lines, as in PEM blocks; the span is the encoded run with its line breaks. A key
-is looked for from every line of a run that is long enough, up to the line end that its own lengths name, so
-words on the lines next to it do no harm.
+Base64 may be wrapped over lines, as in PEM blocks, with indentation, with single spaces in place of line breaks or
+with breaks escaped as in JSON; the span is the encoded run with its breaks. A key is looked for wherever its first
+characters stand, also behind others of the alphabet, up to the line end that its own lengths name, so words next
+to it do no harm. Hex of odd length is tried without its first or its last digit.
 Spans are ``kind:start:end`` in code points, the end exclusive, ordered by start and then by kind.
 Null texts count as empty and have no spans. Repeated rows give repeated results. No shuffle.
 """
@@ -25,6 +27,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -43,17 +46,22 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 
 SHORTEST_CODED = 24
-JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+JWT_CHAIN = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+_BREAK = r"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*|[ \t]+)"
 CODED = re.compile(
-    r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[A-Za-z0-9+/_-]{4,}(?=[\r\n=]|$))*(?:\r?\n[A-Za-z0-9+/_-]{1,3}(?==))?={0,2}" % SHORTEST_CODED
+    r"(?:(?<=\\)n)?([A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]+)*={0,2})" % (SHORTEST_CODED, _BREAK)
 )
-CODED_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+CODED_LINE = re.compile(r"\\r\\n|\\n|([A-Za-z0-9+/_-]+)")
+#: Base64 of the first bytes of a sequence, of an OpenSSH private key and of a public key's type.
+KEY_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA|AAAA[BCE]")
 HEX_KEY = re.compile(r"[0-9A-Fa-f]{64,}")
 #: A text without any of these has no candidate of the method's kinds.
-HINTS = r"eyJ|[A-Za-z0-9+/_-]{%d}" % SHORTEST_CODED
+HINTS = r"[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.|[A-Za-z0-9+/_-]{%d}" % SHORTEST_CODED
 #: Nested levels of ASN.1 that are read.
 DEEPEST = 12
 
+# The branches of object identifiers 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -111,10 +119,13 @@ def is_der_key(data: bytes) -> bool:
     if tags[0] == 0x02:  # a version or a number first, then numbers, an algorithm or a key's bytes
         return all(t in (0x02, 0x03, 0x04, 0x30, 0xA0, 0xA1) for t in tags)
     algorithm = _element(data, found[1], found[2])
-    if tags[:2] != [0x30, 0x03] or len(tags) > 2 or not algorithm:
+    if tags not in ([0x30, 0x03], [0x30, 0x04]) or not algorithm:
         return False
     inner = _element(data, algorithm[1], algorithm[2])
-    return bool(inner) and inner[0] == 0x06
+    if not inner or inner[0] != 0x06:
+        return False
+    # Before an octet string: an encrypted key, not a digest.
+    return tags[1] == 0x03 or data[inner[1] : inner[2]].startswith(_PASSWORD_BASED)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -183,18 +194,38 @@ def _key_from(code: str, at: int, line_ends: dict[int, int]) -> tuple[int, int]
 
 def _keys(run: str, start: int) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the keys in a run of lines, in order and without overlap."""
-    lines = [m.span() for m in CODED_LINE.finditer(run)]
+    lines = [m.span(1) for m in CODED_LINE.finditer(run) if m[1]]
     code = "".join(run[a:b] for a, b in lines)
     begins = [0, *accumulate(b - a for a, b in lines)]
     line_ends = {n: k for k, n in enumerate(begins)}
-    spans, k = [], 0
-    while k < len(lines):
-        found = _key_from(code, begins[k], line_ends) if lines[k][1] - lines[k][0] >= SHORTEST_CODED else None
+    spans, done = [], 0
+    for m in KEY_START.finditer(code):
+        at = m.start()
+        k = bisect_right(begins, at) - 1
+        if at < done or begins[k + 1] - at < SHORTEST_CODED:
+            continue
+        found = _key_from(code, at, line_ends)
         if found:
             kind, after = found
             end = lines[after - 1][1] if after < len(lines) else len(run)  # with its padding
-            spans.append((start + lines[k][0], kind, start + end))
-        k = found[1] if found else k + 1
+            spans.append((start + lines[k][0] + at - begins[k], kind, start + end))
+            done = begins[after]
+    return spans
+
+
+def _tokens(text: str) -> list[tuple[int, int, int]]:
+    """``(start, kind, end)`` of signed tokens, leftmost first and without overlap."""
+    spans = []
+    for m in JWT_CHAIN.finditer(text):
+        parts = m[0].split(".")
+        begins = [0, *accumulate(len(part) + 1 for part in parts)]
+        k = 0
+        while k + 2 < len(parts):
+            if len(parts[k]) >= 8 and len(parts[k + 1]) >= 2 and is_jwt(".".join(parts[k : k + 3])):
+                spans.append((m.start() + begins[k], 3, m.start() + begins[k + 3] - 1))
+                k += 3
+            else:
+                k += 1
     return spans
 
 
@@ -219,15 +250,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def coded_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the confirmed candidates."""
-    spans = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])] if "." in text else []
+    spans = _tokens(text) if "." in text else []
     for m in CODED.finditer(text):
-        spans += _keys(m[0], m.start())
+        spans += _keys(m[1], m.start(1))
     for m in HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
+        n = len(m[0])
+        for a, b in ((0, n),) if n % 2 == 0 else ((1, n), (0, n - 1)):
+            data = bytes.fromhex(m[0][a:b])
             kind = 4 if is_der_key(data) else 5 if is_ssh_key(data) else None
             if kind:
-                spans.append((m.start(), kind, m.end()))
+                spans.append((m.start() + a, kind, m.start() + b))
+                break
     return spans
 
 
