@@ -1,6 +1,6 @@
 """Quality rules: base counts, and the log-likelihood ratio of hashed n-grams between two multinomials.
 
-The *target* multinomial is counted over a bounded sample of trusted texts, the *raw* one over all texts. A text's features
+The *target* multinomial is counted over all trusted texts, the *raw* one over all texts. A text's features
 are its words and pairs of neighbouring words, each hashed to one of ``buckets`` slots. With add-one
 counts, a slot's weight is ``log(target share) - log(raw share)``; a text's verdict is the mean weight of
 its features against a threshold. Nothing is drawn at random: equal texts get equal verdicts.
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
-#: Trusted texts that the target is counted over: those whose ids have the smallest hashes.
-SAMPLE = 20_000
 #: Mean log ratio from which a text is kept.
 THRESHOLD = -0.07
 WINDOW = 5
@@ -104,18 +102,13 @@ def base_counts(texts: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def slot_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE) -> list[float]:
+def slot_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Per slot the log ratio of its add-one shares in trusted and in all texts: ``buckets`` numbers."""
-    # At most ``sample`` ids: a proven bound for the broadcast.
-    good = (
-        trusted.select(F.col("doc_id").cast("long").alias("good_id"))
-        .where("good_id is not null")
-        .distinct()
-        .orderBy(F.xxhash64("good_id"), "good_id")
-        .limit(sample)
-    )
+    good = trusted.select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(_text()).alias("words"))
-    marked = read.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
+    # Rows without an id are trusted by nothing, and are spread by their words so that no task gets all of them.
+    spread = F.coalesce("doc_id", F.xxhash64("words"))
+    marked = read.withColumn("spread", spread).join(good, (F.col("spread") == F.col("good_id")) & F.col("doc_id").isNotNull(), "left")
     marked = _slots(marked.withColumn("hashes", _hashes(F.col("words"))), buckets)
     # The outer form: Spark would put a filter of the plain one below the projections, where the lambdas
     # of the expressions would be evaluated for every element again.
