@@ -105,10 +105,12 @@ def base_counts(texts: DataFrame) -> DataFrame:
 def slot_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Per slot the log ratio of its add-one shares in trusted and in all texts: ``buckets`` numbers."""
     good = trusted.select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(_text()).alias("words"))
-    # Rows without an id are trusted by nothing, and are spread by their words so that no task gets all of them.
-    spread = F.coalesce("doc_id", F.xxhash64("words"))
-    marked = read.withColumn("spread", spread).join(good, (F.col("spread") == F.col("good_id")) & F.col("doc_id").isNotNull(), "left")
+    # Whole texts move, which are smaller than their words, and are not sorted: the ids of a task are few and distinct.
+    # Rows without an id are trusted by nothing, and are spread by their texts so that no task gets all of them.
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
+    read = read.withColumn("spread", F.coalesce("doc_id", F.xxhash64("text")))
+    met = (F.col("spread") == F.col("good_id")) & F.col("doc_id").isNotNull()
+    marked = read.join(good.hint("shuffle_hash"), met, "left").withColumn("words", words_of(F.col("text")))
     marked = _slots(marked.withColumn("hashes", _hashes(F.col("words"))), buckets)
     # The outer form: Spark would put a filter of the plain one below the projections, where the lambdas
     # of the expressions would be evaluated for every element again.
