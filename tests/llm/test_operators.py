@@ -351,7 +351,7 @@ def test_quality_counts_and_verdicts(spark):
 
 def test_language_scores_of_the_base(spark, monkeypatch):
     monkeypatch.setattr(context_tree, "TABLE_WORDS", 20)
-    texts = [t for t in odd_texts() if t[0] is None or t[0] not in (3, 4)]
+    texts = odd_texts()
     rows = context_tree.language_scores(documents(spark, texts, extra=True)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [WORD.findall((t or "").translate(LOWER)) + ["\n"] for _, t in texts]
@@ -366,49 +366,96 @@ def test_language_scores_of_the_base(spark, monkeypatch):
     assert context_tree.language_scores(documents(spark, [])).collect() == []
 
 
-def test_weighting_equals_the_sequential_definition(monkeypatch):
-    """Block probabilities by the recursion over one bit at a time, on a small alphabet and depth."""
-    for name, value in (("BITS", 1), ("CLASSES", 2), ("DEPTH", 2), ("GRAMS", 8)):
-        monkeypatch.setattr(context_tree, name, value)
-    r = random.Random(6)
-    bits = [r.random() < 0.7 for _ in range(60)]
-    past = [0, 0] + [int(b) for b in bits]
-    counts = np.zeros((2, 2, 2))
-    for k in range(len(bits)):
-        counts[past[k], past[k + 1], past[k + 2]] += 1
-
-    def kt(a, b):
-        p, seen = 1.0, [0, 0]
-        for bit in [0] * int(a) + [1] * int(b):
-            p *= (seen[bit] + 0.5) / (sum(seen) + 1)
-            seen[bit] += 1
-        return p
-
-    def weighted(c, depth):
-        own = kt(*c.sum(axis=tuple(range(depth))))
-        return own if not depth else own / 2 + weighted(c[..., 0, :], depth - 1) * weighted(c[..., 1, :], depth - 1) / 2
-
-    total, p = context_tree.weigh(counts, 2)
-    assert math.isclose(math.exp(total[0]), weighted(counts, 2), rel_tol=1e-9)
-    for far in range(2):
-        for near in range(2):
-            more = counts.copy()
-            more[far, near, 1] += 1
-            assert math.isclose(p[far, near, 0], weighted(more, 2) / weighted(counts, 2), rel_tol=1e-9)
-
-
-def test_gram_scores_are_probabilities_and_learn():
+def plain_tree_scores(texts, held, depth):
+    """Log10 probability of whole texts by the definition: nodes by decision and context, bits one at a time."""
+    lined = [bytes([255]) * depth + (t or "").translate(LOWER).encode() + b"\xff" for t in texts]
+    bits = lambda c: [((1 << k) | c >> (8 - k), c >> (7 - k) & 1) for k in range(8)]
+    seen, below = {}, {}
+    for line, out in zip(lined, held, strict=True):
+        for i in range(depth, 0 if out else len(line)):
+            for node, bit in bits(line[i]):
+                for d in range(depth + 1):
+                    key = (node, line[i - d : i])
+                    seen.setdefault(key, [0, 0])[bit] += 1
+                    if d:
+                        below.setdefault((node, line[i - d + 1 : i]), set()).add(key)
+
+    def kt(key):
+        return sum(math.lgamma(c + 0.5) for c in seen[key]) - math.lgamma(sum(seen[key]) + 1) - math.log(math.pi)
+
+    weighted = {}
+    for key in sorted(seen, key=lambda k: -len(k[1])):
+        weighted[key] = kt(key)
+        if len(key[1]) < depth:
+            children = sum(weighted[c] for c in below[key])
+            weighted[key] = np.logaddexp(weighted[key], children) - math.log(2)
+
+    def chance(node, context, bit, d=0):
+        key = (node, context[depth - d :])
+        if key not in seen:
+            return None
+        own = (seen[key][bit] + 0.5) / (sum(seen[key]) + 1)
+        deeper = chance(node, context, bit, d + 1) if d < depth else None
+        if deeper is None:
+            return own
+        stop = math.exp(kt(key) - math.log(2) - weighted[key])
+        return stop * own + (1 - stop) * deeper
+
+    def score(line):
+        pairs = [(line[i - depth : i], nb) for i in range(depth, len(line)) for nb in bits(line[i])]
+        return sum(math.log10(chance(node, context, bit) or 0.5) for context, (node, bit) in pairs)
+
+    return [score(line) for line in lined]
+
+
+@pytest.mark.parametrize("rows, depth", [(1 << 21, 4), (40, 3), (1, 6)])
+def test_language_scores_of_whole_texts(spark, monkeypatch, rows, depth):
+    """Every text against the plain trees, with all, some and next to none of the grams in the broadcast table."""
+    monkeypatch.setattr(context_tree, "TABLE_GRAMS", rows)
+    r = random.Random(depth)
+    words = ["ab", "abc", "Bad", "É", "日本", "x", "zz"]
+    texts = [(k, " ".join(r.choices(words, k=r.randrange(1, 30)))) for k in range(40)]
+    texts += [(40, None), (41, ""), (42, "\n \t"), (43, "ab " * 3000), (None, "no id"), texts[7], texts[7], (44, "never Seen: 17")]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts]
+    assert any(held) and not all(held)
+    want = plain_tree_scores([t for _, t in texts], held, depth)
+    got = context_tree.language_scores(documents(spark, texts, extra=True), depth).collect()
+    key = lambda pair: (pair[0] is None, pair[0] or 0, pair[1])
+    got = sorted(((x.doc_id, x.score) for x in got), key=key)
+    want = sorted(((i, s) for (i, _), s in zip(texts, want, strict=True)), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-5, atol=1e-5)
+
+
+def test_language_scores_without_training_texts(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = context_tree.language_scores(documents(spark, [(held, "abc")])).collect()[0]
+    assert (row.n_known, row.train_tokens, row.base_score) == (0, 0, 0.0)
+    assert math.isclose(row.score, 4 * 8 * math.log10(0.5))
+
+
+def test_gram_scores_are_probabilities_and_grow_with_the_corpus():
+    depth = 4
     text = np.frombuffer(b"abcabcabd" * 300, np.uint8)
-    classes, inside = context_tree.byte_classes(np.bincount(text, minlength=256))
-    grams, begins = context_tree._grams(text, np.array([0, 900, 900, len(text)]), classes)
+    grams, begins = context_tree.grams_of(text, np.array([0, 900, 900, len(text)]), depth)
     assert len(grams) == len(text) + 3 and list(begins) == [0, 901, 902]
-    found, counts = np.unique(grams, return_counts=True)
-    last = found >> context_tree.BITS & (context_tree.CLASSES - 1)
-    groups = [context_tree._weigh_group(pa.table({"gram": found[last == k], "count": counts[last == k]})) for k in np.unique(last)]
-    table = context_tree.gram_scores(pa.concat_tables(groups))
-    assert np.allclose((10.0 ** table.reshape(-1, context_tree.CLASSES)).sum(axis=1), 1, atol=1e-4)
-    assert table[grams].mean() > -0.2
-    assert math.isclose((10 ** inside[classes == context_tree.ESCAPE]).sum(), 1)
+    contexts = np.unique(grams >> 8)
+    every = (contexts[:, None] << 8 | np.arange(256)).ravel()  # each byte after each context
+    train = np.array([Counter(grams.tolist())[g] for g in every.tolist()])
+    parts, nodes = [], []
+    pairs = every >> (8 * (depth + 1 - context_tree.TOP))
+    for pair in np.unique(pairs):
+        here = pairs == pair
+        out = context_tree._weigh_group(pa.table({"gram": every[here], "train": train[here], "total": train[here]}), depth)
+        shares = out.column("shares").to_pylist()
+        nodes.append(shares[-1])
+        parts.append(np.frombuffer(b"".join(shares[:-1]), np.float32).reshape(-1, 8).astype(float))
+    logs = context_tree.Top(nodes).scores(every, np.concatenate(parts), depth)
+    assert np.allclose((10.0 ** logs.reshape(-1, 256)).sum(axis=1), 1, atol=1e-5)
+    assert (logs * train).sum() / train.sum() > -0.2
+    # Large counts leave the table of logarithms.
+    assert np.allclose(context_tree.block_log(np.array([5000, 3]), np.array([7000, 9000])),
+                       [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in ((5000, 7000), (3, 9000))])
 
 
 def der(tag, *parts):
