@@ -305,37 +305,44 @@ def top_missing_slots(verdicts: DataFrame, top: int = 8) -> DataFrame:
     )
 
 
+def rejected_by_symbol(latest: DataFrame, p: Params) -> DataFrame:
+    """Sessions outside the research set, per equity."""
+    return (
+        latest.where(
+            (F.col("symbol") != p.index_symbol) & ~F.col("verdict").isin(*RESEARCH_VERDICTS)
+        )
+        .groupBy("symbol")
+        .agg(F.count("*").alias("rejected_sessions"))
+    )
+
+
 def integrity_summary(
     latest: DataFrame, daily_latest: DataFrame, runs: DataFrame, p: Params
 ) -> DataFrame:
-    """What the verdict logs say about the equities, and when the last fetch ran."""
-    research = F.col("verdict").isin(*RESEARCH_VERDICTS)
-    equities = latest.where(F.col("symbol") != p.index_symbol)
-    totals = equities.agg(
+    """What the verdict logs say about the equities, and what the last fetch of the log found.
+
+    ``rejected`` maps each equity with rejects to their number, in order of the symbols; ``runs`` holds the
+    ``fetch_run`` records, of which the last appended one counts.
+    """
+    totals = latest.where(F.col("symbol") != p.index_symbol).agg(
         F.count("*").alias("sessions_validated"),
         *_verdict_counts(),
-        count_when(research).alias("research_sessions"),
+        count_when(F.col("verdict").isin(*RESEARCH_VERDICTS)).alias("research_sessions"),
         F.count_distinct("symbol").alias("symbols"),
     )
-    rejected = equities.where(~research).groupBy("symbol").agg(F.count("*").alias("n"))
-    worst = rejected.agg(
-        F.count("*").alias("symbols_with_rejects"), F.coalesce(F.max("n"), F.lit(0)).alias("most_rejects")
+    entry = F.struct("symbol", "rejected_sessions")
+    worst = rejected_by_symbol(latest, p).agg(
+        F.count("*").alias("symbols_with_rejects"),
+        F.coalesce(F.max("rejected_sessions"), F.lit(0)).alias("most_rejects"),
+        # One entry per symbol of the universe.
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("rejected"),
     )
     daily = daily_latest.agg(
         F.count("*").alias("daily_rows"), count_when(F.col("verdict") == "CORRUPT").alias("daily_corrupt")
     )
-    last = runs.where("event = 'fetch_run'").agg(F.max("ts").alias("last_fetch"))
-    return (
-        totals.join(F.broadcast(worst)).join(F.broadcast(daily)).join(F.broadcast(last))
-    )
-
-
-def rejected_by_symbol(latest: DataFrame, p: Params) -> DataFrame:
-    """Sessions outside the research set, per equity."""
-    return (
-        latest.where(
-            (F.col("symbol") != p.index_symbol) & ~F.col("verdict").isin(*RESEARCH_VERDICTS)
-        )
-        .groupBy("symbol")
-        .agg(F.count("*").alias("rejected_sessions"))
+    told = ("ts", "attempted", "received", "missing")
+    last = runs.agg(F.max_by(F.struct(*told), "seq").alias("run")).select(
+        F.col("run.ts").alias("last_fetch"), *[F.col(f"run.{c}").alias(f"last_{c}") for c in told[1:]]
     )
+    # Four tables of one row each.
+    return totals.join(F.broadcast(worst)).join(F.broadcast(daily)).join(F.broadcast(last))

@@ -8,9 +8,8 @@ from functools import partial
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rangebreak.functions.frames import stage_root, write_stage
+from rangebreak.functions.frames import require_none, stage_root, write_stage
 from rangebreak.operators import audit, quality, study, universe
 from rangebreak.operators.features import EVENT_KEY, breakout_context, feature_columns
 from rangebreak.operators.indicators import rvol_at_time, rvol_bar, session_sigma, session_vwap
@@ -141,15 +140,46 @@ def latest_verdict(fx):
     return latest(fx).select("symbol", "session_date", "seq", "verdict", "bar_count", "missing_slots", "reasons")
 
 
-@query("integrity_summary", "h", """SELECT * FROM (SELECT count(*) AS sessions_validated, count(*) FILTER (verdict = 'CLEAN') AS clean,
+# Every seventh day of the year its daily rows hold a price of zero.
+_FAULTY_DAYS = _DAYH.replace(
+    "SELECT d.*,", "SELECT d.* REPLACE (CASE WHEN dayofyear(d.session_date) % 7 = 3 THEN 0.0 ELSE d.low END AS low),"
+)
+
+
+@query("integrity_summary", "h", f"""SELECT * FROM (SELECT count(*) AS sessions_validated, count(*) FILTER (verdict = 'CLEAN') AS clean,
  count(*) FILTER (verdict = 'TAIL_COLLAPSED') AS tail_collapsed, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'SUSPECT') AS suspect,
  count(*) FILTER (verdict = 'CORRUPT') AS corrupt, count(*) FILTER (verdict IN ('CLEAN', 'TAIL_COLLAPSED')) AS research_sessions, count(DISTINCT symbol) AS symbols FROM verd_h),
- (SELECT count(*) AS symbols_with_rejects, max(n) AS most_rejects FROM (SELECT symbol, count(*) AS n FROM verd_h WHERE verdict NOT IN ('CLEAN', 'TAIL_COLLAPSED') GROUP BY symbol)),
- (SELECT count(*) AS daily_rows, 0 AS daily_corrupt FROM verd_h), (SELECT ((SELECT max(session_date) FROM dates_h)::TIMESTAMP + INTERVAL 18 HOUR)::VARCHAR AS last_fetch)""")
+ (SELECT count(*) AS symbols_with_rejects, coalesce(max(n), 0) AS most_rejects, coalesce(string_agg(symbol || '=' || n, '; ' ORDER BY symbol), '') AS rejected FROM (
+  SELECT symbol, count(*) AS n FROM verd_h WHERE verdict NOT IN ('CLEAN', 'TAIL_COLLAPSED') GROUP BY symbol)),
+ (SELECT coalesce(sum(daily_rows), 0)::BIGINT AS daily_rows, coalesce(sum(daily_corrupt), 0)::BIGINT AS daily_corrupt FROM {_FAULTY_DAYS}),
+ (SELECT ((SELECT max(session_date) FROM dates_h)::TIMESTAMP + INTERVAL 18 HOUR)::VARCHAR AS last_fetch),
+ (SELECT sum(expected_sessions)::BIGINT AS last_attempted, sum(received_sessions)::BIGINT AS last_received,
+  sum(expected_sessions - received_sessions)::BIGINT AS last_missing FROM outc_h)""")
 def integrity_summary(fx):
-    daily = store.latest_verdict(fx.verdict_log, "1d")
-    run = fx.fetched_at.select(F.lit("fetch_run").alias("event"), F.col("fetched_at").alias("ts"))
-    return quality.integrity_summary(latest(fx), daily, run, fx.params)
+    """One log of verdicts of both intervals and of two runs, read once; the earlier run found nothing."""
+    path = scratch(fx, "integrity")
+    append_verdicts(fx.verdict_log.where("interval = '60m'"), path)
+    low = F.when(F.dayofyear("session_date") % 7 == 3, F.lit(0.0)).otherwise(F.col("low"))
+    daily = quality.daily_row_verdicts(
+        fx.daily.withColumn("low", low).join(F.broadcast(fx.fetched_at)), fx.real_calendar, fx.params
+    )
+    append_verdicts(daily.select(F.lit(3).alias("seq"), F.lit("1d").alias("interval"), "*", F.lit(1).alias("bar_count")), path)
+    tally = quality.run_tally(outcomes(fx)).join(F.broadcast(fx.fetched_at))
+    empty = tally.withColumns({c: F.lit(0) for c in ("attempted", "received", "missing")})
+    for seq, found in ((4, tally), (1, empty)):
+        store.append_events(store.fetch_run(found, seq, "60m", F.col("fetched_at")), "fetch_run", path)
+    events = store.read_events(fx.spark, path)
+    require_none(store.event_violations(events), "event log")
+    verdicts = store.events_of(events, "verdict")
+    summary = quality.integrity_summary(
+        store.latest_verdict(verdicts, "60m"), store.latest_verdict(verdicts, "1d"), store.events_of(events, "fetch_run"), fx.params
+    )
+    pairs = F.transform(F.map_entries("rejected"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return summary.withColumn("rejected", F.array_join(pairs, "; "))
+
+
+def append_verdicts(records, path):
+    store.append_events(records, "verdict", path)
 
 
 # ---- sources and sinks -----------------------------------------------------------------
@@ -227,28 +257,18 @@ def upsert_audit(fx):
     return store.upsert_audit(first, incoming, fx.verdict_stage)
 
 
-_LOG = T.StructType(
-    [
-        T.StructField("seq", T.IntegerType()),
-        T.StructField("interval", T.StringType()),
-        T.StructField("symbol", T.StringType()),
-        T.StructField("session_date", T.DateType()),
-        T.StructField("verdict", T.StringType()),
-        T.StructField("bar_count", T.IntegerType()),
-        T.StructField("reasons", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 @query("event_log", "h", f"""SELECT seq, iv AS "interval", symbol, session_date, verdict, bar_count, reasons FROM (SELECT 1 AS seq, '60m' AS iv, {S}, 'PARTIAL' AS verdict, n AS bar_count, reasons
  FROM verd_h WHERE dayofyear(session_date) % 2 = 0 UNION ALL SELECT 2, '60m', {S}, verdict, n, reasons FROM verd_h UNION ALL
  SELECT 3, '1d', {S}, 'CLEAN', n, reasons FROM verd_h)""")
 def event_log(fx):
     path = scratch(fx, "log")
-    records = fx.verdict_log.select(*_LOG.fieldNames())
     for seq in (1, 2, 3):
-        store.append_log(records.where(F.col("seq") == seq), path)
-    return store.read_log(fx.spark, path, _LOG)
+        append_verdicts(fx.verdict_log.where(F.col("seq") == seq), path)
+    run = store.fetch_run(quality.run_tally(outcomes(fx)), 4, "60m", F.lit(None).cast("timestamp_ntz"))
+    store.append_events(run, "fetch_run", path)
+    events = store.read_events(fx.spark, path)
+    require_none(store.event_violations(events), "event log")
+    return store.events_of(events, "verdict")
 
 
 @query("scan_universe", "h", "SELECT trim(s_name) AS symbol FROM supplier")
@@ -258,7 +278,9 @@ def scan_universe(fx):
         F.explode(F.array(F.concat(F.lit("  "), "s_name", F.lit(" ")), F.lit(""))).alias("value")
     )
     names.write.text(path)
-    return reference.scan_universe(fx.spark, path)
+    symbols = reference.scan_universe(fx.spark, path)
+    require_none(reference.universe_violations(symbols), "universe")
+    return symbols
 
 
 @query("scan_holidays", "m", "SELECT date::VARCHAR AS date, name FROM holidays_m")

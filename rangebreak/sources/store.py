@@ -206,22 +206,59 @@ def research_sessions(bars: DataFrame) -> DataFrame:
 # ---- logs ------------------------------------------------------------------------------
 
 
-def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+#: What a run counts.
+RUN_COUNTS = (
+    "symbols attempted received missing clean tail_collapsed partial suspect corrupt research "
+    "daily_rows daily_corrupt daily_suspect"
+).split()
+#: Kinds of record in the event log, and their fields. ``seq`` is the order in which records were appended.
+EVENT_KINDS = {
+    "verdict": "seq int, interval string, symbol string, session_date date, verdict string, bar_count int, reasons array<string>",
+    "fetch_run": "seq int, interval string, ts timestamp_ntz, " + ", ".join(f"{c} bigint" for c in RUN_COUNTS),
+}
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; blank lines are skipped, and a broken line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def append_events(records: DataFrame, kind: str, path: str) -> None:
+    """Append one JSON line per record; records of every kind share one log."""
+    fields = T.StructType.fromDDL(EVENT_KINDS[kind]).fieldNames()
+    lines = records.select(F.to_json(F.struct(F.lit(kind).alias("event"), *fields)).alias("value"))
+    lines.write.mode("append").text(path)
 
 
-def fetch_run(spark: SparkSession, tally: DataFrame, interval: str, ts: Column) -> DataFrame:
-    """The record of one run, to be appended to the event log."""
-    return tally.select(
-        F.lit("fetch_run").alias("event"), ts.alias("ts"), F.lit(interval).alias("interval"), "*"
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """``event, record`` of every line, parsed once; blank lines are skipped, and a broken line fails the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.parse_json("value").alias("record")).select(
+        F.variant_get("record", "$.event", "string").alias("event"), "record"
+    )
+
+
+def event_violations(events: DataFrame) -> DataFrame:
+    """Records of an unknown kind, and records without an interval or a place in the order."""
+    unknown = ~F.coalesce(F.col("event").isin(*EVENT_KINDS), F.lit(False))
+    lacking = [
+        F.when(F.variant_get("record", f"$.{c}", "string").isNull(), F.lit(f"no {c}")) for c in ("interval", "seq")
+    ]
+    return events.select(
+        "event",
+        F.coalesce(F.when(unknown, F.lit("unknown kind")), *lacking).alias("violation"),
+        F.to_json("record").alias("line"),
+    ).where("violation is not null")
+
+
+def events_of(events: DataFrame, kind: str) -> DataFrame:
+    """The records of one kind with its fields as columns; fields that a record lacks are NULL."""
+    fields = T.StructType.fromDDL(EVENT_KINDS[kind]).fields
+    return events.where(F.col("event") == kind).select(
+        *[F.variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
     )
 
 
+def fetch_run(tally: DataFrame, seq: int, interval: str, ts: Column) -> DataFrame:
+    """The record of one run, to be appended to the event log."""
+    return tally.select(F.lit(seq).alias("seq"), F.lit(interval).alias("interval"), ts.alias("ts"), *RUN_COUNTS)
+
+
 def latest_verdict(log: DataFrame, interval: str) -> DataFrame:
     """The last record per session within one interval; the log is append-only."""
     newest = W.partitionBy("symbol", "session_date").orderBy(F.desc("seq"))
@@ -233,10 +270,6 @@ def latest_verdict(log: DataFrame, interval: str) -> DataFrame:
     )
 
 
-def log_violations(log: DataFrame) -> DataFrame:
-    return log.where("interval is null").select("seq", "symbol", "session_date")
-
-
 # ---- delivered rows --------------------------------------------------------------------
 
 

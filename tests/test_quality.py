@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import InputError
+from rangebreak.functions.frames import InputError, require_none
 from rangebreak.operators import calendar as cal
 from rangebreak.operators import quality as q
 from rangebreak.params import Params
@@ -153,6 +153,54 @@ def test_seal_and_upsert_through_a_store(spark, tmp_path):
     assert store.scan_quarantine(spark, root, "5m", P.zone).count() == 4
 
 
-def test_log_without_interval_is_reported(spark):
-    log = spark.createDataFrame([(1, None, "A", DAY)], "seq int, interval string, symbol string, session_date date")
-    assert store.log_violations(log).count() == 1
+
+
+VERDICT = "seq int, interval string, symbol string, session_date date, verdict string, bar_count int, reasons array<string>"
+TALLY = ", ".join(f"{c} bigint" for c in store.RUN_COUNTS)
+
+
+def run_record(spark, seq, received):
+    tally = spark.createDataFrame([(received,) * len(store.RUN_COUNTS)], TALLY)
+    return store.fetch_run(tally, seq, "60m", F.lit(datetime.datetime(2026, 9, 20 + seq, 18)))
+
+
+def test_one_log_of_verdicts_and_runs(spark, tmp_path):
+    """Records of both kinds come back, the last run counts whatever file it lies in, and rejects are told per symbol."""
+    path = f"{tmp_path}/log"
+    store.append_events(run_record(spark, 5, 7), "fetch_run", path)
+    judged = [("B", "PARTIAL"), ("A", "CORRUPT"), ("A", "CLEAN"), ("C", "CLEAN"), ("INDEX", "CORRUPT")]
+    rows = [(1, "60m", s, DAY + datetime.timedelta(days=k), v, 3, [f'a "{v}"', "é"]) for k, (s, v) in enumerate(judged)]
+    rows += [(2, "60m", "C", DAY + datetime.timedelta(days=3), "SUSPECT", None, None), (3, "1d", "A", DAY, "CORRUPT", 1, [])]
+    store.append_events(spark.createDataFrame(rows, VERDICT), "verdict", path)
+    store.append_events(run_record(spark, 4, 99), "fetch_run", path)
+    spark.createDataFrame([("",), ("  ",)], "value string").write.mode("append").text(path)
+    events = store.read_events(spark, path)
+    assert store.event_violations(events).count() == 0
+    verdicts = store.events_of(events, "verdict")
+    assert sorted(map(repr, verdicts.collect())) == sorted(map(repr, spark.createDataFrame(rows, VERDICT).collect()))
+    runs = store.events_of(events, "fetch_run")
+    summary = q.integrity_summary(
+        store.latest_verdict(verdicts, "60m"), store.latest_verdict(verdicts, "1d"), runs, Params(index_symbol="INDEX")
+    ).collect()[0]
+    assert list(summary.rejected.items()) == [("A", 1), ("B", 1), ("C", 1)]
+    assert (summary.sessions_validated, summary.suspect, summary.symbols_with_rejects, summary.daily_corrupt) == (4, 1, 3, 1)
+    assert (summary.last_fetch, summary.last_received) == (datetime.datetime(2026, 9, 25, 18), 7)
+    nothing = q.integrity_summary(verdicts.limit(0), verdicts.limit(0), runs.limit(0), Params(index_symbol="INDEX")).collect()[0]
+    assert (nothing.sessions_validated, nothing.rejected, nothing.last_fetch) == (0, {}, None)
+
+
+@pytest.mark.parametrize(
+    "line, told",
+    [('{"event": "holiday", "interval": "1d", "seq": 1}', "unknown kind"), ('{"interval": "1d", "seq": 1}', "unknown kind"),
+     ('{"event": "verdict", "seq": 1}', "no interval"), ('{"event": "fetch_run", "interval": "1d"}', "no seq")],
+)
+def test_log_records_that_stop_a_run(spark, tmp_path, line, told):
+    spark.createDataFrame([(line,)], "value string").write.text(f"{tmp_path}/log")
+    with pytest.raises(InputError, match=told):
+        require_none(store.event_violations(store.read_events(spark, f"{tmp_path}/log")), "event log")
+
+
+def test_a_broken_log_line_fails_the_read(spark, tmp_path):
+    spark.createDataFrame([('{"event": "verd',)], "value string").write.text(f"{tmp_path}/log")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        store.read_events(spark, f"{tmp_path}/log").collect()
