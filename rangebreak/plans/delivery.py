@@ -349,24 +349,37 @@ def unresolved_symbols(fx):
     return reference.unresolved_symbols(symbols, instruments)
 
 
-@query("artifact_sinks", "m", "SELECT symbol, session_date::VARCHAR AS session_date, direction, label, 'features' AS artifact FROM feat_m UNION ALL SELECT symbol, session_date::VARCHAR, direction, label, 'breakouts' FROM events_m")
+@query("artifact_sinks", "m", """SELECT symbol, session_date::VARCHAR AS session_date, direction, label, 'features' AS artifact, 2 AS features_version FROM feat_m
+ UNION ALL SELECT symbol, session_date::VARCHAR, direction, label, 'breakouts', 2 FROM events_m""")
 def artifact_sinks(fx):
     root = scratch(fx, "artifacts")
-    artifacts.save_artifact(fx.events, root, "breakouts")
-    artifacts.save_artifact(fx.features, root, "features")
-    back = [
-        artifacts.load_artifact(fx.spark, root, name).select(*EVENT_KEY, "label", F.lit(name).alias("artifact"))
-        for name in ("features", "breakouts")
+    made = {"features": fx.features, "breakouts": fx.events}
+    for name, df in made.items():
+        artifacts.save_artifact(df, root, name, 2)
+    back = {name: artifacts.load_artifact(fx.spark, root, name, 2) for name in made}
+    told = [
+        df.select(*EVENT_KEY, "label", F.lit(name).alias("artifact"), F.lit(artifacts.artifact_version(df)).alias("features_version"))
+        for name, df in back.items()
     ]
-    return back[0].unionByName(back[1])
+    return told[0].unionByName(told[1])
 
 
-@query("stale_artifact_filter", "w", """SELECT setup, features_version, n FROM (SELECT setup, CASE WHEN direction = 'long' THEN 2 ELSE 1 END AS features_version,
- count(*) AS n FROM sig_$ GROUP BY ALL), (SELECT verdict FROM study_$) WHERE features_version >= 2 AND (setup <> 'failed_orb' OR verdict = 'signal')""")
+@query("stale_artifact_filter", "w", """SELECT setup, CASE WHEN setup = 'failed_orb' THEN 3 ELSE 2 END AS features_version, count(*) AS n FROM sig_$, (SELECT verdict FROM study_$)
+ WHERE setup <> 'failed_orb' OR verdict = 'signal' GROUP BY ALL""")
 def stale_artifact_filter(fx):
-    version = F.when(F.col("direction") == "long", 2).otherwise(1)
-    made = fx.signals.groupBy("setup", version.alias("features_version")).agg(F.count("*").alias("n"))
-    return artifacts.stale_artifact_filter(made, 2, study.study_verdict(fx.feature_stage, fx.params))
+    """Signals of each setup are saved with the version of their features, once too old; versions are read back."""
+    root = scratch(fx, "artifacts")
+    setups = {"orb": ((1, "breakouts"), (2, "backtest_results")), "failed_orb": ((3, "backtest_summary"),)}
+    made = []
+    for setup, saved in setups.items():
+        for version, name in saved:
+            artifacts.save_artifact(fx.signals.where(F.col("setup") == setup), root, name, version)
+            back = artifacts.load_artifact(fx.spark, root, name)
+            made.append(
+                back.groupBy("setup").agg(F.lit(artifacts.artifact_version(back)).alias("features_version"), F.count("*").alias("n"))
+            )
+    every = made[0].unionByName(made[1]).unionByName(made[2])
+    return artifacts.stale_artifact_filter(every, 2, study.study_verdict(fx.feature_stage, fx.params))
 
 
 # ---- daily universe --------------------------------------------------------------------
