@@ -98,9 +98,11 @@ def build_trades(fx):
     return fx.trades.drop("vwap")
 
 
-@query("setup_run_counts", "m", """SELECT x.setup, sessions_seen, sessions_without_atr, n_entries, n_signals - n_entries AS skipped_late_entries
- FROM (SELECT s.setup, count(*) AS n_signals FROM sig_$ s GROUP BY s.setup) x
- JOIN (SELECT setup, count(*) AS n_entries FROM ent_$ GROUP BY setup) e USING (setup),
+@query("setup_run_counts", "m", """SELECT n.setup, sessions_seen, sessions_without_atr, coalesce(e.n_entries, 0) AS n_entries,
+ coalesce(x.n_signals, 0) - coalesce(e.n_entries, 0) AS skipped_late_entries
+ FROM (VALUES ('orb'), ('failed_orb')) n(setup)
+ LEFT JOIN (SELECT s.setup, count(*) AS n_signals FROM sig_$ s GROUP BY s.setup) x ON x.setup = n.setup
+ LEFT JOIN (SELECT setup, count(*) AS n_entries FROM ent_$ GROUP BY setup) e ON e.setup = n.setup,
  (SELECT count(*) AS sessions_seen, count(*) FILTER (p.atr IS NULL) AS sessions_without_atr FROM facts_$ f
  LEFT JOIN prior_$ p USING (symbol, session_date)) c""")
 def setup_run_counts(fx):
