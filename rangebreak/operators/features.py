@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangebreak.functions.frames import by_session
+from rangebreak.functions.frames import by_session, write_stage
 from rangebreak.functions.scalars import direction_sign, ratio
 from rangebreak.operators.calendar import is_expiry_day
 from rangebreak.operators.indicators import (
@@ -18,20 +18,27 @@ from rangebreak.operators.indicators import (
     index_states,
     rvol_open_column,
 )
-from rangebreak.operators.labelling import breakout_events, session_table
+from rangebreak.operators.labelling import breakout_events, breaking_sessions, session_table
 from rangebreak.params import ALL_FEATURES, Params
 
 EVENT_KEY = ["symbol", "session_date", "direction"]
 
 
 def breakout_context(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Params) -> DataFrame:
-    """Labelled breakouts with the session-level facts that the features are made from."""
+    """Labelled breakouts with the session-level facts that the features are made from.
+
+    The sessions that break out are written: the windows over all sessions then run once, and a join meets the
+    few rows by their known size.
+    """
     traded = bars.where(F.col("symbol") != p.index_symbol)
     sessions = session_table(traded, daily, calendar, p)
     trailing = by_session().rowsBetween(-p.rvol_lookback, -1)
     facts = sessions.select(
         "symbol",
         "session_date",
+        "atr",
+        "session_start",
+        "breaks",
         "session_open",
         "prev_open",
         "prev_close",
@@ -39,7 +46,10 @@ def breakout_context(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p:
         gap_column().alias("gap_pct"),
         F.collect_list("session_date").over(trailing).alias("earlier_sessions"),
     )
-    return breakout_events(traded, sessions, p).join(facts, ["symbol", "session_date"])
+    breaking = write_stage(breaking_sessions(facts), "breaking-sessions", reuse=True)
+    return breakout_events(traded, breaking, p).join(
+        breaking.drop("atr", "session_start", "breaks"), ["symbol", "session_date"]
+    )
 
 
 def _same_slot_volume(events: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
@@ -55,7 +65,7 @@ def _same_slot_volume(events: DataFrame, bars: DataFrame, p: Params) -> DataFram
     )
     volumes = bars.select("symbol", F.col("session_date").alias("earlier"), "slot", "volume")
     base = (
-        wanted.join(volumes, ["symbol", "earlier", "slot"])
+        wanted.hint("shuffle_hash").join(volumes, ["symbol", "earlier", "slot"])
         .groupBy(*EVENT_KEY)
         .agg((F.sum("volume") / p.rvol_lookback).alias("slot_base"))
     )
@@ -136,7 +146,7 @@ def feature_violations(events: DataFrame, bars: DataFrame, index_bars: DataFrame
         "symbol", "session_date", F.col("slot").alias("breakout_slot"), F.col("ts").alias("bar_time")
     )
     moved = (
-        events.join(at, ["symbol", "session_date", "breakout_slot"], "left")
+        events.hint("shuffle_hash").join(at, ["symbol", "session_date", "breakout_slot"], "left")
         .where(
             ~F.col("bar_time").eqNullSafe(F.col("breakout_time"))
             | (F.col("minutes_since_open") != F.col("breakout_slot") * p.slot_minutes)

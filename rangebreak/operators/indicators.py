@@ -45,8 +45,8 @@ def in_range(p: Params) -> Column:
     return F.col("slot") < p.opening_range_bars
 
 
-def session_facts(bars: DataFrame, p: Params) -> DataFrame:
-    """One row per session: size, first open, last close, opening range and its volume."""
+def session_facts(bars: DataFrame, p: Params, *more: Column) -> DataFrame:
+    """One row per session: size, first open, last close, opening range and its volume, and ``more`` aggregates."""
     opening = in_range(p)
     facts = bars.groupBy("symbol", "session_date").agg(
         F.count("*").alias("n_bars"),
@@ -56,6 +56,7 @@ def session_facts(bars: DataFrame, p: Params) -> DataFrame:
         F.max(F.when(opening, F.col("high"))).alias("or_high"),
         F.min(F.when(opening, F.col("low"))).alias("or_low"),
         F.coalesce(F.sum(F.when(opening, F.col("volume"))), F.lit(0)).alias("or_volume"),
+        *more,
     )
     # Slots are unique, so n bars below slot n means exactly slots 0..n-1 are present.
     return facts.withColumn("or_valid", F.col("or_bars") == p.opening_range_bars)

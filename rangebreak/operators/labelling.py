@@ -1,8 +1,8 @@
 """Breakout events and what became of them.
 
-The bars move once, to (symbol, session_date). The windows, the paths of both directions and the
-aggregate to one row per event all keep that distribution; everything else that moves has one row
-per session.
+One row per session tells whether any of its closes lies beyond its opening range. Only the bars of
+such sessions are sorted: the windows, the paths of both directions and the aggregate to one row per
+event run on them and keep their distribution; everything else that moves has one row per session.
 """
 
 from __future__ import annotations
@@ -123,13 +123,25 @@ def session_table(bars: DataFrame, daily: DataFrame, calendar: DataFrame, p: Par
     """One row per session: its facts, the day before, and where it starts in its symbol's history.
 
     Partial aggregation shrinks the bars to sessions before anything is shuffled; the windows over a
-    symbol then run on one row per session.
+    symbol then run on one row per session. ``breaks`` tells whether a close after a whole opening range
+    lies beyond it.
     """
-    facts = atr_prior_day(session_facts(bars, p), daily, calendar, p)
+    later = F.when(F.col("slot") >= p.opening_range_bars, F.col("close"))
+    closes = (F.max(later).alias("highest_close"), F.min(later).alias("lowest_close"))
+    facts = atr_prior_day(session_facts(bars, p, *closes), daily, calendar, p)
     earlier = by_session().rowsBetween(W.unboundedPreceding, -1)
-    return facts.withColumn(
-        "session_start", F.coalesce(F.sum("n_bars").over(earlier), F.lit(0)).cast("bigint")
-    )
+    beyond = (F.col("highest_close") > F.col("or_high")) | (F.col("lowest_close") < F.col("or_low"))
+    return facts.withColumns(
+        {
+            "session_start": F.coalesce(F.sum("n_bars").over(earlier), F.lit(0)).cast("bigint"),
+            "breaks": F.coalesce(F.col("or_valid") & beyond, F.lit(False)),
+        }
+    ).drop("highest_close", "lowest_close")
+
+
+def breaking_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions with a breakout that can be labelled: those without a prior-day ATR are left out."""
+    return sessions.where("breaks and atr is not null")
 
 
 _BAR = ("pos", "ts", "open", "high", "low", "close", "volume", "vwap", "session_start")
@@ -148,8 +160,12 @@ def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFram
             ]
         )
     )
-    # Bars before a session's first breakout, and whole sessions without one, end here.
-    path = mark_first_breaks(bars, p).select(
+    # Whole sessions without a breakout end before the windows. The few others are the side to hash, so the
+    # bars are not sorted for the join.
+    known = breaking_sessions(sessions).select("symbol", "session_date", "atr", "session_start")
+    kept = bars.join(known.hint("shuffle_hash"), ["symbol", "session_date"])
+    # Bars before a session's first breakout end here.
+    path = mark_first_breaks(kept, p).select(
         "symbol",
         "session_date",
         "slot",
@@ -163,10 +179,11 @@ def breakout_events(bars: DataFrame, sessions: DataFrame, p: Params) -> DataFram
         "vwap",
         "or_high",
         "or_low",
+        "atr",
+        "session_start",
         F.inline(sides),
     )
-    known = sessions.where("atr is not null").select("symbol", "session_date", "atr", "session_start")
-    settled = settle(path.join(known, ["symbol", "session_date"]), p, _BAR)
+    settled = settle(path, p, _BAR)
     return settled.select(
         *EVENT,
         "breakout_slot",

@@ -143,8 +143,13 @@ class Fixture:
 
         A plan that reads bars on several branches takes them from a written stage, as it would take
         them from the bar store: the raw table is then read once, and each branch reads its columns.
+
+        By supplier a bar has about one trade, so adding up before the move would shrink nothing: the trades
+        of a session, one month of one supplier, move together. Its bars then lie in one file, and what later
+        adds up sessions moves one row for each.
         """
-        bars = ticks_to_bars(self.ticks)
+        ticks = self.ticks.repartition("symbol", "session_date") if self.grid == "s" else self.ticks
+        bars = ticks_to_bars(ticks)
         return write_stage(bars, f"bars-{self.grid}", reuse=True) if self.stage_bars else bars
 
     @cached_property

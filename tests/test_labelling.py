@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from rangebreak.operators import labelling as lab
+from rangebreak.operators.features import breakout_context
 from rangebreak.params import Params
 from rangebreak.plans.fixtures import Fixture
 from tests.helpers import bars, flat_session
@@ -79,6 +82,22 @@ def test_one_pass_labelling_equals_detect_then_resolve(spark):
     assert lab.label_violations(whole).count() == 0
 
 
+def test_sessions_without_a_breakout_end_before_the_windows(spark, monkeypatch):
+    fx, seen, mark = Fixture(spark, "/root/testdata/sf0.001", "m"), [], lab.mark_first_breaks
+    monkeypatch.setattr(lab, "mark_first_breaks", lambda rows, p: seen.append(rows) or mark(rows, p))
+    events = breakout_context(fx.bars, fx.daily, fx.calendar, fx.params)
+    sessions = [set(df.select("symbol", "session_date").distinct().collect()) for df in (seen[0], events, fx.bars)]
+    assert sessions[0] == sessions[1] < sessions[2]
+    # The sessions are made once: what is left to run reads the trades a single time, for the paths.
+    assert events._jdf.queryExecution().analyzed().toString().count("Relation [l_orderkey") == 1
+
+
+def test_trades_by_supplier_move_once_by_session(spark):
+    plan = Fixture(spark, "/root/testdata/sf0.001", "s").bars._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert moved and not any("slot" in keys for keys in moved)
+
+
 def test_base_rates_round_half_to_even(spark):
     labels = ["BUSTED"] * 1 + ["NEITHER"] * 15
     rows = spark.createDataFrame([("2026-09-21", l) for l in labels], "d string, label string")
